@@ -4,21 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import near_duplicates
+from . import decontaminate, mix, near_duplicates, secrets, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined_spans(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    order = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, kinds)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.array_join(F.transform(F.array_sort(order), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def kind_count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.judge(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=("doc_id",)).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan_versions(_table(spark, sf_dir, "documents"))
+    kinds, base = tuple(r.kind for r in secrets.BASE + secrets.MORE), tuple(r.kind for r in secrets.BASE)
+    own = F.filter("findings", lambda s: s["kind"].isin(*base))
+    counts = [kind_count("findings", k) for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(own, base), 256).alias("base_sha256"), joined_spans(F.col("findings"), kinds).alias("spans"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates,)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
