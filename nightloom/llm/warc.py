@@ -91,19 +91,20 @@ RECORD_DDL = "page_id long, url string, payload binary, payload_bytes long, payl
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
-        name, out, at = f"{path}/{uuid.uuid4().hex}.warc.gz", None, 0
+        name, out, at, index = f"{path}/{uuid.uuid4().hex}.warc.gz", None, 0, []
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
-                out = out or fs.open_output_stream(name)
+                out = fs.open_output_stream(name, compression=None) if out is None else out
                 packer = zlib.compressobj(6, wbits=31)
                 raw = packer.compress(record(x["page_id"], x["url"], x["payload"], x["payload_digest"], x["refers_to"])) + packer.flush()
                 out.write(raw)
                 rows.append({"file": name, "offset": at, "length": len(raw), "page_id": x["page_id"], "url": x["url"], "payload_digest": x["payload_digest"]})
                 at += len(raw)
-            yield pa.RecordBatch.from_pylist(rows, schema=INDEX)
-        if out:
+            index.append(pa.RecordBatch.from_pylist(rows, schema=INDEX))
+        if out is not None:
             out.close()
+        yield from index  # an archive is whole before its index goes on
 
     return run
 
