@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mix, near_duplicates, secrets, tokens, toxicity, warc
+from . import decontaminate, mix, near_duplicates, near_vectors, secrets, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op9_token_counts, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
