@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mix, near_duplicates, near_vectors, secrets, tokens, toxicity, warc
+from . import decontaminate, mix, near_duplicates, near_vectors, passages, secrets, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined_spans(own, base), 256).alias("base_sha256"), joined_spans(F.col("findings"), kinds).alias("spans"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_repeated", spans.alias("spans"), "other")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +73,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op9_token_counts, op10_near_vectors)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op8_passages, op9_token_counts, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
