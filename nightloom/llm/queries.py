@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mix, near_duplicates, near_vectors, passages, secrets, tokens, toxicity, warc
+from . import decontaminate, mix, near_duplicates, near_vectors, passages, personal_data, secrets, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, kinds = personal_data.find_personal_data(_table(spark, sf_dir, "documents")), personal_data.KINDS
+    return found.select("doc_id", *[kind_count("base", k) for k in kinds], F.sha2(joined_spans(F.col("base"), kinds), 256).alias("base_sha256"), joined_spans(F.col("spans"), kinds).alias("spans"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontaminate.judge(docs, _table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -73,7 +78,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op8_passages, op9_token_counts, op10_near_vectors)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_personal_data, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op8_passages, op9_token_counts, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
