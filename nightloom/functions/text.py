@@ -123,7 +123,7 @@ def binning(x: Column, y: Column) -> Column:
 
 def csv_list(text: Column) -> Column:
     """Comma-separated items, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def command_line(name: str, *arguments: Column) -> Column:
