@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mix, near_duplicates, near_vectors, passages, personal_data, secrets, tokens, toxicity, warc
+from . import decontaminate, mix, near_duplicates, near_vectors, oracle, passages, personal_data, secrets, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": oracle.OP1, "op2_near_duplicates": oracle.OP2, "op4_decontaminate": oracle.OP4, "op5_warc": oracle.OP5, "op10_near_vectors": oracle.OP10}
