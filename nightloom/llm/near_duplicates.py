@@ -196,6 +196,21 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the smallest id. All columns stay.
+
+    Rows with a null id stay. Of rows that repeat an id one stays. Texts move only if ids repeat or the
+    ids to go are too many to broadcast.
+    """
+    gone = cut(near_duplicates(docs, id_col, text_col, **kw).where(~F.col("kept")).select(id_col).distinct())
+    left = docs.join(small(gone), id_col, "left_anti").select(*docs.columns)
+    repeated = cut(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").select(id_col))
+    if not repeated.limit(1).count():
+        return left
+    once = left.join(small(repeated), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+    return left.join(small(repeated), id_col, "left_anti").select(*docs.columns).unionByName(once)
+
+
 def _owned(lists: DataFrame, owners: DataFrame) -> DataFrame:
     return lists.join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
 
