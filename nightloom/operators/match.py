@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 TOLERANCE, DAYS, EXPOSURE = 5.0, 720, 0.5
 OPTIONAL = ("offset", "binning")
+ORDER = ("dark", "flat", "bias")
 
 
 def optional_equal(wanted: Column, have: Column) -> Column:
@@ -52,16 +53,34 @@ def nearest_master(observations: DataFrame, masters: DataFrame, kind: str, toler
     return found.groupBy(F.col("id").alias("observation_id")).agg(best).select("observation_id", F.col("best.id").alias("master_id"), F.col("best.date").alias("master_date"))
 
 
+def nearest_masters(observations: DataFrame, masters: DataFrame, tolerance: float = TOLERANCE, days: int = DAYS, exposure: float = EXPOSURE) -> DataFrame:
+    """(observation_id, dark_id, flat_id, bias_id) of observations that have any: the three lookups as one join and one aggregate."""
+    bucket = lambda date: F.floor(F.unix_date(date) / (days + 1)).cast("int")
+    m = masters.where(F.col("kind").isin(*ORDER)).select(*[F.col(f"`{c}`").alias(f"m_{c}") for c in ("id", "kind", "date", "gain", "offset", "binning", "temperature", "exposure", "filter")]).withColumn("bucket", bucket(F.col("m_date")))
+    o = observations.select("id", "date", "gain", "`offset`", "binning", "temperature", "exposure", "filter").where("date is not null")
+    o = o.withColumn("bucket", F.explode(F.array(bucket(F.col("date")), bucket(F.col("date")) - 1)))
+    own = (
+        F.when(F.col("m_kind") == "dark", F.abs(F.col("m_exposure") - F.col("exposure")) <= exposure)
+        .when(F.col("m_kind") == "flat", F.col("m_filter") == F.col("filter"))
+        .otherwise(F.col("temperature").isNotNull())
+    )
+    close = F.col("m_date").between(F.date_sub("date", days), F.col("date")) & within(F.col("temperature"), F.col("m_temperature"), tolerance) & own
+    for c in OPTIONAL:
+        close &= optional_equal(F.col(f"`{c}`"), F.col(f"`m_{c}`"))
+    known = o.where("gain is not null").join(m.withColumn("gain", F.col("m_gain")), ["bucket", "gain"]).where(close)
+    unknown = o.where("gain is null").join(m, "bucket").where(close)
+    found = known.select("id", "m_kind", "m_date", "m_id").unionByName(unknown.select("id", "m_kind", "m_date", "m_id"))
+    best = lambda k: F.min(F.when(F.col("m_kind") == k, F.struct((-F.unix_date("m_date")).alias("age"), F.col("m_id").alias("id"))))["id"].alias(f"{k}_id")
+    return found.groupBy(F.col("id").alias("observation_id")).agg(*map(best, ORDER))
+
+
 def link_outcomes(observations: DataFrame, masters: DataFrame, **kw) -> DataFrame:
     """(observation_id, dark_id, flat_id, bias_id, outcome) for every observation.
 
     Outcome: dark+flat, else dark+bias, else flat, dark, bias, else none.
     """
-    out = observations.select(F.col("id").alias("observation_id"))
-    for kind in ("dark", "flat", "bias"):
-        found = nearest_master(observations, masters, kind, **kw)
-        out = out.join(found.select("observation_id", F.col("master_id").alias(f"{kind}_id")), "observation_id", "left")
-    dark, flat, bias = (F.col(f"{k}_id").isNotNull() for k in ("dark", "flat", "bias"))
+    out = observations.select(F.col("id").alias("observation_id")).join(nearest_masters(observations, masters, **kw), "observation_id", "left")
+    dark, flat, bias = (F.col(f"{k}_id").isNotNull() for k in ORDER)
     outcome = F.when(dark & flat, "dark+flat").when(dark & bias, "dark+bias").when(flat, "flat").when(dark, "dark").when(bias, "bias").otherwise("none")
     return out.withColumn("outcome", outcome)
 
