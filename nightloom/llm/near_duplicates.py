@@ -8,8 +8,9 @@ coordinate and value. Pairs that agree in at least `match` coordinates are wante
 * of the others only the rarest `count - match + 1` are kept: two texts that agree in `match`
   places share at least one of these (prefix),
 * lists are first merged against one pivot each, which ties large groups of copies together with
-  one candidate for each text (as in a spanning forest), and only then all pairs of a list that
-  lie in different components are counted (the pairs skipped can't change any component),
+  one candidate for each text (as in a spanning forest), texts still outside meet more pivots, and
+  only then all pairs of a list that lie in different components are counted (the pairs skipped
+  can't change any component),
 * pairs that collide often enough are confirmed on the full shingle sets.
 """
 
@@ -112,20 +113,69 @@ def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     return both.where(F.col("both").cast("long") * 100 >= F.col("either").cast("long") * percent).select("a", "b")
 
 
+def _cell(percent: int):
+    """Confirms the pairs of one cell: an inverted merge of the cell's right-hand sets against each left-hand one."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("b").to_numpy()
+        sets = [x.values.to_numpy() for x in right.column("sb").combine_chunks()] if len(ids) else []
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner, sizes, place = flat[order], owner[order], np.array([len(x) for x in sets]), {int(b): i for i, b in enumerate(ids)}
+        found_a, found_b = [], []
+        for a, wanted, own in zip(left.column("a").to_pylist(), left.column("bs").to_pylist(), left.column("sa").combine_chunks() if len(left) else []):
+            own = own.values.to_numpy()
+            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(ids))
+            mine = np.array([place[b] for b in wanted])
+            ok = both[mine] * 100 >= percent * (len(own) + sizes[mine] - both[mine])
+            found_b += [b for b, x in zip(wanted, ok) if x]
+            found_a += [a] * int(ok.sum())
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return run
+
+
+#: Partners from which on a text's pairs are confirmed in cells, and texts on either side of a cell, about.
+DENSE, SIDE = 64, 256
+
+
+def confirmed_dense(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """confirmed(), where texts with many partners go into cells of bounded size: a set is sent once for each cell, not for each pair."""
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= DENSE).select("a")
+    dense = cut(pairs.join(many, "a"))
+    n = dense.count()
+    if not n:
+        return confirmed(texts, pairs, width, percent)
+    sparse = confirmed(texts, cut(pairs.join(many, "a", "left_anti")), width, percent)
+    lefts, rights = (cut(dense.select(c).distinct()) for c in ("a", "b"))
+    cells = lambda c, side: F.pmod(F.xxhash64(c), F.lit(max(1, side.count() // SIDE))).cast("int")
+    placed = dense.withColumns({"ka": cells("a", lefts), "kb": cells("b", rights)})
+    wanted = cut(lefts.select(F.col("a").alias("id")).unionAll(rights.select(F.col("b").alias("id"))).distinct())
+    sets = texts.join(small(wanted), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<bigint>")
+    left = placed.groupBy("ka", "kb", "a").agg(F.collect_list("b").alias("bs"))  # of one cell
+    left = left.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").select("ka", "kb", "a", "bs", "sa")
+    right = placed.select(F.col("ka").alias("qa"), F.col("kb").alias("qb"), F.col("b").alias("id")).distinct().join(sets, "id").select("qa", "qb", F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    return left.groupBy("ka", "kb").cogroup(right.groupBy("qa", "qb")).applyInArrow(_cell(percent), "a long, b long").unionByName(sparse)
+
+
 def _colliding(pairs: DataFrame, signatures: DataFrame, match: int) -> DataFrame:
-    """Those pairs whose signatures agree in at least match coordinates."""
+    """Those pairs whose signatures agree in at least match coordinates, with that number: (a, b, same)."""
     same = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda x: x))
     return (
         pairs.join(signatures.withColumnsRenamed({"id": "a", "signature": "ga"}), "a")
         .join(signatures.withColumnsRenamed({"id": "b", "signature": "gb"}), "b")
-        .where(same >= match)
-        .select("a", "b")
+        .select("a", "b", same.alias("same"))
+        .where(F.col("same") >= match)
     )
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
-    coordinates: int = COORDINATES, match: int = MATCH, forests: int = 2,
+    coordinates: int = COORDINATES, match: int = MATCH, pivots: int = 16, tries: int = 8,
 ) -> DataFrame:
     """Per row of docs: (id_col, n_shingles, component_id, kept).
 
@@ -155,35 +205,38 @@ def near_duplicates(
     nearly = "least(n, m) * 100 >= greatest(n, m) * " + str(percent)
 
     # one pivot for each list, one candidate for each text: a forest that ties groups of copies together
-    owners = None
-    for turn in range(forests):
-        now = lists.withColumn("c", F.col("rep")) if owners is None else _owned(lists, owners)
-        pivots = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", F.col("n").alias("m"), F.col("c").alias("pc"))).alias("p"))
-        best = (
-            now.join(pivots.select("token", F.col("p.rep").alias("pivot"), "p.m", "p.pc"), "token")
-            .where(f"c <> pc and {nearly}")
-            .groupBy("rep", "pivot")
-            .agg(F.count(F.lit(1)).alias("hits"))
-            .groupBy("rep")
-            .agg(F.max_by("pivot", F.struct("hits", "pivot")).alias("pivot"))
-            .select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        )
-        owners = _joined(confirmed(texts, cut(_colliding(best, signatures, match)), width, percent), owners)
+    first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", F.col("n").alias("m"))).alias("p"))
+    best = (
+        lists.join(first.select("token", F.col("p.rep").alias("pivot"), "p.m"), "token")
+        .where(f"rep <> pivot and {nearly}")
+        .groupBy("rep", "pivot")
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .groupBy("rep")
+        .agg(F.max_by("pivot", F.struct("hits", "pivot")).alias("pivot"))
+        .select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    )
+    owners = _joined(confirmed(texts, cut(_colliding(best, signatures, match)), width, percent), None)
+
+    # texts outside the commonest component of a list meet more pivots of it, the likeliest first
+    rare, split = _outside(lists, owners)
+    turn = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(pivots)).alias("turn")
+    more = split.groupBy("token", turn).agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "c")).alias("p"))
+    tried = _colliding(
+        rare.join(more.select("token", "p.rep", "p.n", "p.c"), "token").where(f"c <> xc and {nearly}").select(F.col("x").alias("a"), F.col("rep").alias("b")).distinct(), signatures, match
+    )
+    likely = tried.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "b")), asc=False), 1, tries).alias("t"))  # at most pivots * coordinates
+    owners = _joined(confirmed(texts, cut(likely.select("a", F.explode("t.b").alias("b"))), width, percent), owners)
 
     # the rest: pairs of a list in different components; those of a list's commonest component against
     # each other are skipped, so the work follows the texts outside it
-    now = _owned(lists, owners)
-    parts = now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = now.join(main, "token")
-    rare = split.where("c <> main").select("token", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("c").alias("xc"))
+    rare, split = _outside(lists, owners)
     pairs = (
         rare.join(split, "token")
         .where(f"c <> xc and (c = main or x < rep) and {nearly}")
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+        .select(F.col("x").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
-    owners = _joined(confirmed(texts, cut(_colliding(pairs, signatures, match)), width, percent), owners)
+    owners = _joined(confirmed_dense(texts, cut(_colliding(pairs, signatures, match).select("a", "b")), width, percent), owners)
 
     of_class = classes.select("print", "rep").join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     whole = features.where("print is not null").select("id", "n", "print").join(of_class, "print", "left")
@@ -211,8 +264,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return left.join(small(repeated), id_col, "left_anti").select(*docs.columns).unionByName(once)
 
 
-def _owned(lists: DataFrame, owners: DataFrame) -> DataFrame:
-    return lists.join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
+def _outside(lists: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rare, split): lists with several components, and of these the texts outside the commonest one."""
+    now = lists.join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    parts = now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = cut(now.join(main.select("token", "main"), "token"))
+    return split.where("c <> main").select("token", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("c").alias("xc")), split
 
 
 def _joined(links: DataFrame, owners: DataFrame | None) -> DataFrame:
