@@ -312,6 +312,19 @@ def test_personal_data_by_context(spark):
 
 
 # ---- passages ---------------------------------------------------------------------------------------
+def test_common_subsequence():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.integers(0, 5, rng.integers(0, 40)), rng.integers(0, 5, rng.integers(0, 40))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert passages.common(a, b) == best[-1][-1]
+    a = rng.integers(0, 9, 10_000)
+    assert passages.alike(a, np.delete(a, [5, 5000]), 0.8) and not passages.alike(a, a[::-1].copy(), 0.8)
+
+
 def test_passages(spark):
     rng = random.Random(6)
     fresh = lambda n: " ".join(f"u{rng.randrange(10**7)}" for _ in range(n))
