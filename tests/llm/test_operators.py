@@ -340,6 +340,37 @@ def test_passages(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0 and passages.repeated_passages(docs.unionByName(docs).where("doc_id = 4")).count() == 0
 
 
+def test_passages_within_a_failing_chain(spark):
+    """Two exact passages that a chain joins over too many other words; an exact run among short shared fragments."""
+    rng = random.Random(16)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], {}
+    for insert in (0, 26, 30, 34, 38, 42):
+        one, two = fresh(50), fresh(50)
+        texts += [fresh(30) + one + two + fresh(30), fresh(30) + one + fresh(insert) + two + fresh(30)]
+        want[len(texts) - 1], want[len(texts)] = [(30, 130)], [(30, 130)] if insert == 0 else [(30, 80), (80 + insert, 130 + insert)]
+    run, bits = fresh(50), [fresh(20) for _ in range(3)]
+    texts += [fresh(30) + run + [w for b in bits for w in fresh(25) + b] + fresh(30), fresh(30) + run + [w for b in bits for w in fresh(27) + b] + fresh(30)]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    covered = lambda spans: {i for a, b in spans for i in range(a, b)}
+    for i, spans in want.items():
+        assert covered(spans) <= covered(got.get(i, [])), i
+    for i in (len(texts) - 1, len(texts)):
+        assert set(range(30, 80)) <= covered(got.get(i, []))
+
+
+def test_long_texts_with_uneven_insertions():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 10**6, 12_000)
+    b = np.concatenate([a[:100], *[np.concatenate([rng.integers(10**6, 10**7, 60), a[i : i + 300]]) for i in range(100, 3100, 300)], a[3100:]])
+    lost = np.flatnonzero(np.isin(b, a))
+    marks = [(x, int(y)) for x, y in enumerate(lost)][::10]
+    b[lost[6000:8150]] = -1
+    assert passages.common(a, b) >= 0.77 * len(b)
+    share = passages.common(a, b) / len(b)
+    assert not passages.alike(a, b, share) and passages.alike(a, b, share, marks=marks)
+
+
 def test_chains_with_a_fenwick_tree():
     rng = np.random.default_rng(1)
     for _ in range(50):
