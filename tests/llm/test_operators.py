@@ -388,6 +388,30 @@ def test_chains_with_a_fenwick_tree():
 
 
 # ---- tokens -----------------------------------------------------------------------------------------
+def brute_scores(pts, k=8):
+    best = [float(k)] * len(pts)
+    for i, (p, q) in enumerate(pts):
+        for j, (r, s) in enumerate(pts[:i]):
+            if r < p and s < q and p - r + q - s <= passages.GAP:
+                best[i] = max(best[i], best[j] - passages.GAP_COST * (p + q - r - s) + min(k, p - r, q - s))
+    return best
+
+
+def test_chain_scores_are_the_best():
+    rng = np.random.default_rng(3)
+    for size, n in [(60, 12), (60, 60), (300, 80), (1000, 200)] * 10:
+        pts = sorted({(int(p), int(q)) for p, q in zip(rng.integers(0, size, n), rng.integers(0, size, n))} | {(x, x + 3) for x in range(size // 2, size // 2 + 60, 5)})
+        pos, other = (np.array(c) for c in zip(*pts))
+        score, back = passages.scored(pos, other, 8, passages.GAP_COST, passages.GAP)
+        assert np.allclose(score, brute_scores(pts))
+        for i, p in enumerate(back):
+            assert p < 0 or (pos[p] < pos[i] and other[p] < other[i] and pos[i] - pos[p] + other[i] - other[p] <= passages.GAP)
+    # a far passage of a high score doesn't hide the neighbours; one anchor out of order keeps the tree in use
+    pts = sorted([(x, x) for x in range(0, 200, 6)] + [(100, 3)] + [(x, x + 50) for x in range(300, 350, 6)])
+    found = passages.chains(*(np.array(c) for c in zip(*pts)))
+    assert (300, 356, 350, 406, 9) in found and (0, 206, 0, 206, 34) in found
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
