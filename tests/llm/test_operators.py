@@ -412,6 +412,34 @@ def test_chain_scores_are_the_best():
     assert (300, 356, 350, 406, 9) in found and (0, 206, 0, 206, 34) in found
 
 
+def brute_runs(texts, least=50):
+    """Words of each text in a run of `least` words that another text has."""
+    grams = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for j in range(len(t) - least + 1):
+            grams[tuple(t[j : j + least])].add(i)
+    return [{x for j in range(len(t) - least + 1) if len(grams[tuple(t[j : j + least])]) > 1 for x in range(j, j + least)} for t in texts]
+
+
+def test_passages_of_recombined_lines(spark):
+    """Parts of a shared passage also occur alone in other documents, before and between its own."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(8):
+        parts = [fresh(rng.randrange(20, 30)) for _ in range(3)]
+        alone = lambda: [fresh(30) + p + fresh(30) for p in parts for _ in range(4)]
+        whole = lambda: fresh(40) + [w for p in parts for w in p] + fresh(40)
+        texts += [*alone(), whole(), *alone(), whole(), *alone()]
+    want = brute_runs(texts)
+    assert sum(map(bool, want)) == 16
+    got = {r["doc_id"]: r for r in passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    assert {i + 1 for i, w in enumerate(want) if w} <= set(got)
+    for i, w in enumerate(want):
+        if w:
+            assert w <= {x for a, b in got[i + 1]["spans"] for x in range(a, b)} and got[i + 1]["other"] != i + 1
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
