@@ -440,6 +440,27 @@ def test_passages_of_recombined_lines(spark):
             assert w <= {x for a, b in got[i + 1]["spans"] for x in range(a, b)} and got[i + 1]["other"] != i + 1
 
 
+def test_passages_of_repeated_lines(spark):
+    """A line repeated; the same with some words changed; a passage whose lines stand earlier in the first document."""
+    rng = random.Random(29)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for period in (7, 11, 15, 19):
+        line = fresh(period)
+        texts += [fresh(20) + line * 8 + fresh(20), line * 8, fresh(40) + line * 8]
+    copies = len(texts)
+    line = fresh(17)
+    texts += [fresh(20) + line * 8 + fresh(20), [w if x % 17 or x % 2 else f"m{x}" for x, w in enumerate(line * 8)]]
+    part = [fresh(24) for _ in range(3)]
+    whole = [w for p in part for w in p]
+    texts += [[w for p in part for w in fresh(60) + p] + fresh(200) + whole, fresh(90) + [w if x not in (12, 36, 60) else f"m{x}" for x, w in enumerate(whole)]]
+    got = {r["doc_id"]: {x for a, b in r["spans"] for x in range(a, b)} for r in passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    for i, w in enumerate(brute_runs(texts)[:copies]):
+        assert w and w <= got.get(i + 1, set())
+    assert len(got.get(copies + 1, ())) >= 100 and len(got.get(copies + 2, ())) >= 100
+    assert len(got.get(copies + 3, ())) >= 60 and len(got.get(copies + 4, ())) >= 60
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
