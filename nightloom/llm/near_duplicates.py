@@ -8,10 +8,11 @@ coordinate and value. Pairs that agree in at least `match` coordinates are wante
 * of the others only the rarest `count - match + 1` are kept: two texts that agree in `match`
   places share at least one of these (prefix),
 * lists are first merged against one pivot each, which ties large groups of copies together with
-  one candidate for each text (as in a spanning forest), texts still outside meet more pivots, and
-  only then all pairs of a list that lie in different components are counted (the pairs skipped
-  can't change any component),
-* pairs that collide often enough are confirmed on the full shingle sets.
+  one candidate for each text (as in a spanning forest),
+* then only pairs of a list in different components count (the others can't change any component):
+  those of short lists if they collide often enough, one by one inside the list's task; those of long
+  lists block by block, without ever being written as pairs,
+* and all are confirmed on the full shingle sets, in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -23,12 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, cut, small
+from .shared import components, cut, drop, small
 from .words import C1, C2, NOT_BLANK, U, mix, words
 
 COORDINATES = 32
 #: A pair of similarity 0.8 agrees in fewer than 14 of 32 coordinates about three times in a million.
 MATCH = 14
+#: Texts around one pivot that are compared in one cell, about.
+STAR = 512
+#: Texts of a list from which on it is compared block by block; shorter ones give candidates one by one.
+HEAVY = 64
+#: Shingles of a block, about.
+BLOCK = 1 << 19
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -84,82 +91,125 @@ def _features(width: int, coordinates: int):
 
 
 def _sets(width: int):
+    """Rows (id, comp, places, text) to (shingles, id, comp, places)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for k in range(0, len(ids), 256):
-                sets = list(shingle_sets(text.slice(k, 256), width))
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = list(shingle_sets(part.column(3), width))
                 sizes = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(k, 256), pa.ListArray.from_arrays(sizes, pa.array(flat))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(sizes, pa.array(flat)), *part.columns[:3]], names=["shingles", "id", "comp", "places"])
 
     return run
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+class Held:
+    """The right-hand sets of a cell: ids, components, sizes, and all shingles in order with their owners."""
 
-    Sets are made anew for the texts of the pairs only. Their ids are broadcast below a checked
-    number of rows; beyond it texts are shuffled.
-    """
-    wanted = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = texts.join(small(wanted), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<bigint>")
-    both = (
-        pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
-        .join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-        .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        .withColumn("either", F.size("sa") + F.size("sb") - F.col("both"))
-    )
-    return both.where(F.col("both").cast("long") * 100 >= F.col("either").cast("long") * percent).select("a", "b")
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.ids, self.comps, self.sizes, flat = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.ids)), self.sizes)[order]
 
+    def links(self, comp: int, own: np.ndarray, percent: int) -> np.ndarray:
+        """Ids alike enough to a set, one of each component but its own."""
+        lo, hi = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.ids))
+        good = np.flatnonzero((both * 100 >= percent * (len(own) + self.sizes - both)) & (self.comps != comp))
+        return self.ids[good[np.unique(self.comps[good], return_index=True)[1]]]
 
-def _cell(percent: int):
-    """Confirms the pairs of one cell: an inverted merge of the cell's right-hand sets against each left-hand one."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = right.column("b").to_numpy()
-        sets = [x.values.to_numpy() for x in right.column("sb").combine_chunks()] if len(ids) else []
-        owner = np.repeat(np.arange(len(ids)), [len(x) for x in sets])
-        flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-        order = np.argsort(flat, kind="stable")
-        flat, owner, sizes, place = flat[order], owner[order], np.array([len(x) for x in sets]), {int(b): i for i, b in enumerate(ids)}
-        found_a, found_b = [], []
-        for a, wanted, own in zip(left.column("a").to_pylist(), left.column("bs").to_pylist(), left.column("sa").combine_chunks() if len(left) else []):
-            own = own.values.to_numpy()
-            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(ids))
-            mine = np.array([place[b] for b in wanted])
-            ok = both[mine] * 100 >= percent * (len(own) + sizes[mine] - both[mine])
-            found_b += [b for b, x in zip(wanted, ok) if x]
-            found_a += [a] * int(ok.sum())
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+def _cells(percent: int):
+    """Rows (cell, side, id, comp, shingles), sorted by cell and side, to links (a, b) between side 1 and side 0 of a cell.
+
+    A cell's side 0 is held (its size is bounded by whoever placed it), side 1 passes by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, held = None, [], None
+        for batch in batches:
+            cells, sides, ids, comps = (batch.column(i).to_numpy() for i in range(4))
+            sets = batch.column(4)
+            flat, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1).tolist(), len(cells)]
+            found_a, found_b = [], []
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if cells[i] != cell:
+                    cell, parts, held = cells[i], [], None
+                if sides[i] == 0:
+                    parts.append((ids[i:j].copy(), comps[i:j].copy(), np.diff(ends[i : j + 1]), flat[ends[i] : ends[j]].copy()))
+                    continue
+                if held is None and parts:
+                    held = Held(parts)
+                for r in range(i, j) if held else ():
+                    near = held.links(comps[r], flat[ends[r] : ends[r + 1]], percent)
+                    found_b.append(near)
+                    found_a.append(np.full(len(near), ids[r]))
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
     return run
 
 
-#: Partners from which on a text's pairs are confirmed in cells, and texts on either side of a cell, about.
-DENSE, SIDE = 64, 256
+def confirmed(texts: DataFrame, places: DataFrame, owners: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts placed in the same cell on sides 1 and 0: 100 * intersection >= percent * union of their full sets.
+
+    places: (id, cell, side). Of the links of a text to one component of owners one is returned, within
+    a component none: what is joined already needs no more links. Every set is made once, from its
+    text, and sent once for each cell. The table of places is broadcast below a checked size.
+    """
+    own = places.groupBy("id").agg(F.collect_set(F.struct("cell", "side")).alias("places"))
+    own = own.withColumn("comp", F.col("id")) if owners is None else own.join(owners, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    own = cut(own.select("id", "comp", "places"))
+    rows = texts.join(small(own, weight=F.size("places") + 1), "id").select("id", "comp", "places", "text").mapInArrow(_sets(width), "shingles array<bigint>, id long, comp long, places array<struct<cell:bigint,side:int>>")
+    rows = rows.select(F.explode("places").alias("p"), "id", "comp", "shingles").select("p.cell", "p.side", "id", "comp", "shingles")
+    return cut(rows.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_cells(percent), "a long, b long"))
+
+
+def _collisions(match: int, percent: int):
+    """Rows (token, id, n, comp, main, signature), sorted by token, to rows (x, ys): partners of x in one list.
+
+    Pairs of one component, and pairs inside the list's main one, are skipped. What remains must agree in
+    `match` coordinates.
+    """
+
+    def pairs(token, ids, n, comp, main, signature):
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(token) != 0]))
+        sizes = np.diff(np.concatenate([starts, [len(token)]]))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        rare = np.flatnonzero(comp != main)
+        k = sizes[group[rare]]
+        i = np.repeat(rare, k)
+        j = np.repeat(starts[group[rare]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        on = (comp[i] != comp[j]) & ((comp[j] == main[j]) | (ids[i] < ids[j])) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        i, j = i[on], j[on]
+        same = np.concatenate([(signature[i[s : s + 65536]] == signature[j[s : s + 65536]]).sum(axis=1) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+        i, j = i[same >= match], j[same >= match]
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(i) != 0])) if len(i) else np.zeros(0, dtype=np.int64)
+        ys = pa.ListArray.from_arrays(pa.array(np.concatenate([edges, [len(i)]]).astype(np.int32)), pa.array(ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[i[edges]]), ys], names=["x", "ys"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy() for i in range(5)] + [batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1)]
+            now = now if kept is None else [np.concatenate(c) for c in zip(kept, now)]
+            last = int(np.searchsorted(now[0], now[0][-1], "left"))  # the list at the end may go on
+            if last:
+                yield pairs(*[c[:last] for c in now])
+            kept = [c[last:] for c in now]
+        if kept is not None:
+            yield pairs(*kept)
 
-def confirmed_dense(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """confirmed(), where texts with many partners go into cells of bounded size: a set is sent once for each cell, not for each pair."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= DENSE).select("a")
-    dense = cut(pairs.join(many, "a"))
-    n = dense.count()
-    if not n:
-        return confirmed(texts, pairs, width, percent)
-    sparse = confirmed(texts, cut(pairs.join(many, "a", "left_anti")), width, percent)
-    lefts, rights = (cut(dense.select(c).distinct()) for c in ("a", "b"))
-    cells = lambda c, side: F.pmod(F.xxhash64(c), F.lit(max(1, side.count() // SIDE))).cast("int")
-    placed = dense.withColumns({"ka": cells("a", lefts), "kb": cells("b", rights)})
-    wanted = cut(lefts.select(F.col("a").alias("id")).unionAll(rights.select(F.col("b").alias("id"))).distinct())
-    sets = texts.join(small(wanted), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<bigint>")
-    left = placed.groupBy("ka", "kb", "a").agg(F.collect_list("b").alias("bs"))  # of one cell
-    left = left.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").select("ka", "kb", "a", "bs", "sa")
-    right = placed.select(F.col("ka").alias("qa"), F.col("kb").alias("qb"), F.col("b").alias("id")).distinct().join(sets, "id").select("qa", "qb", F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return left.groupBy("ka", "kb").cogroup(right.groupBy("qa", "qb")).applyInArrow(_cell(percent), "a long, b long").unionByName(sparse)
+    return run
 
 
 def _colliding(pairs: DataFrame, signatures: DataFrame, match: int) -> DataFrame:
@@ -175,7 +225,7 @@ def _colliding(pairs: DataFrame, signatures: DataFrame, match: int) -> DataFrame
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
-    coordinates: int = COORDINATES, match: int = MATCH, pivots: int = 16, tries: int = 8,
+    coordinates: int = COORDINATES, match: int = MATCH, heavy: int = HEAVY, block: int = BLOCK,
 ) -> DataFrame:
     """Per row of docs: (id_col, n_shingles, component_id, kept).
 
@@ -202,41 +252,33 @@ def near_duplicates(
     )
     prefix = F.slice("tokens", 1, F.size("tokens") - F.lit(match - 1))
     lists = cut(kept.select("rep", "n", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "rep", "n"))
-    nearly = "least(n, m) * 100 >= greatest(n, m) * " + str(percent)
-
     # one pivot for each list, one candidate for each text: a forest that ties groups of copies together
     first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", F.col("n").alias("m"))).alias("p"))
     best = (
         lists.join(first.select("token", F.col("p.rep").alias("pivot"), "p.m"), "token")
-        .where(f"rep <> pivot and {nearly}")
+        .where(f"rep <> pivot and least(n, m) * 100 >= greatest(n, m) * {percent}")
         .groupBy("rep", "pivot")
         .agg(F.count(F.lit(1)).alias("hits"))
         .groupBy("rep")
         .agg(F.max_by("pivot", F.struct("hits", "pivot")).alias("pivot"))
         .select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     )
-    owners = _joined(confirmed(texts, cut(_colliding(best, signatures, match)), width, percent), None)
-
-    # texts outside the commonest component of a list meet more pivots of it, the likeliest first
-    rare, split = _outside(lists, owners)
-    turn = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(pivots)).alias("turn")
-    more = split.groupBy("token", turn).agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "c")).alias("p"))
-    tried = _colliding(
-        rare.join(more.select("token", "p.rep", "p.n", "p.c"), "token").where(f"c <> xc and {nearly}").select(F.col("x").alias("a"), F.col("rep").alias("b")).distinct(), signatures, match
-    )
-    likely = tried.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "b")), asc=False), 1, tries).alias("t"))  # at most pivots * coordinates
-    owners = _joined(confirmed(texts, cut(likely.select("a", F.explode("t.b").alias("b"))), width, percent), owners)
-
-    # the rest: pairs of a list in different components; those of a list's commonest component against
-    # each other are skipped, so the work follows the texts outside it
-    rare, split = _outside(lists, owners)
-    pairs = (
-        rare.join(split, "token")
-        .where(f"c <> xc and (c = main or x < rep) and {nearly}")
-        .select(F.col("x").alias("a"), F.col("rep").alias("b"))
-        .distinct()
-    )
-    owners = _joined(confirmed_dense(texts, cut(_colliding(pairs, signatures, match).select("a", "b")), width, percent), owners)
+    best = cut(_colliding(best, signatures, match))
+    cell = F.xxhash64("b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / STAR))).alias("cell")
+    stars = best.join(small(cut(best.groupBy("b").agg(F.count(F.lit(1)).alias("k")))), "b").select("a", "b", cell)
+    places = stars.select(F.col("a").alias("id"), "cell", F.lit(1).alias("side")).unionAll(stars.select("b", "cell", F.lit(0)).distinct())
+    owners = cut(components(confirmed(texts, places, None, width, percent)))
+
+    # lists with several components: pairs inside the commonest one are skipped, as they can't change any component
+    now = lists.join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    parts = now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = cut(now.join(main.select("token", "main", "k"), "token"))
+    places = _light(split.where(F.col("k") < heavy), signatures, match, percent).unionAll(_heavy(split.where(F.col("k") >= heavy), block))
+    links = confirmed(texts, places, owners, width, percent)
+    links = links.unionAll(owners.where("id <> component").select("id", "component"))
+    owners = cut(components(links))
+    drop(lists, split)
 
     of_class = classes.select("print", "rep").join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     whole = features.where("print is not null").select("id", "n", "print").join(of_class, "print", "left")
@@ -264,17 +306,34 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return left.join(small(repeated), id_col, "left_anti").select(*docs.columns).unionByName(once)
 
 
-def _outside(lists: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rare, split): lists with several components, and of these the texts outside the commonest one."""
-    now = lists.join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    parts = now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = cut(now.join(main.select("token", "main"), "token"))
-    return split.where("c <> main").select("token", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("c").alias("xc")), split
+def _light(split: DataFrame, signatures: DataFrame, match: int, percent: int) -> DataFrame:
+    """Places for pairs of short lists: a text and its partners meet in the cell of the smallest id around the text.
+
+    A text is in less than `coordinates` lists of less than `heavy` texts, which bounds its partners and a cell.
+    """
+    rows = split.join(signatures.withColumnRenamed("id", "rep"), "rep").select("token", "rep", "n", "c", "main", "signature")
+    met = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_collisions(match, percent), "x long, ys array<bigint>")
+    partners = cut(met.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")))
+    edges = partners.select("x", F.explode("ys").alias("y"))
+    label = edges.groupBy("x").agg(F.min("y").alias("m")).unionAll(edges.groupBy("y").agg(F.min("x"))).groupBy("x").agg(F.least("x", F.min("m")).alias("m"))
+    celled = partners.join(label, "x").select("x", "ys", F.xxhash64("m").alias("cell"))
+    return celled.select(F.col("x").alias("id"), "cell", F.lit(1).alias("side")).unionAll(celled.select(F.explode("ys"), "cell", F.lit(0)))
 
 
-def _joined(links: DataFrame, owners: DataFrame | None) -> DataFrame:
-    """Components of the links found so far: earlier components are edges to their smallest id."""
-    if owners is not None:
-        links = links.unionAll(owners.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return cut(components(links))
+def _heavy(split: DataFrame, block: int) -> DataFrame:
+    """Places for long lists: those with the same main component are one family, in which every text outside that
+    component meets all the texts of the family, block by block; no pairs are written.
+
+    A block holds sets of about `block` shingles.
+    """
+    family = cut(split.select("main", "rep", "n", "c").distinct())
+    weight = F.col("n") + 256
+    sizes = family.groupBy("main").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("c") != F.col("main"), weight)).alias("rare"))
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1))
+    dealt = family.join(sizes.select("main", blocks("all").alias("nb"), blocks("rare").alias("nr")), "main")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = F.xxhash64("main", "i", "j").alias("cell")
+    right = dealt.select("rep", "main", own("nb").alias("j"), upto("nr").alias("i"))
+    left = dealt.where("c <> main").select("rep", "main", own("nr").alias("i"), upto("nb").alias("j"))
+    return right.select(F.col("rep").alias("id"), cell, F.lit(0).alias("side")).unionAll(left.select("rep", cell, F.lit(1)))

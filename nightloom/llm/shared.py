@@ -1,4 +1,4 @@
-"""Shared folder, lineage cuts, size-checked broadcasts and connected components."""
+"""Shared folder, tables in it, size-checked broadcasts and connected components."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, a single machine) a temporary folder becomes the checkpoint folder.
+    Where it is unset a temporary folder becomes the checkpoint folder, but on a local master only:
+    on a cluster a folder of the driver would lose what executors write, so that is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -22,34 +23,54 @@ def shared_dir(spark: SparkSession) -> str:
     if not path and current.isDefined():
         path = current.get()
     if not path:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="nightloom-checkpoints-")
     if not current.isDefined():
         sc.setCheckpointDir(path)
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return to.getFileSystem(spark._jsc.hadoopConfiguration()), to
+
+
+def own_dir(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that nothing else uses; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, to = _file_system(spark, path)
+    fs.mkdirs(to)
+    fs.deleteOnExit(to)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder, without its lineage.
+    """The rows of df without its lineage: written to a compressed table in the shared folder and read again.
 
-    Survives the loss of any executor; Spark's cleaner removes the files once the rows are unused.
+    Survives the loss of any executor. drop() removes it; else it goes when the driver ends.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = own_dir(df.sparkSession, "cut")
+    df.write.mode("append").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, read again from a compressed table in the shared folder: for rows that are too many for cut()."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by cut() that no result reads any more."""
+    for t in tables:
+        fs, to = _file_system(t.sparkSession, t.cut_path)
+        fs.delete(to, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is (Spark shuffles).
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows (or that sum of weights), else as it is (Spark shuffles).
 
     df should be cheap to count (a cut table); it must be narrow.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    n = df.limit(limit + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= limit else df
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -61,8 +82,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     edges: (a, b) of one orderable type; direction, repeats and loops don't matter.
     Alternates large-star and small-star steps (Kiveris et al., 2014). Each step is a partial
-    aggregate for the smallest neighbour and an equi-join, so a hub is a skewed join key that
-    Spark can split, never a group held by one task.
+    aggregate for the smallest neighbour and a join with it: a broadcast below a checked number of
+    edges, else a join of two written tables, of which Spark can split a hub's rows.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
 
@@ -73,12 +94,22 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     if not state[0]:
         return edges.select(F.col("lo").alias("id"), F.col("lo").alias("component"))
     for _ in range(rounds):
+        used = [edges]
+
+        def sent(least: DataFrame, used: list = used, few: bool = 2 * state[0] <= BROADCAST_ROWS) -> DataFrame:
+            if few:  # a row for each end of an edge at most
+                return F.broadcast(least)
+            used.append(cut(least))
+            return used[-1]
+
         # large star: neighbours above u hang on the smallest neighbour of u (or u)
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = sent(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
         # small star: u and its neighbours below hang on the smallest of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = cut(large)
+        used.append(large)
+        least = sent(large.groupBy("hi").agg(F.min("lo").alias("m")))
         hung = large.join(least, "hi")
         edges = cut(
             hung.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
@@ -86,6 +117,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .where("lo <> hi")
             .distinct()
         )
+        drop(*used)
         now = digest(edges)
         if now == state:
             break

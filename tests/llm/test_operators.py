@@ -72,17 +72,37 @@ def test_near_duplicates(spark, width):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(i for i, (_, c) in got.items() if i == c)
 
 
-def test_near_duplicates_dense_cells(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "DENSE", 1)
-    monkeypatch.setattr(near_duplicates, "SIDE", 3)
+@pytest.mark.parametrize("heavy,block", [(2, 1500), (10**6, 1 << 19)])
+def test_near_duplicates_in_blocks_and_short_lists(spark, heavy, block):
+    """Every list by blocks, and none: a cloud of texts on both sides of the border gives the same components."""
     rng = random.Random(9)
-    base = prose(rng, 100).split()
-    texts = [" ".join(w if rng.random() > 0.06 else f"e{rng.randrange(10**6)}" for w in base) for _ in range(40)]
-    docs = docs_of(spark, texts)
-    pairs = spark.createDataFrame([(a, b) for a in range(1, 41) for b in range(1, 41) if a < b], "a long, b long")
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    dense = {tuple(r) for r in near_duplicates.confirmed_dense(rows, pairs, 2, 80).collect()}
-    assert dense == {tuple(r) for r in near_duplicates.confirmed(rows, pairs, 2, 80).collect()} and dense
+    base = prose(rng, 100, 10**6).split()
+    texts = [" ".join(w if rng.random() > rate else f"e{rng.randrange(10**6)}" for w in base) for rate in (0.03, 0.05, 0.08) for _ in range(25)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(docs_of(spark, texts), width=2, heavy=heavy, block=block).collect()}
+    want = brute_components(list(enumerate(texts, 1)), 2, 80)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 70
+
+
+def test_near_duplicate_links_at_the_border(spark):
+    """Pairs of similarity 0.8 and little more: 400 of them, each alone, are found; those just below are not linked."""
+    texts = []
+    for i in range(400):
+        words = [f"p{i}w{k}" for k in range(91)]  # 90 shingles; every change at an end takes one of each set
+        cut = 10 if i % 2 == 0 else 11
+        texts += [" ".join(words), " ".join(words[cut:] + [f"q{i}x{k}" for k in range(cut)])]
+    pairs = {2 * i + 1: 100 * (90 - c) >= 80 * (90 + c) for i in range(400) for c in [10 if i % 2 == 0 else 11]}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs_of(spark, texts), width=2).collect()}
+    found = [got[a + 1] == a for a, linked in pairs.items() if linked]
+    assert len(found) == 200 and sum(found) >= 0.99 * len(found)
+    assert all(got[a + 1] == a + 1 for a, linked in pairs.items() if not linked)
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """A megabyte of distinct words with near copies of it, beside short texts."""
+    long = [f"w{k}" for k in range(150_000)]
+    texts = [" ".join(long), " ".join(long[5_000:]), " ".join(long[60_000:]), "short one", "short one"]
+    got = [r["component_id"] for r in sorted(near_duplicates.near_duplicates(docs_of(spark, texts)).collect())]
+    assert got == [1, 1, 3, 4, 4]
 
 
 def test_near_duplicates_nulls_repeats_and_none(spark):
