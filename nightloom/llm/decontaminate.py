@@ -1,9 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams against training windows.
 
 Benchmark windows are gathered in blocks of at most `block` windows. Every block is one broadcast
-and one narrow scan step over the documents, chained after the other, so any number of benchmark
-windows is handled without a shuffle of texts and no broadcast outgrows its bound. A hash hit is
-verified on the words themselves.
+and one narrow scan step over the documents; beyond one block each step is written before the next,
+so any number of benchmark windows is handled without a shuffle of texts, and one block is alive at
+a time. A hash hit is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import text_or_empty
+from .shared import cut, text_or_empty
 from .words import ALNUM, words
 
 WINDOW = 13
@@ -29,7 +29,7 @@ class Block(NamedTuple):
 
     length: int
     hashes: np.ndarray
-    items: np.ndarray
+    items: list[int | None]
     texts: list[bytes]
 
 
@@ -44,7 +44,7 @@ def _windows(width: int):
                 for r in range(j - i):
                     a, b = w.of(r)
                     n = min(width, b - a)
-                    if n and ids[i + r] is not None:
+                    if n:
                         grams = w.ngrams(n)
                         for k in range(a, b - n + 1):
                             text = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[k : k + n], w.end[k : k + n]))
@@ -72,8 +72,8 @@ def _blocks(windows: DataFrame, block: int) -> Iterator[list[Block]]:
 def _pack(rows: list) -> list[Block]:
     packed = []
     for n in sorted({r["length"] for r in rows}):
-        own = sorted((np.int64(r["hash"]).view(np.uint64), r["item"], bytes(r["text"])) for r in rows if r["length"] == n)
-        packed.append(Block(n, np.array([x[0] for x in own], dtype=np.uint64), np.array([x[1] for x in own]), [x[2] for x in own]))
+        own = sorted(((np.int64(r["hash"]).view(np.uint64), r["item"], bytes(r["text"])) for r in rows if r["length"] == n), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+        packed.append(Block(n, np.array([x[0] for x in own], dtype=np.uint64), [x[1] for x in own], [x[2] for x in own]))
     return packed
 
 
@@ -108,12 +108,12 @@ def _scan(shared, n_carried: int):
                         while f < len(block.hashes) and block.hashes[f] == h:
                             if block.texts[f] == own:
                                 p = int(k - w.first[r])
-                                new.setdefault(i + int(r), set()).add((p, p + block.length, int(block.items[f])))
+                                new.setdefault(i + int(r), set()).add((p, p + block.length, block.items[f]))
                             f += 1
             if new:
                 old = hits.to_pylist()
                 for r, found in new.items():
-                    old[r] = (old[r] or []) + [dict(zip(("start", "end", "item"), x)) for x in sorted(found)]
+                    old[r] = (old[r] or []) + [dict(zip(("start", "end", "item"), x)) for x in sorted(found, key=lambda x: (x[:2], x[2] is not None, x[2] or 0))]
                 hits = pa.array(old, type=hits.type)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: n_carried + 1], hits, pa.array(counts)], names=[*batch.schema.names[: n_carried + 2], "n_words"]
@@ -128,8 +128,8 @@ def find_contamination(
     """docs with n_words and hits: array of (start, end, item), word ranges that are a benchmark window.
 
     A window is `width` consecutive words of an item; an item of fewer words, but not none, is one
-    window. Null texts have no words; benchmark rows without id or words have no window; an empty
-    benchmark hits nothing. Columns of docs stay as they are, except that `hits` and `n_words` are
+    window. Null texts have no words; benchmark rows without words have no window; those without an id
+    hit like others, with a null item; an empty benchmark hits nothing. Repeated items add nothing. Columns of docs stay as they are, except that `hits` and `n_words` are
     the operator's: equally named columns of docs are replaced. Rows keep their number, repeated or not.
     """
     windows = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(item_text_col).alias("text")).mapInArrow(
@@ -140,8 +140,13 @@ def find_contamination(
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
     flow = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carried, names)], F.col(text_col).alias("text_"), F.expr("cast(null as array<struct<start:int,end:int,item:bigint>>)").alias("hits"))
     schema = f"{kinds}{', ' if kinds else ''}text_ string, hits array<struct<start:int,end:int,item:bigint>>, n_words long"
+    sent = None
     for packed in _blocks(windows.dropDuplicates(["length", "hash", "item", "text"]), block):
-        flow = flow.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(packed), len(carried)), schema)
+        if sent is not None:  # one block and one scan step at a time
+            flow = cut(flow)
+            sent.destroy()
+        sent = docs.sparkSession.sparkContext.broadcast(packed)
+        flow = flow.mapInArrow(_scan(sent, len(carried)), schema)
     if "n_words" not in flow.columns:
         flow = flow.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast([]), len(carried)), schema)
     return flow.select(*[F.col(x).alias(c) for c, x in zip(carried, names)], "n_words", F.coalesce("hits", F.expr("array()").cast("array<struct<start:int,end:int,item:bigint>>")).alias("hits"))
@@ -153,13 +158,13 @@ def covered_words(hits: str = "hits") -> Column:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, least_parts: int = 20, **kw) -> DataFrame:
-    """find_contamination with n_hit, items (sorted as strings) and contaminated.
+    """find_contamination with n_hit, items (sorted as strings, without null ids) and contaminated.
 
     contaminated: n_hit > 0 and least_parts * n_hit >= n_words.
     """
     found = find_contamination(docs, benchmark, **kw)
     return found.withColumns(
-        {"n_hit": covered_words(), "items": F.sort_array(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("string"))))}
+        {"n_hit": covered_words(), "items": F.sort_array(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item"].cast("string")), lambda x: x.isNotNull())))}
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_parts >= F.col("n_words")))
 
 

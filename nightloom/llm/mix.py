@@ -58,10 +58,10 @@ def mix_sources(
     copies: array of (words, position): whole copies, and at most one copy cut after `words` words, where
     the source's target ends; so a source's taken words are its target, rounded down. position: the first
     copy's, null if nothing is taken. Rows of equal id and size (repeated rows) take their turns one after
-    the other. A source without words has target 0. An empty table gives an empty one. Other columns are
-    ignored, whatever their names. The table of sources (one row each) is held by one task.
+    the other; rows with a null id are ordered by their text. A source without words has target 0. An
+    empty table gives an empty one. Other columns are ignored, whatever their names. The table of sources (one row each) is held by one task.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("")).cast("binary"))
     base = cut(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), key.alias("h"))
         .withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))  # in the order of h
@@ -97,9 +97,6 @@ def mix_sources(
         .join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
         .select("doc_id", "size", "source_size", "class", "target", (F.col("before") + F.col("inside")).alias("at"))
     )
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_passes).cast("long"))).otherwise(F.lit(0).cast("long"))
-    left = F.floor(F.col("target") - F.col("full") * F.col("source_size"))
-    middle = lambda k, n: (k * F.col("source_size") + F.col("at") + n / 2) / F.col("target")
 
     def timed(share: Column) -> Column:
         out = time_of(share, classes[0], knots)
@@ -107,15 +104,17 @@ def mix_sources(
             out = F.when(F.col("class") == i, time_of(share, c, knots)).otherwise(out)
         return out
 
-    passes = F.when((F.col("full") > 0) & (F.col("size") > 0), F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).otherwise(F.array().cast("array<bigint>"))
-    full_copies = F.transform(passes, lambda k: F.struct(F.col("size").alias("words"), timed(middle(k, F.col("size"))).alias("position")))
-    cut_copy = F.when(F.col("part") > 0, F.array(F.struct(F.col("part").alias("words"), timed(middle(F.col("full"), F.col("part"))).alias("position")))).otherwise(F.array().cast("array<struct<words:bigint,position:double>>"))
+    def copy(k: Column) -> Column:
+        """The k-th copy: its place in the source's stream, inverted to a position; words up to where the demand ends."""
+        place = k * F.col("source_size") + F.col("at")
+        n = F.least(F.col("size"), F.floor("target") - place)
+        return F.struct(n.alias("words"), timed(F.try_divide(place + n / 2, F.col("target"))).alias("position"))
+
+    passes = F.sequence(F.lit(0).cast("long"), F.lit(max_passes - 1).cast("long"))
     out = (
-        placed.withColumn("full", whole)
-        .withColumn("part", F.greatest(F.least("size", left - F.col("at")), F.lit(0).cast("long")))
-        .withColumn("copies", F.concat(full_copies, cut_copy))
-        .withColumn("taken", F.col("full") * F.col("size") + F.col("part"))
-        .withColumn("position", F.element_at(F.transform("copies", lambda c: c["position"]), F.when(F.size("copies") > 0, 1)))
+        placed.withColumn("copies", F.filter(F.transform(passes, copy), lambda c: c["words"] > 0))
+        .withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]))
+        .withColumn("position", F.get(F.transform("copies", lambda c: c["position"]), F.lit(0)))
     )
     return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", "position", "copies").repartitionByRange("position", "doc_id").sortWithinPartitions("position", id_col)
 

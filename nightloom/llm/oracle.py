@@ -3,17 +3,24 @@
 OP1 = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-r AS (SELECT *, [1.0, 2.0, 3.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight, source_size * 3 AS cap FROM s),
+r0 AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) AS class FROM s),
+r AS (SELECT *, [1.0, 2.0, 3.0][class + 1]::DOUBLE AS weight, source_size * 3 AS cap FROM r0),
 f AS (SELECT *, sum(source_size) OVER () AS everything, sum(weight) OVER () AS w_all,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
     coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS ws FROM r),
 g AS (SELECT *, CAST(everything - caps AS DOUBLE) / (w_all - ws) AS share FROM f),
 l AS (SELECT *, (SELECT arg_min(share, cap / weight) FROM g WHERE cap > share * weight) AS level FROM g),
-t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), level * weight), CAST(cap AS DOUBLE)) AS target FROM l),
-p AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
+t AS (SELECT source, source_size, class, coalesce(least(CAST(cap AS DOUBLE), level * weight), CAST(cap AS DOUBLE)) AS target FROM l),
+p AS (SELECT d.*, t.source_size, t.class, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS full_ FROM p)
-SELECT doc_id, size, source_size, target, CAST(full_ * size + greatest(least(size, CAST(floor(target - full_ * source_size) AS BIGINT) - before_), 0) AS BIGINT) AS taken FROM q
+q AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS full_, least(size, CAST(floor(target) AS BIGINT) - before_) AS n1 FROM p),
+y AS (SELECT *, CASE WHEN n1 > 0 THEN (CAST(before_ AS DOUBLE) + CAST(n1 AS DOUBLE) / 2) / target END AS share FROM q),
+k AS (SELECT *, share * (class + 1) AS v, [1.5, 2.0, 1.5][class + 1]::DOUBLE AS x0, [1.0, 2.0, 3.0][class + 1]::DOUBLE AS x1, [-1.0, 0.0, 3.0][class + 1]::DOUBLE AS slope, [0.625, 1.0, 1.125][class + 1]::DOUBLE AS area FROM y)
+SELECT doc_id, size, source_size, target, CAST(full_ * size + greatest(least(size, CAST(floor(target - full_ * source_size) AS BIGINT) - before_), 0) AS BIGINT) AS taken,
+    CASE WHEN share IS NULL THEN NULL
+         WHEN v <= area THEN least(0.0::DOUBLE + CASE WHEN slope = 0 THEN v / x0 ELSE (sqrt(greatest(x0 * x0 + v * (2 * slope), 0.0)) - x0) / slope END, 0.5::DOUBLE)
+         ELSE least(0.5::DOUBLE + CASE WHEN slope = 0 THEN (v - area) / x1 ELSE (sqrt(greatest(x1 * x1 + (v - area) * (2 * slope), 0.0)) - x1) / slope END, 1.0::DOUBLE) END AS position
+FROM k
 """
 
 OP2 = r"""
@@ -45,7 +52,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 b AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, array_to_string(list_transform(string_split(sha1(payload), ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM p),
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(0, 5), lambda k: CAST(substr(bits, i * 5 + k + 1, 1) AS INT) * CAST(pow(2, 4 - k) AS INT))) AS INT) + 1, 1)), '') AS payload_digest FROM b),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_ FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_ = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_ <> page_id THEN first_ END AS refers_to FROM m
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_ IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_ IS DISTINCT FROM page_id THEN first_ END AS refers_to FROM m
 """
 
 OP10 = r"""

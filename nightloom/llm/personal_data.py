@@ -99,12 +99,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    before = lambda b: F.lower(F.substring(b, -60, 60))
+    before = lambda b: F.lower(F.rtrim(F.regexp_replace(b, r"\s+", " ")))
+    # the last words before a candidate, whole; very long ones by their digest, so that a pattern stays short
+    last = lambda b, n: F.substring_index(before(b), " ", -n)
+    brief = lambda p: F.when(F.length(p) > 64, F.md5(p.cast("binary"))).otherwise(p)
+    both = lambda b: F.when(F.contains(F.ltrim(last(b, 2)), F.lit(" ")), brief(last(b, 2))).otherwise("")
     candidates = F.transform(
         located(F.col("text"), CANDIDATE),
-        lambda c: F.struct(c["text"].alias("text"), c["start"].alias("start"), c["end"].alias("end"), F.regexp_extract(before(c["before"]), r"(\S+)\s*$", 1).alias("one"), F.regexp_extract(before(c["before"]), r"(\S+\s+\S+)\s*$", 1).alias("two")),
+        lambda c: F.struct(c["text"].alias("text"), c["start"].alias("start"), c["end"].alias("end"), brief(last(c["before"], 1)).alias("one"), both(c["before"]).alias("two")),
     )
-    scanned = cut(rows.select("id", F.xxhash64("id", "text").alias("row"), base_spans(F.col("text")).alias("base"), candidates.alias("candidates")))
+    scanned = cut(rows.select("id", F.md5(F.concat_ws("\n", F.col("id").cast("string"), F.col("id").isNull().cast("string"), F.col("text")).cast("binary")).alias("row"), base_spans(F.col("text")).alias("base"), candidates.alias("candidates")))
     # candidates without the punctuation around them, and the kind of the base span they overlap
     each = scanned.select("row", "base", F.explode("candidates").alias("c")).dropDuplicates(["row", "c"])
     lead = F.length(F.regexp_extract("c.text", r"""^[("'\[<{]*""", 0))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import decontaminate, mix, near_duplicates, near_vectors, oracle, passages, personal_data, secrets, tokens, toxicity, warc
+from .shared import own_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def kind_count(spans: str, kind: str) -> Column:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_versions(_table(spark, sf_dir, "documents"))
+    found = secrets.scan_into(_table(spark, sf_dir, "documents"), own_dir(spark, "ledger"))
     kinds, base = tuple(r.kind for r in secrets.BASE + secrets.MORE), tuple(r.kind for r in secrets.BASE)
     own = F.filter("findings", lambda s: s["kind"].isin(*base))
     counts = [kind_count("findings", k) for k in base]

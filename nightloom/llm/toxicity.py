@@ -24,12 +24,14 @@ BITS = 20
 BEGINNINGS = (4, 5, 6, 7)
 TERMS = 4096
 FACTORS = 4
-#: Labelled rows the machine is fitted on, at most; those with the smallest hash of their id.
+#: Labelled rows the machine is fitted on, at most about; those whose id's hash lies below a bound.
 SAMPLE = 30_000
+#: Terms that a task counts before it hands on what it has.
+MERGE = 1 << 19
 
 
 class Model(NamedTuple):
-    slot: np.ndarray  # hashed term -> feature, or -1
+    terms: np.ndarray  # the features' hashed terms
     bias: float
     linear: np.ndarray
     factors: np.ndarray
@@ -52,18 +54,36 @@ def _distinct(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, label) -> number of texts with it; one partial sum for each task."""
-    counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+    """(term, n0, n1): texts of either label that have the term; a partial sum for each MERGE terms or so."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(c) for c in zip(*held))
+        keys, at = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(at, counts).astype(np.int64)
+
+    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        label = keys & 1
+        return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(counts * (1 - label)), pa.array(counts * label)], names=["term", "n0", "n1"])
+
     for batch in batches:
-        label = np.asarray(batch.column(1).to_pylist(), dtype=np.int64)
+        label = batch.column(1).to_numpy().astype(np.int64)
         for i, j, w in words(batch.column(0), ALNUM):
             row, term = _distinct(*row_terms(w, j - i))
-            for y in (0, 1):
-                counts[y] += np.bincount(term[label[i + row] == y], minlength=1 << BITS)
-    seen = np.flatnonzero(counts.any(axis=0))
-    for k in range(0, len(seen), 50_000):
-        at = seen[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["term", "n0", "n1"])
+            held.append(np.unique(term << 1 | label[i + row], return_counts=True))
+            if sum(len(k) for k, _ in held) > MERGE:
+                held = [merged()]
+                if len(held[0][0]) > MERGE // 2:
+                    yield out(*held.pop())
+    if held:
+        yield out(*merged())
+
+
+def slots(terms: np.ndarray) -> np.ndarray:
+    """Hashed term -> feature, or -1."""
+    slot = np.full(1 << BITS, -1, dtype=np.int32)
+    slot[terms] = np.arange(len(terms))
+    return slot
 
 
 def _known(slot: np.ndarray, w: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +96,11 @@ def _known(slot: np.ndarray, w: Words, rows: int) -> tuple[np.ndarray, np.ndarra
 
 def _featured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = slots(shared.value)
         for batch in batches:
             features: list = []
             for i, j, w in words(batch.column(0), ALNUM):
-                row, feature = _known(shared.value, w, j - i)
+                row, feature = _known(slot, w, j - i)
                 features += np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, j - i)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(features, pa.list_(pa.int32()))], names=["label", "h", "features"])
 
@@ -128,9 +149,10 @@ def machine_scores(row: np.ndarray, at: np.ndarray, n: int, bias: float, w: np.n
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 5, terms: int = TERMS, sample: int = SAMPLE) -> Model:
     """Learns from labelled rows whose crc32(id as text) mod held_out isn't 0.
 
-    Term counts go over all of them; the machine is fitted on `sample` of them at most. Rows without
-    id or label teach nothing; of an id's labels the largest counts. With no labelled rows of one of
-    the classes the model gives every text the same score.
+    Term counts go over all of them; the machine is fitted on about `sample` of them at most, those
+    with a hash of the id below a bound set by their number. Rows without id or label teach nothing; of
+    an id's labels the largest counts, and repeated rows of an id teach as often. With no labelled rows
+    of one of the classes nothing tells toxic texts: the model gives every text the same low score.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % held_out != 0))
@@ -138,29 +160,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     taught = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(small(wanted), "id_").select("text", "label", F.xxhash64("id_").alias("h"))
     counts = taught.select("text", "label").mapInArrow(_term_counts, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     (n0, n1) = (float(x or 0) for x in wanted.agg(F.sum(1 - F.col("label")), F.sum("label")).first())
-    slot = np.full(1 << BITS, -1, dtype=np.int32)
     if not n0 or not n1:
-        return Model(slot, float(np.log((n1 + 0.5) / (n0 + 0.5))), np.zeros(1), np.zeros((1, FACTORS)))
+        return Model(np.zeros(0, dtype=np.int64), min(-1.0, float(np.log(0.5 / (n0 + 0.5)))), np.zeros(1), np.zeros((1, FACTORS)))
     # signed chi-square, continuity-corrected, of presence against label
     n, seen = n0 + n1, F.col("n0") + F.col("n1")
     cross = F.col("n1") * n0 - F.col("n0") * n1
     chi = F.pow(F.greatest(F.abs(cross) - n / 2, F.lit(0.0)), 2) * n / (F.lit(n0 * n1) * seen * F.greatest(F.lit(n) - seen, F.lit(1.0)))
-    best = counts.where(seen >= 5).withColumn("chi", chi).where("chi > 10").orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()
-    chosen = np.array([r[0] for r in best], dtype=np.int64)
-    slot[chosen] = np.arange(len(chosen))
-    shared = spark.sparkContext.broadcast(slot)
-    rows = taught.mapInArrow(_featured(shared), "label int, h long, features array<int>").orderBy("h", "label").limit(sample).collect()
-    fitted = fit_machine([np.array(r["features"], dtype=np.int64) for r in rows], np.array([r["label"] for r in rows], dtype=float), max(1, len(chosen)))
-    return Model(slot, *fitted)
+    told = counts.where(seen >= 5).withColumn("chi", chi).where("chi > 10").select("chi", "term").coalesce(8)  # 2 ** BITS rows at most
+    chosen = np.array([r[0] for r in told.orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()], dtype=np.int64)
+    share = min(1.0, (sample - 4 * sample**0.5) / n) if n > sample else 1.0
+    some = taught if share == 1 else taught.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32)))
+    shared = spark.sparkContext.broadcast(chosen)
+    rows = some.mapInArrow(_featured(shared), "label int, h long, features array<int>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    shared.destroy()
+    features = [x.values.to_numpy().astype(np.int64) for x in rows.column("features").combine_chunks()] if rows.num_rows else []
+    return Model(chosen, *fit_machine(features, rows.column("label").to_numpy().astype(float), max(1, len(chosen))))
 
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        slot = slots(model.terms)
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for i, j, w in words(batch.column(0), ALNUM):
-                row, feature = _known(model.slot, w, j - i)
+                row, feature = _known(slot, w, j - i)
                 scores[i:j] = machine_scores(row, feature, j - i, model.bias, model.linear, model.factors)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-scores)))], names=[*batch.schema.names[1:], "score"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut, shared_dir
+from .shared import cut, own_dir
 
 #: Bytes of one coalesced read, and the gap that is read over rather than sought.
 READ, GAP = 8 << 20, 64 << 10
@@ -42,7 +42,7 @@ def resolve(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
     same = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = same.where("n > 1 and first is not null").select("payload_digest", "payload_bytes", "first")
-    first = F.when(F.col("first") != F.col("page_id"), F.col("first"))
+    first = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return rows.join(repeated, ["payload_digest", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", first.alias("refers_to"))
 
 
@@ -113,10 +113,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
     """(index, folder): archives of all pages under the folder, which driver and executors share.
 
     A null html is an empty payload; equal payloads are one response and revisits (see resolve); rows
-    that repeat a page_id with an equal payload are all responses if it is the smallest. Null ids and
-    URLs are kept as such. An empty table gives an empty index. The index is written before it is used.
+    that repeat a page_id with an equal payload are all responses if it is the smallest. Null URLs are
+    kept as such; a null id is never the smallest: its record revisits the smallest id's, if there is one. An empty table gives an empty index. The index is written before it is used.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = folder or own_dir(pages.sparkSession, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text looked at in one go; a longer text is one slice by itself.
-SLICE = 1 << 19
+SLICE = 1 << 18
 BASE, C1, C2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
@@ -114,3 +114,4 @@ def words(column: pa.Array, is_word: np.ndarray) -> Iterator[tuple[int, int, Wor
     at, data = text_bytes(column)
     for i, j in slices(at):
         yield i, j, Words(at[i : j + 1] - at[i], data[at[i] : at[j]], is_word)
+    pa.default_memory_pool().release_unused()  # workers live on after their task
