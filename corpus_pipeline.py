@@ -2,23 +2,25 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+In every stage a null or empty text is a clean document that is like no other; rows with a null doc_id
+stay, rows that repeat one are one document for near duplicates and stay apart elsewhere; an empty table
+gives an empty one; further columns of documents, whatever their names, go through all but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nightloom.llm import decontaminate, mix, near_duplicates, secrets, toxicity
-from nightloom.llm.shared import shared_dir
+from nightloom.llm.shared import own_dir
 
 #: Five words and a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine doesn't predict to be toxic."""
+    """Documents that the factorization machine doesn't predict to be toxic; all of them if there are no labels to learn from."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
 
@@ -58,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Between stages documents are tables in the shared folder."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), own_dir(spark, "corpus")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
