@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-# The names by which a filter is known, and the mixes in the order they are tried.
+# The names by which a filter is known, in any case, and the mixes in the order they are tried.
 BANDS = {
-    "L": ("L", "Lum", "Luminance"),
+    "L": ("L", "Luminance"),
     "R": ("R", "Red"),
     "G": ("G", "Green"),
     "B": ("B", "Blue"),
-    "S": ("S", "SII", "S2", "Sulfur"),
-    "H": ("H", "Ha", "H-alpha", "Halpha"),
-    "O": ("O", "OIII", "O3", "Oxygen"),
+    "S": ("S", "S2", "S-2", "SII", "S-II", "S-Two"),
+    "H": ("H", "Ha", "H-Alpha", "HAlpha"),
+    "O": ("O", "O3", "O-3", "OIII", "O-III", "O-Three"),
 }
 MIXES = (("LRGB", "LRGB"), ("RGB", "RGB"), ("L-SHO", "LSHO"), ("SHO", "SHO"), ("L-HOO", "LHO"), ("HOO", "HO"))
 
@@ -141,15 +141,18 @@ def synonyms(spark: SparkSession) -> DataFrame:
 def color_mixes(stacks: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """(project, mix, images): what each project can compose of its stacks (project, filter, path, position).
 
-    The first stack of a band counts. Mixes named in exclude (in any case) are left out.
+    The first stack of a band counts. Mixes named in exclude (in any case) are left out. A project that can
+    form none has each of its stacks by itself: mix Single, one image.
     """
-    bands = stacks.withColumn("alias", F.lower("filter")).join(F.broadcast(synonyms(stacks.sparkSession)), "alias")
+    bands = stacks.join(F.broadcast(synonyms(stacks.sparkSession)), F.lower("filter") == F.col("alias"), "left")
     first = bands.groupBy("project").pivot("band", list(BANDS)).agg(F.min(F.struct("position", "path"))["path"])
     unwanted = {e.lower() for e in exclude}
+    none = F.array().cast("array<struct<turn:int,mix:string,images:array<string>>>")
     options = [F.struct(F.lit(i).alias("turn"), F.lit(name).alias("mix"), F.array(*[F.col(b) for b in need]).alias("images")) for i, (name, need) in enumerate(MIXES) if name.lower() not in unwanted]
-    if not options:
-        return first.select("project", F.lit("").alias("mix"), F.array().cast("array<string>").alias("images")).limit(0)
-    return first.select("project", F.explode(F.array(*options)).alias("m")).select("project", "m.mix", "m.images").where(F.forall("images", lambda p: p.isNotNull()))
+    mixes = first.select("project", F.filter(F.array(*options) if options else none, lambda m: F.forall(m["images"], lambda p: p.isNotNull())).alias("mixes"))
+    bare = mixes.where(F.size("mixes") == 0).select("project")
+    single = stacks.join(bare, stacks["project"].eqNullSafe(bare["project"]), "left_semi").select("project", F.lit("Single").alias("mix"), F.array("path").alias("images"))
+    return mixes.select("project", F.explode("mixes").alias("m")).select("project", "m.mix", "m.images").unionByName(single)
 
 
 # ---- framing ---------------------------------------------------------------------------------------

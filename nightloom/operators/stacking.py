@@ -1,7 +1,8 @@
 """Stacking: N frames to one, by pixel, with normalisation, rejection and weights.
 
 Values of a pixel meet under the key (seq, channel, y, x); means, sums and extremes combine before the
-shuffle. Rejections run a fixed number of passes; each pass is one aggregate and one join on the key.
+shuffle. Rejections run a fixed number of passes over windows of that key (one value for each frame), so
+all passes of a rejection share one shuffle.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ def reduced(pixels: DataFrame, how: str, by: Sequence[str] = PIXEL) -> DataFrame
 
 
 def _centred(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
-    stats = pixels.groupBy(*by).agg(F.median("v").alias("m"), F.stddev_samp("v").alias("s"))
-    return pixels.join(stats, list(by))
+    own = W.partitionBy(*by)
+    return pixels.withColumns({"m": F.median("v").over(own), "s": F.stddev_samp("v").over(own)})
 
 
 def sigma_clipped(pixels: DataFrame, low: float = 3.0, high: float = 3.0, passes: int = 2, by: Sequence[str] = PIXEL) -> DataFrame:
@@ -50,17 +51,14 @@ def median_replaced(pixels: DataFrame, low: float = 3.0, high: float = 3.0, pass
 
 def percentile_clipped(pixels: DataFrame, low: float = 0.2, high: float = 0.1, by: Sequence[str] = PIXEL) -> DataFrame:
     """Values below the median by at most low times it, above by at most high times it."""
-    m = pixels.groupBy(*by).agg(F.median("v").alias("m"))
     near = (F.col("m") - F.col("v") <= low * F.col("m")) & (F.col("v") - F.col("m") <= high * F.col("m"))
-    return pixels.join(m, list(by)).where(near).select(*pixels.columns)
+    return pixels.withColumn("m", F.median("v").over(W.partitionBy(*by))).where(near).select(*pixels.columns)
 
 
 def mad_clipped(pixels: DataFrame, k: float = 3.0, by: Sequence[str] = PIXEL) -> DataFrame:
-    keys = list(by)
-    m = pixels.groupBy(*by).agg(F.median("v").alias("m"))
-    off = pixels.join(m, keys)
-    mad = off.groupBy(*by).agg(F.median(F.abs(F.col("v") - F.col("m"))).alias("mad"))
-    return off.join(mad, keys).where(F.abs(F.col("v") - F.col("m")) <= k * F.col("mad")).select(*pixels.columns)
+    own = W.partitionBy(*by)
+    off = pixels.withColumn("m", F.median("v").over(own)).withColumn("off", F.abs(F.col("v") - F.col("m")))
+    return off.withColumn("mad", F.median("off").over(own)).where(F.col("off") <= k * F.col("mad")).select(*pixels.columns)
 
 
 def winsorized_clipped(pixels: DataFrame, low: float = 3.0, high: float = 3.0, by: Sequence[str] = PIXEL) -> DataFrame:
@@ -68,19 +66,19 @@ def winsorized_clipped(pixels: DataFrame, low: float = 3.0, high: float = 3.0, b
     c = _centred(pixels, by)
     edge = 1.5 * F.coalesce("s", F.lit(0.0))
     clamped = c.withColumn("w", F.least(F.greatest("v", F.col("m") - edge), F.col("m") + edge))
-    robust = clamped.groupBy(*by).agg((1.134 * F.coalesce(F.stddev_samp("w"), F.lit(0.0))).alias("ws"))
+    robust = clamped.withColumn("ws", 1.134 * F.coalesce(F.stddev_samp("w").over(W.partitionBy(*by)), F.lit(0.0)))
     near = (F.col("m") - F.col("v") <= low * F.col("ws")) & (F.col("v") - F.col("m") <= high * F.col("ws"))
-    return c.join(robust, list(by)).where(near).select(*pixels.columns)
+    return robust.where(near).select(*pixels.columns)
 
 
 def linear_clipped(pixels: DataFrame, low: float = 5.0, high: float = 5.0, by: Sequence[str] = PIXEL, tie: str = "frame_id") -> DataFrame:
     """Values of a pixel in order are fitted by a line; large residuals go."""
-    keys = list(by)
-    ranked = pixels.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("v", tie)).cast("double"))
-    fit = ranked.groupBy(*by).agg(F.regr_slope("v", "r").alias("a"), F.regr_intercept("v", "r").alias("b"), F.avg("v").alias("mean"))
-    off = ranked.join(fit, keys).withColumn("e", F.col("v") - F.coalesce(F.col("a") * F.col("r") + F.col("b"), F.col("mean")))
-    spread = off.groupBy(*by).agg(F.coalesce(F.stddev_samp("e"), F.lit(0.0)).alias("se"))
-    return off.join(spread, keys).where((F.col("e") >= -low * F.col("se")) & (F.col("e") <= high * F.col("se"))).select(*pixels.columns)
+    own = W.partitionBy(*by)
+    ranked = pixels.withColumn("r", F.row_number().over(own.orderBy("v", tie)).cast("double"))
+    fit = ranked.withColumns({"a": F.regr_slope("v", "r").over(own), "b": F.regr_intercept("v", "r").over(own), "mean": F.avg("v").over(own)})
+    off = fit.withColumn("e", F.col("v") - F.coalesce(F.col("a") * F.col("r") + F.col("b"), F.col("mean")))
+    spread = off.withColumn("se", F.coalesce(F.stddev_samp("e").over(own), F.lit(0.0)))
+    return spread.where((F.col("e") >= -low * F.col("se")) & (F.col("e") <= high * F.col("se"))).select(*pixels.columns)
 
 
 def esd_clipped(pixels: DataFrame, outliers: float = 0.3, significance: float = 0.05, by: Sequence[str] = PIXEL) -> DataFrame:
@@ -111,6 +109,8 @@ def esd_clipped(pixels: DataFrame, outliers: float = 0.3, significance: float =
     return kept.select(*[F.col(f"p.{c}").alias(c) if c in names else F.col(c) for c in pixels.columns])
 
 
+#: (low, high) of each rejection where none are given.
+DEFAULTS = {"percentile": (0.2, 0.1), "linear": (5.0, 5.0), "generalized": (0.3, 0.05)}
 REJECTIONS = {
     "none": lambda p, low, high, by: p, "percentile": percentile_clipped, "sigma": lambda p, low, high, by: sigma_clipped(p, low, high, by=by),
     "median": lambda p, low, high, by: median_replaced(p, low, high, by=by), "winsorized": winsorized_clipped, "linear": linear_clipped,
@@ -177,16 +177,18 @@ def overlap_normalised(pixels: DataFrame, reference: str) -> DataFrame:
     return pixels.join(shift, ["frame_id", "channel"], "left").withColumn("v", F.col("v") + F.coalesce("d", F.lit(0.0))).select(*pixels.columns)
 
 
-def stack(pixels: DataFrame, how: str = "mean", rejection: str = "winsorized", low: float = 3.0, high: float = 3.0, normalise: str = "none", reference: str | None = None,
+def stack(pixels: DataFrame, how: str = "mean", rejection: str = "winsorized", low: float | None = None, high: float | None = None, normalise: str = "none", reference: str | None = None,
           weights: DataFrame | None = None, output_norm: bool = False, rgb_equal: bool = False, by: Sequence[str] = PIXEL) -> DataFrame:
     """One image for each sequence of pixels (seq, frame_id, channel, y, x, v): (seq, channel, y, x, v).
 
     Frames need not cover the same area: each pixel is made of the frames that have it, so the result
-    covers all of them. A single frame has no deviation and passes every rejection.
+    covers all of them. A single frame has no deviation and passes every rejection. low and high are by
+    default those usual for the rejection.
     """
     if normalise != "none":
         pixels = normalised(pixels, normalise, reference)
     if how == "mean":
+        low, high = (d if x is None else x for x, d in zip((low, high), DEFAULTS.get(rejection, (3.0, 3.0))))
         pixels = REJECTIONS[rejection](pixels, low, high, by=by)
         out = reduced(pixels, "mean", by) if weights is None else weighted_mean(pixels, weights, by)
     else:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nightloom.functions import text as T
 from nightloom.operators import calibration as cal, frames as fr, geometry as geo, index, match, pointwise as pw, project, registration as reg, stacking as st, statistics as stats
+from nightloom.plans import pipelines as pipes
 from nightloom.sources import messages, tree
 from nightloom.streaming import live
 
@@ -369,19 +370,25 @@ def sync_new(spark, sf):
     return project.sync_new(layers, o.select(F.col("o_orderpriority").alias("filter"), F.col("o_orderkey").alias("raw_path")))
 
 
-BAND_SQL = ", ".join(f"('{a.lower()}', '{b}')" for b, names in project.BANDS.items() for a in names)
-NAMES = "['Lum', 'Red', 'green', 'B', 'SII', 'H-alpha', 'oiii', 'X']"
+# the names of filters, written out by hand for the SQL
+BAND_SQL = """('l', 'L'), ('luminance', 'L'), ('r', 'R'), ('red', 'R'), ('g', 'G'), ('green', 'G'), ('b', 'B'), ('blue', 'B'),
+    ('s', 'S'), ('s2', 'S'), ('s-2', 'S'), ('sii', 'S'), ('s-ii', 'S'), ('s-two', 'S'), ('h', 'H'), ('ha', 'H'), ('h-alpha', 'H'), ('halpha', 'H'),
+    ('o', 'O'), ('o3', 'O'), ('o-3', 'O'), ('oiii', 'O'), ('o-iii', 'O'), ('o-three', 'O')"""
+NAMES = ("Luminance", "Red", "green", "B", "S-II", "H-Alpha", "o-iii", "X", "Lum", "Sulfur", "L", "S-Two", "O3")
 
 
-@query(f"""WITH syn(alias, band) AS (VALUES {BAND_SQL}), stacks AS (SELECT p_size AS project, p_partkey AS position, '/s/' || p_partkey AS path, {NAMES}[p_partkey % 8 + 1] AS filter FROM part),
+@query(f"""WITH syn(alias, band) AS (VALUES {BAND_SQL}), stacks AS (SELECT p_size + p_partkey % 3 * 100 AS project, p_partkey AS position, '/s/' || p_partkey AS path, {list(NAMES)}[CASE WHEN p_partkey % 3 = 0 THEN 1 + p_partkey % 4 WHEN p_partkey % 3 = 1 THEN 9 + p_partkey % 2 ELSE p_partkey % 13 + 1 END] AS filter FROM part),
     f AS (SELECT project, band, arg_min(path, position) AS path FROM stacks JOIN syn ON alias = lower(filter) GROUP BY ALL),
-    w AS (SELECT project, max(path) FILTER (band = 'L') AS l, max(path) FILTER (band = 'R') AS r, max(path) FILTER (band = 'G') AS g, max(path) FILTER (band = 'B') AS b, max(path) FILTER (band = 'S') AS s, max(path) FILTER (band = 'H') AS h, max(path) FILTER (band = 'O') AS o FROM f GROUP BY project)
-    SELECT project, 'LRGB' AS mix, l || ',' || r || ',' || g || ',' || b AS images FROM w WHERE l || r || g || b IS NOT NULL UNION ALL SELECT project, 'RGB', r || ',' || g || ',' || b FROM w WHERE r || g || b IS NOT NULL
+    w AS (SELECT project, max(path) FILTER (band = 'L') AS l, max(path) FILTER (band = 'R') AS r, max(path) FILTER (band = 'G') AS g, max(path) FILTER (band = 'B') AS b, max(path) FILTER (band = 'S') AS s, max(path) FILTER (band = 'H') AS h, max(path) FILTER (band = 'O') AS o FROM f GROUP BY project),
+    m AS (SELECT project, 'LRGB' AS mix, l || ',' || r || ',' || g || ',' || b AS images FROM w WHERE l || r || g || b IS NOT NULL UNION ALL SELECT project, 'RGB', r || ',' || g || ',' || b FROM w WHERE r || g || b IS NOT NULL
     UNION ALL SELECT project, 'L-SHO', l || ',' || s || ',' || h || ',' || o FROM w WHERE l || s || h || o IS NOT NULL UNION ALL SELECT project, 'L-HOO', l || ',' || h || ',' || o FROM w WHERE l || h || o IS NOT NULL
-    UNION ALL SELECT project, 'HOO', h || ',' || o FROM w WHERE h || o IS NOT NULL""")
+    UNION ALL SELECT project, 'HOO', h || ',' || o FROM w WHERE h || o IS NOT NULL)
+    SELECT * FROM m UNION ALL SELECT project, 'Single', path FROM stacks WHERE project NOT IN (SELECT project FROM m)""")
 def color_mixes(spark, sf):
-    name = F.element_at(F.array(*[F.lit(x) for x in ("Lum", "Red", "green", "B", "SII", "H-alpha", "oiii", "X")]), (F.col("p_partkey") % 8 + 1).cast("int"))
-    stacks = table(spark, sf, "part").select(F.col("p_size").alias("project"), F.col("p_partkey").alias("position"), F.concat(F.lit("/s/"), "p_partkey").alias("path"), name.alias("filter"))
+    key = F.col("p_partkey")
+    nth = F.when(key % 3 == 0, 1 + key % 4).when(key % 3 == 1, 9 + key % 2).otherwise(key % 13 + 1)
+    name = F.element_at(F.array(*[F.lit(x) for x in NAMES]), nth.cast("int"))
+    stacks = table(spark, sf, "part").select((F.col("p_size") + key % 3 * 100).alias("project"), key.alias("position"), F.concat(F.lit("/s/"), key).alias("path"), name.alias("filter"))
     return project.color_mixes(stacks, exclude=["sho"]).select("project", "mix", F.array_join("images", ",").alias("images"))
 
 
@@ -631,6 +638,69 @@ def calibrate_frames(spark, sf):
     return by_vec(cal.calibrate(p, dark=master(1), flat=master(2).withColumn("v", F.col("v") + 2)))
 
 
+# ---- whole pipelines --------------------------------------------------------------------------------
+FRAME = "fm AS (SELECT vec_id, label, DATE '2024-01-01' + CAST(vec_id % 28 AS INT) AS date, CAST(vec_id % 5 AS DOUBLE) - 10 AS temperature, CAST(60 + vec_id % 3 AS DOUBLE) AS exposure, CASE WHEN label % 2 = 0 THEN 'Ha' END AS filter FROM embeddings)"
+FIRST = "h AS (SELECT label, arg_min(date, CAST(vec_id AS VARCHAR)) AS date, arg_min(temperature, CAST(vec_id AS VARCHAR)) AS temperature, arg_min(exposure, CAST(vec_id AS VARCHAR)) AS exposure, count(*) AS frame_count FROM fm GROUP BY 1)"
+
+
+def frame_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """(seq, frame_id, date, temperature, exposure, gain, offset, binning, filter) of the frames."""
+    k = F.col("vec_id")
+    return table(spark, sf, "embeddings").select(
+        F.col("label").alias("seq"), k.cast("string").alias("frame_id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 28).cast("int")).alias("date"), ((k % 5).cast("double") - 10).alias("temperature"), (60 + k % 3).cast("double").alias("exposure"),
+        F.lit(None).cast("long").alias("gain"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("string").alias("binning"), F.when(F.col("label") % 2 == 0, "Ha").alias("filter"),
+    )
+
+
+def _named(image: DataFrame, rows: DataFrame) -> DataFrame:
+    return rounded(image.join(F.broadcast(rows.select("seq", "name", "frame_count")), "seq").select("name", F.col("frame_count"), "y", "x", "v"))
+
+
+@query(f"WITH {LONG}, {FRAME}, {FIRST} SELECT CAST(h.date AS VARCHAR) || '_BIAS_master_' || CAST(CAST(temperature AS INT) AS VARCHAR) || 'C' AS name, frame_count, y, x, {R('median(v)')} AS v FROM p JOIN h USING (label) GROUP BY ALL")
+def pipeline_master_bias(spark, sf):
+    return _named(pipes.master_bias(pixels(spark, sf)), pipes.master_rows(frame_meta(spark, sf), "bias"))
+
+
+@query(f"WITH {LONG}, {FRAME}, {FIRST} SELECT CAST(h.date AS VARCHAR) || '_DARK_master_' || CAST(CAST(exposure AS INT) AS VARCHAR) || 's_' || CAST(CAST(temperature AS INT) AS VARCHAR) || 'C' AS name, frame_count, y, x, {R('median(v)')} AS v FROM p JOIN h USING (label) GROUP BY ALL")
+def pipeline_master_dark(spark, sf):
+    return _named(pipes.master_dark(pixels(spark, sf)), pipes.master_rows(frame_meta(spark, sf), "dark"))
+
+
+@query(f"""WITH {LONG}, {FRAME}, {FIRST}, b AS (SELECT y, x, median(v) AS b FROM p WHERE label = 1 GROUP BY ALL), q AS (SELECT label, y, x, v - b AS v FROM p JOIN b USING (y, x)),
+    m AS (SELECT label, y, x, median(v) AS m, coalesce(stddev_samp(v), 0) AS s FROM q GROUP BY ALL), d AS (SELECT q.*, m, s FROM q JOIN m USING (label, y, x)),
+    ws AS (SELECT label, y, x, 1.134 * coalesce(stddev_samp(least(greatest(v, m - 1.5 * s), m + 1.5 * s)), 0) AS ws FROM d GROUP BY ALL)
+    SELECT CAST(h.date AS VARCHAR) || '_FLAT_master_' || CAST(CAST(temperature AS INT) AS VARCHAR) || 'C_' || CASE WHEN label % 2 = 0 THEN 'Ha' ELSE 'OIII' END AS name, frame_count, y, x, {R('avg(v)')} AS v FROM d JOIN ws USING (label, y, x) JOIN h USING (label) WHERE m - v <= 3 * ws AND v - m <= 3 * ws GROUP BY ALL""")
+def pipeline_master_flat(spark, sf):
+    p = pixels(spark, sf)
+    return _named(pipes.master_flat(p, pipes.master_bias(p.where("seq = 1"))), pipes.master_rows(frame_meta(spark, sf), "flat", "OIII"))
+
+
+@query(f"""WITH {LONG}, b AS (SELECT y, x, median(v) AS b FROM p WHERE label = 0 GROUP BY ALL), k AS (SELECT y, x, median(v) AS d FROM p WHERE label = 1 GROUP BY ALL), f0 AS (SELECT y, x, 2 + median(v) AS f FROM p WHERE label = 2 GROUP BY ALL), f AS (SELECT y, x, f / (SELECT avg(f) FROM f0) AS f FROM f0)
+    SELECT vec_id, y, x, {R('(v - b - d) / f')} AS v FROM p JOIN b USING (y, x) JOIN k USING (y, x) JOIN f USING (y, x)""")
+def pipeline_calibrate_lights(spark, sf):
+    p = pixels(spark, sf)
+    image = lambda k: pipes.master_bias(p.where(F.col("seq") == k))
+    return by_vec(pipes.calibrate_lights(p, bias=image(0), dark=image(1), flat=image(2).withColumn("v", F.col("v") + 2)))
+
+
+@query(f"WITH {FRAME} SELECT label AS seq, coalesce(arg_min(filter, CAST(vec_id AS VARCHAR)), 'L') AS filter, count(*) AS frame_count, arg_min(exposure, CAST(vec_id AS VARCHAR)) AS exposure, CAST(0 AS BIGINT) AS gain FROM fm GROUP BY 1")
+def pipeline_calibrated_rows(spark, sf):
+    return pipes.calibrated_rows(frame_meta(spark, sf), flat_filter="L").select("seq", "filter", "frame_count", "exposure", "gain")
+
+
+@query(f"""WITH {LONG}, mv AS (SELECT CAST(vec_id AS VARCHAR) AS id, y - CAST(vec_id // 3 % 2 AS INT) AS y, x - CAST(vec_id % 3 AS INT) + 1 AS x, v FROM p), i AS (SELECT * FROM mv WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7),
+    l AS (SELECT id, median(v) AS loc FROM i GROUP BY 1), sc AS (SELECT id, loc, median(abs(v - loc)) AS scale FROM i JOIN l USING (id) GROUP BY ALL), rf AS (SELECT loc AS rloc, scale AS rscale FROM sc WHERE id = '0'),
+    n AS (SELECT id, y, x, (v - loc) * coalesce(rscale / nullif(scale, 0), 1) + rloc AS v FROM i JOIN sc USING (id), rf),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY y, x ORDER BY v, id) AS DOUBLE) AS r FROM n), ft AS (SELECT y, x, regr_slope(v, r) AS a, regr_intercept(v, r) AS b, avg(v) AS mean FROM r GROUP BY ALL),
+    e AS (SELECT r.*, v - coalesce(a * r + b, mean) AS e FROM r JOIN ft USING (y, x)), s AS (SELECT y, x, coalesce(stddev_samp(e), 0) AS se FROM e GROUP BY ALL),
+    o AS (SELECT y, x, avg(v) AS v FROM e JOIN s USING (y, x) WHERE abs(e) <= 5 * se GROUP BY ALL)
+    SELECT 7 - y AS y, x, {R('(v - (SELECT min(v) FROM o)) / (SELECT max(v) - min(v) FROM o)')} AS v FROM o""")
+def pipeline_master_light(spark, sf):
+    p = pixels(spark, sf).withColumn("seq", F.lit(0))
+    moves = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("frame_id"), (F.col("vec_id") % 3 - 1).cast("int").alias("dx"), (F.floor(F.col("vec_id") / 3) % 2).cast("int").alias("dy"))
+    return rounded(pipes.master_light(p, reference="0", moves=moves).select("y", "x", "v"))
+
+
 @query(f"""WITH {LONG}, s AS (SELECT median(v) AS m, stddev_samp(v) AS s FROM (SELECT y, x, median(v) AS v FROM p WHERE label = 1 GROUP BY ALL)) SELECT y, x FROM (SELECT y, x, median(v) AS v FROM p WHERE label = 1 GROUP BY ALL), s WHERE v < m - 1.5 * s OR v > m + 1.5 * s""")
 def bad_pixels(spark, sf):
     dark = st.reduced(pixels(spark, sf).where("seq = 1"), "median")
