@@ -9,6 +9,7 @@ a time. A hash hit is verified on the words themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -77,17 +78,21 @@ def _pack(rows: list) -> list[Block]:
     return packed
 
 
-def _scan(shared, n_carried: int):
-    """Adds this block's verified hits to each row: word ranges and items."""
+HITS = "array<struct<start:int,end:int,item:bigint>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scanner(shared):
+    """Text to (n_words, hits): this block's verified hits, word ranges and items."""
+
+    @F.arrow_udf(f"struct<n_words:bigint,hits:{HITS}>")
+    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.int64())]))
         sieves = []
         for block in shared.value:
             sieve = np.zeros(1 << BITS, dtype=bool)
             sieve[block.hashes & np.uint64((1 << BITS) - 1)] = True
             sieves.append((block, sieve))
-        for batch in batches:
-            text, hits = batch.column(n_carried), batch.column(n_carried + 1)
+        for text in texts:
             counts = np.zeros(len(text), dtype=np.int64)
             new: dict[int, set] = {}
             for i, j, w in words(text, ALNUM):
@@ -110,16 +115,11 @@ def _scan(shared, n_carried: int):
                                 p = int(k - w.first[r])
                                 new.setdefault(i + int(r), set()).add((p, p + block.length, block.items[f]))
                             f += 1
-            if new:
-                old = hits.to_pylist()
-                for r, found in new.items():
-                    old[r] = (old[r] or []) + [dict(zip(("start", "end", "item"), x)) for x in sorted(found, key=lambda x: (x[:2], x[2] is not None, x[2] or 0))]
-                hits = pa.array(old, type=hits.type)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: n_carried + 1], hits, pa.array(counts)], names=[*batch.schema.names[: n_carried + 2], "n_words"]
-            )
+            order = lambda x: (x[:2], x[2] is not None, x[2] or 0)
+            hits = [[dict(zip(("start", "end", "item"), x)) for x in sorted(new.get(r, ()), key=order)] for r in range(len(text))]
+            yield pa.StructArray.from_arrays([pa.array(counts), pa.array(hits, hit_type)], names=["n_words", "hits"])
 
-    return run
+    return scan
 
 
 def find_contamination(
@@ -129,27 +129,28 @@ def find_contamination(
 
     A window is `width` consecutive words of an item; an item of fewer words, but not none, is one
     window. Null texts have no words; benchmark rows without words have no window; those without an id
-    hit like others, with a null item; an empty benchmark hits nothing. Repeated items add nothing. Columns of docs stay as they are, except that `hits` and `n_words` are
-    the operator's: equally named columns of docs are replaced. Rows keep their number, repeated or not.
+    hit like others, with a null item; an empty benchmark hits nothing. Repeated items add nothing.
+    Columns of docs stay as they are, except that `hits` and `n_words` are the operator's: equally named
+    columns of docs are replaced. Rows keep their number, repeated or not. Only the text goes to Python.
     """
     windows = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(item_text_col).alias("text")).mapInArrow(
         _windows(width), "length int, hash long, item long, text binary"
     )
     carried = [c for c in docs.columns if c not in ("hits", "n_words") and (keep_text or c != text_col)]
     names = [f"c{i}" for i in range(len(carried))]
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
-    flow = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carried, names)], F.col(text_col).alias("text_"), F.expr("cast(null as array<struct<start:int,end:int,item:bigint>>)").alias("hits"))
-    schema = f"{kinds}{', ' if kinds else ''}text_ string, hits array<struct<start:int,end:int,item:bigint>>, n_words long"
+    text, none = F.col("text_"), F.array().cast(HITS)
+    flow = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carried, names)], F.col(text_col).cast("string").alias("text_"), none.alias("hits"))
     sent = None
-    for packed in _blocks(windows.dropDuplicates(["length", "hash", "item", "text"]), block):
+    for packed in chain(_blocks(windows.dropDuplicates(["length", "hash", "item", "text"]), block), [None]):
+        if packed is None and sent is not None:
+            break
         if sent is not None:  # one block and one scan step at a time
             flow = cut(flow)
             sent.destroy()
-        sent = docs.sparkSession.sparkContext.broadcast(packed)
-        flow = flow.mapInArrow(_scan(sent, len(carried)), schema)
-    if "n_words" not in flow.columns:
-        flow = flow.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast([]), len(carried)), schema)
-    return flow.select(*[F.col(x).alias(c) for c, x in zip(carried, names)], "n_words", F.coalesce("hits", F.expr("array()").cast("array<struct<start:int,end:int,item:bigint>>")).alias("hits"))
+        sent = docs.sparkSession.sparkContext.broadcast(packed or [])
+        found = flow.withColumn("found_", _scanner(sent)(text))
+        flow = found.select(*names, "text_", F.concat("hits", "found_.hits").alias("hits"), F.col("found_.n_words").alias("n_words"))
+    return flow.select(*[F.col(x).alias(c) for c, x in zip(carried, names)], "n_words", "hits")
 
 
 def covered_words(hits: str = "hits") -> Column:

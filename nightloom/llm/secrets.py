@@ -137,39 +137,38 @@ def scan_into(versions: DataFrame, folder: str, **kw) -> DataFrame:
     return found
 
 
-def _redact(mark: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, changed = batch.column(0).to_pylist(), []
-            for r, spans in enumerate(batch.column(1).to_pylist()):
-                changed.append(bool(spans) and out[r] is not None)
-                if changed[-1]:
-                    keep, upto = [], 0
-                    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-                        if s["start"] >= upto:
-                            keep += [out[r][upto : s["start"]], mark]
-                        upto = max(upto, s["end"])
-                    out[r] = "".join([*keep, out[r][upto:]])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(changed), *batch.columns[2:]], names=["text", "changed", *batch.schema.names[2:]])
-
-    return run
+def _redactor(mark: str):
+    @F.arrow_udf("string")
+    def redacted(texts: pa.Array, findings: pa.Array) -> pa.Array:
+        out = texts.to_pylist()
+        for r, spans in enumerate(findings.to_pylist()):
+            if out[r] is not None:
+                keep, upto = [], 0
+                for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+                    if s["start"] >= upto:
+                        keep += [out[r][upto : s["start"]], mark]
+                    upto = max(upto, s["end"])
+                out[r] = "".join([*keep, out[r][upto:]])
+        return pa.array(out, pa.string())
+
+    return redacted
 
 
 def redact(docs: DataFrame, findings: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mark, and chars_col (if there is one) brought up to date.
 
     findings: (blob, findings) for all blobs that have any; joined by content, so every copy is changed.
+    Null texts, rows without findings and other columns stay as they are. Only texts with findings go to Python.
     """
-    spans = small(cut(findings.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("spans_")).withColumnRenamed("blob", "blob_")), weight=F.size("spans_") + 2)
-    kept = [c for c in docs.columns if c != text_col]
-    kinds = ", ".join(["text string, changed boolean", *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)]])
-    marked = docs.withColumn("blob_", blob_of(text_col)).join(spans, "blob_", "left")
-    done = marked.select(F.col(text_col).alias("text"), "spans_", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).mapInArrow(_redact(mark), kinds)
+    found = cut(findings.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("spans_")).withColumnRenamed("blob", "blob_"))
+    marked = docs.withColumn("blob_", blob_of(text_col)).join(small(found, weight=F.size("spans_") + 2), "blob_", "left")
+    hit = F.when(F.size("spans_") > 0, F.col(text_col).cast("string"))
+    done = marked.withColumn("redacted_", _redactor(mark)(hit, F.col("spans_")))
 
     def column(c: str) -> Column:
         if c == text_col:
-            return F.col("text").alias(c)
-        own = F.col(f"c{kept.index(c)}")
-        return (F.when(F.col("changed"), F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == chars_col else own).alias(c)
+            return F.coalesce("redacted_", F.col(f"`{c}`")).alias(c)
+        own = F.col(f"`{c}`")
+        return (F.when(F.col("redacted_").isNotNull(), F.length("redacted_").cast(docs.schema[c].dataType)).otherwise(own) if c == chars_col else own).alias(c)
 
     return done.select(*[column(c) for c in docs.columns])

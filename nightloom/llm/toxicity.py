@@ -177,31 +177,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(chosen, *fit_machine(features, rows.column("label").to_numpy().astype(float), max(1, len(chosen))))
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(shared):
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model: Model = shared.value
         slot = slots(model.terms)
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for i, j, w in words(batch.column(0), ALNUM):
+        for text in texts:
+            found = np.zeros(len(text))
+            for i, j, w in words(text, ALNUM):
                 row, feature = _known(slot, w, j - i)
-                scores[i:j] = machine_scores(row, feature, j - i, model.bias, model.linear, model.factors)[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-scores)))], names=[*batch.schema.names[1:], "score"])
+                found[i:j] = machine_scores(row, feature, j - i, model.bias, model.linear, model.factors)[0]
+            yield pa.array(1 / (1 + np.exp(-found)))
 
-    return run
+    return scores
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, if None) with score (0..1) and predicted (1 if score >= threshold, else 0).
 
-    Only the text is looked at. A null or empty text scores as one without terms. Equally named
-    columns of docs are replaced.
+    Only the text is looked at, and only it goes to Python. A null or empty text scores as one without
+    terms. Equally named columns of docs are replaced; repeated rows get equal scores.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))
-    rows = docs.select(F.col(text_col).alias("text_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    scored = rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}score double")
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scores = _scorer(docs.sparkSession.sparkContext.broadcast(model))
+    scored = docs.select(*[F.col(f"`{c}`") for c in kept], scores(F.col(text_col).cast("string")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out(id_col: str = "doc_id", n: int = 5):

@@ -6,6 +6,7 @@ Word hashes are 64-bit polynomial hashes from prefix sums, finished with a mixin
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 _powers: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(base: U, n: int) -> np.ndarray:
@@ -114,4 +116,7 @@ def words(column: pa.Array, is_word: np.ndarray) -> Iterator[tuple[int, int, Wor
     at, data = text_bytes(column)
     for i, j in slices(at):
         yield i, j, Words(at[i : j + 1] - at[i], data[at[i] : at[j]], is_word)
-    pa.default_memory_pool().release_unused()  # workers live on after their task
+    # workers live on after their task: what it took goes back to the machine
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
