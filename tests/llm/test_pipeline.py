@@ -34,3 +34,20 @@ def test_stages(spark, tmp_path):
     ran = cp.run(spark, DATA)
     assert sorted(map(str, ran.collect())) == sorted(map(str, mixed.collect()))
     assert abs(mixed.agg(F.sum("taken")).first()[0] - mixed.agg(F.sum("size")).first()[0]) <= 25
+
+
+def test_stages_with_nulls_repeats_clashing_columns_and_no_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(3)
+    odd = docs.withColumns({"text": F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.lit("")), "source": F.lit(None).cast("string")})
+    odd = odd.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long")))  # 3 ids twice, 3 rows without
+    odd = odd.withColumns({c: F.lit(i) for i, c in enumerate(("score", "hits", "blob", "id", "size", "component_id"))})
+    for name, rows in (("odd", odd), ("none", odd.limit(0))):
+        rows.write.parquet(str(tmp_path / name))
+        now, sizes = spark.read.parquet(str(tmp_path / name)), []
+        for stage, step in cp.STAGES:
+            step(spark, now, DATA).write.parquet(str(tmp_path / f"{name}-{stage}"))
+            out = spark.read.parquet(str(tmp_path / f"{name}-{stage}"))
+            assert stage == "mixing" or out.columns == now.columns
+            now = out
+            sizes.append(out.count())
+        assert sizes == ([9, 6, 6, 6, 6] if name == "odd" else [0] * 5)
