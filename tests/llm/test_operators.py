@@ -582,6 +582,35 @@ def test_vectors(spark, sample, leaf, block):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_across_leaves(spark):
+    """Recall of links planted at the border, in leaves of fitted trees and of refined ones, and a group of near copies larger than a leaf."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(2000, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    turn = rng.normal(size=(500, 24))
+    turn -= (turn * base[:500]).sum(axis=1)[:, None] * base[:500]
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    cosine = rng.uniform(0.951, 1.0, 500)[:, None]
+    x = np.concatenate([base, cosine * base[:500] + np.sqrt(1 - cosine**2) * turn, base[0] + rng.normal(0, 0.02, (400, 24)), np.repeat(base[1:2], 400, axis=0)])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    want, owner = near.sum(axis=1) - 1, np.full(len(x), -1)
+    for i in range(len(x)):
+        todo = [i] if owner[i] < 0 else []
+        while len(todo):
+            owner[todo] = i
+            todo = np.flatnonzero(near[todo].any(axis=0) & (owner < 0))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for sample in (near_vectors.SAMPLE, 300):
+        got = sorted(near_vectors.near_vectors(df, sample=sample, leaf=64).collect())
+        links = np.array([r["n_links"] for r in got])
+        assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+        pairs = np.flatnonzero(want[2000:2500] == 1) + 2000
+        assert (links[pairs] == 1).mean() >= 0.9
+        alike = np.array([r["component_id"] for r in got]) == owner
+        assert alike[pairs].mean() >= 0.9 and alike[2500:].all() and all(r["kept"] == (r["component_id"] == r["vec_id"]) for r in got)
+
+
 # ---- registered queries and SQL ---------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
