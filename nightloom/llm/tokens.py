@@ -1,14 +1,15 @@
 """Token counts by a compiled finite-state transducer.
 
 The tokenizer file (BPE with an end-of-word mark) is compiled to a deterministic transducer over
-the bytes of a word. A state stands for a prefix of a word and holds the last token of the prefix's
-encoding; each transition says how many tokens the longer prefix has more (or fewer), so a walk over
-a word adds up its token count. States come into being when a word first needs them (lazy
-determinisation), up to a bound.
+the bytes of a word. Which token ends a prefix follows from pairs alone: an encoding is right if each
+of its adjacent pairs is the encoding of its own concatenation. So the last token is the longest one
+ending the prefix whose pair with the last token before it holds.
 
-Which token ends a prefix follows from pairs alone: an encoding is right if each of its adjacent
-pairs is the encoding of its own concatenation. So the last token is the longest one ending the
-prefix whose pair with the last token before it holds.
+What comes later depends on few things: the places from which the bytes read so far begin a token, and
+for each the last token before it and how many tokens lie between it and here. That is a state; equal
+ones are one, whatever words led there. Each transition says how many tokens the longer prefix has more
+(or fewer), so a walk over all symbols of a word adds up its token count. States come into being when a
+word first needs them (lazy determinisation), up to a bound; walks of whole words are remembered.
 
 A text is cut into chunks. A chunk's map is (head, count, tail): the word begun before it, the tokens
 of what is settled, the word it leaves open. White space always ends a word, so maps compose
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,9 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 CHUNK = 1 << 16
 #: States kept at most in one worker; then they are dropped and made again.
-STATES = 400_000
-#: Symbols of a word that go through states; most words share their beginnings, few their ends.
-DEPTH = 4
+STATES = 100_000
 #: Different words whose counts a worker keeps.
 WORDS = 400_000
 
@@ -79,7 +78,8 @@ class Transducer:
             self.rank.setdefault(pair, k)
             self.made_of.setdefault("".join(pair), pair)
         self.tokens = {t for t in code.values() if self.merged(t) == [t]}
-        self.longest = max(map(len, self.tokens))
+        #: What a longer token begins with.
+        self.begins = {t[:n] for t in self.tokens for n in range(1, len(t))}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self.pattern = regex.compile(spec.pattern)
@@ -88,9 +88,10 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        #: Per state: symbol -> (next state, tokens more); its prefix; last token and tokens of the prefix's beginnings, itself last.
+        #: Per state: symbol -> (next state, tokens more); its places, longest first: (bytes since, last token before, tokens before less those here).
         self.next: list[dict[str, tuple[int, int]]] = [{}]
-        self.prefix, self.lasts, self.counts = [""], [("",)], [(0,)]
+        self.places: list[tuple[tuple[str, str, int], ...]] = [(("", "", 0),)]
+        self.number = {self.places[0]: 0}
 
     def merged(self, symbols: str) -> list[str]:
         """Merges by rank: the definition, for single tokens."""
@@ -127,64 +128,33 @@ class Transducer:
             self.pairs[a, b] = known
         return known
 
-    def ending(self, text: str, last: Sequence[str], count: Sequence[int]) -> tuple[str, int]:
-        """(last token, tokens) of a prefix, from those of its beginnings."""
-        n, tokens = len(text), self.tokens
-        if n <= self.longest and text in tokens:
-            return text, 1
-        pairs = self.pairs
-        for i in range(max(1, n - self.longest), n):
-            token = text[i:]
-            if token in tokens:
-                fits = pairs.get((last[i], token))
-                if fits or fits is None and self.holds(last[i], token):
-                    return token, count[i] + 1
-        raise ValueError("no token ends this prefix")
-
     def step(self, state: int, symbol: str) -> tuple[int, int]:
         """Adds the transition by a symbol: (next state, tokens more)."""
-        text = self.prefix[state] + symbol
-        token, count = self.ending(text, self.lasts[state], self.counts[state])
-        found = self.next[state][symbol] = (len(self.prefix), count - self.counts[state][-1])
-        self.next.append({})
-        self.prefix.append(text)
-        self.lasts.append((*self.lasts[state], token))
-        self.counts.append((*self.counts[state], count))
+        longer = [(since + symbol, last, count) for since, last, count in self.places[state]]
+        token, more = next((t, count + 1) for t, last, count in longer if t in self.tokens and (not last or self.holds(last, t)))
+        places = (*[(t, last, count - more) for t, last, count in longer if t in self.begins], ("", token, 0))
+        to = self.number.setdefault(places, len(self.places))
+        if to == len(self.places):
+            self.places.append(places)
+            self.next.append({})
+        found = self.next[state][symbol] = (to, more)
         return found
 
     def word(self, word: str) -> int:
-        """Tokens of one word of the pattern: transitions for its first symbols, the same recursion for a longer rest."""
+        """Tokens of one word of the pattern: the sum of its transitions."""
         if len(self.words) > WORDS:
             self.words.clear()
-        if len(self.prefix) > STATES:
+        if len(self.places) > STATES:
             self.clear()
         raw = word.encode()
-        text = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
         state = total = 0
         moves = self.next
-        for c in text[: min(DEPTH, len(text) - 1)]:
+        for c in raw[:-1].decode("latin-1") + chr(256 + raw[-1]):
             state, more = moves[state].get(c) or self.step(state, c)
             total += more
-        last, count = self.lasts[state], self.counts[state]
-        if len(text) > DEPTH + 1:
-            last, count, ending = list(last), list(count), self.ending
-            for n in range(DEPTH + 1, len(text)):
-                # a long word is seen through a window: no token is longer
-                token, k = ending(text[:n], last, count) if n <= self.longest else self.late(text, n, last, count)
-                last.append(token)
-                count.append(k)
-        total = (self.ending(text, last, count) if len(text) <= self.longest else self.late(text, len(text), last, count))[1]
         self.words[word] = total
         return total
 
-    def late(self, text: str, n: int, last: Sequence[str], count: Sequence[int]) -> tuple[str, int]:
-        """ending() of text[:n] for an n beyond the longest token."""
-        for i in range(n - self.longest, n):
-            token = text[i:n]
-            if token in self.tokens and self.holds(last[i], token):
-                return token, count[i] + 1
-        raise ValueError("no token ends this prefix")
-
     def settled(self, text: str) -> int:
         """Tokens of a text that begins and ends at word ends."""
         if self.special and "<|" in text:

@@ -560,6 +560,16 @@ def test_tokens(spark):
         for m in maps[1:]:
             whole = made.compose(whole, m)
         assert (made.settled(whole) if isinstance(whole, str) else made.settled(whole[0]) + whole[1] + made.settled(whole[2])) == want[10]
+    # every symbol of a word is a transition, and its sum is what merging by rank gives
+    for _ in range(2000):
+        word = "".join(rng.choice("abcdeinorstéß") for _ in range(rng.randrange(1, 40)))
+        raw = word.encode()
+        assert made.word(word) == len(made.merged(raw[:-1].decode("latin-1") + chr(256 + raw[-1])))
+    # states are places, not prefixes: a long repetition needs few, and dropping them changes nothing
+    before = len(made.places)
+    assert made.word("ab" * 20_000) == made.word("ab" * 2_000) * 10 and len(made.places) - before < 200
+    made.clear()
+    assert made.text(texts[0]) == want[0] and made.word("abab") == len(made.merged("aba" + chr(256 + ord("b"))))
     assert tokens.count_tokens(docs_of(spark, [None]), path).first()["n_tokens"] == 0
 
 
