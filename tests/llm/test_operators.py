@@ -540,6 +540,20 @@ def test_passages_of_repeated_lines(spark):
     assert len(got.get(copies + 3, ())) >= 60 and len(got.get(copies + 4, ())) >= 60
 
 
+def test_passages_do_not_depend_on_the_parts_of_a_seed(spark):
+    """A passage that drifts from document to document, so the one before matters; seeds ordered in parts and whole."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, rows = fresh(120), []
+    for i in range(48):
+        rows.append((i**3 + 5, " ".join(fresh(rng.randrange(30)) + passage * (1 + i % 2) + fresh(10))))
+        for at in range(rng.randrange(30), 120, 30):  # between two changes there is a shared seed
+            passage[at] = f"m{rng.randrange(10**9)}"
+    docs = spark.createDataFrame(rows + rows[3:5], "doc_id long, text string")
+    found = [sorted(passages.repeated_passages(docs, crowd=crowd).collect()) for crowd in (10**6, 3, 1)]
+    assert len(found[0]) == 48 and found[0] == found[1] == found[2]
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
