@@ -62,3 +62,40 @@ c AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.b, c.root FROM c
 m AS (SELECT id, min(root) AS root FROM c GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.root, e.vec_id) AS component_id, coalesce(m.root, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+OP12 = r"""
+WITH RECURSIVE bits AS (SELECT range::UINTEGER AS i, range::UINTEGER AS c, 0 AS k FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS crc FROM bits WHERE k = 8),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS n FROM d WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT id, run, n, hex(encode(id || ':' || run)) AS x FROM g),
+h AS (SELECT run, n, CAST(xor(list_reduce(list_transform(range(0, length(x) // 2), lambda k: CAST('0x' || substr(x, CAST(k * 2 + 1 AS BIGINT), 2) AS UINTEGER)), lambda a, v: xor(a >> 8, crc[CAST(xor(a, v) & 255 AS BIGINT) + 1]), 4294967295::UINTEGER), 4294967295::UINTEGER) AS BIGINT) AS h FROM b, t),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+half AS (SELECT word, n, m, 'f' || substr(word, 1, m // 2) AS key FROM (SELECT word, n, unnest([length(word), length(word) - 1]) AS m FROM w) UNION ALL
+    SELECT word, n, m, 'b' || substr(reverse(word), 1, m - m // 2) FROM (SELECT word, n, unnest([length(word), length(word) - 1]) AS m FROM w)),
+p AS (SELECT DISTINCT a.word AS word, b.word AS near, b.n AS near_n FROM half a JOIN half b ON a.m = b.m AND a.key = b.key AND a.word <> b.word WHERE abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(translate(a.word, LATIN, PLAIN), translate(b.word, LATIN, PLAIN)) = 1),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN top END AS form_n, CASE WHEN top >= 5 * w.n THEN (SELECT min(encode(near)) FROM p WHERE p.word = w.word AND p.near_n = best.top) END AS form_b FROM w LEFT JOIN best USING (word)),
+r AS (SELECT word, n, n_near, form_n, decode(form_b) AS form FROM f),
+c AS (SELECT word, word AS root, 0 AS steps FROM r UNION ALL SELECT c.word, r.form, steps + 1 FROM c JOIN r ON r.word = c.root WHERE r.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, steps) AS root FROM c GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM r JOIN z USING (word)
+"""
+# levenshtein() counts bytes there: the 64 letters beyond ASCII become 64 other single bytes
+OP12 = OP12.replace("LATIN", "'" + "".join(map(chr, range(0xC0, 0x100))) + "'").replace("PLAIN", "'" + "".join(map(chr, range(0x21, 0x61))).replace("'", "''") + "'")
+
+OP13 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+tot AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, ws[i:i + k - 1] AS ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+sub AS (SELECT lang, ph[1:len(ph) - 1] AS ph, f FROM f WHERE len(ph) > 2 UNION ALL SELECT lang, ph[2:], f FROM f WHERE len(ph) > 2),
+gone AS (SELECT DISTINCT f.lang, f.ph FROM f JOIN sub ON f.lang = sub.lang AND f.ph = sub.ph AND sub.f >= f.f),
+c AS (SELECT lang, ph, f AS a, unnest(range(1, len(ph))) AS k FROM f WHERE len(ph) > 1 AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = f.lang AND gone.ph = f.ph)),
+s AS (SELECT c.lang, c.ph, c.a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM c JOIN f x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[k + 1:] JOIN tot ON tot.lang = c.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+o AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, n, score FROM m)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM o QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mix, near_duplicates, near_vectors, oracle, passages, personal_data, secrets, tokens, toxicity, warc
+from . import decontaminate, mix, near_duplicates, near_vectors, oracle, passages, personal_data, phrases, secrets, spelling, tokens, toxicity, url_filters, warc
 from .shared import own_dir
 
 
@@ -78,9 +78,21 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_personal_data, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op8_passages, op9_token_counts, op10_near_vectors)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_personal_data, op4_decontaminate, op5_warc, op6_toxicity, op7_secrets, op8_passages, op9_token_counts, op10_near_vectors, op11_url_filters, op12_spelling, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": oracle.OP1, "op2_near_duplicates": oracle.OP2, "op4_decontaminate": oracle.OP4, "op5_warc": oracle.OP5, "op10_near_vectors": oracle.OP10}
+    return {"op1_mix_sources": oracle.OP1, "op2_near_duplicates": oracle.OP2, "op4_decontaminate": oracle.OP4, "op5_warc": oracle.OP5, "op10_near_vectors": oracle.OP10, "op12_spelling": oracle.OP12, "op13_collocations": oracle.OP13}
