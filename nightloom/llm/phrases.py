@@ -1,14 +1,14 @@
 """Collocations: frequent phrases by growing contiguous patterns to the right, then scored by their weakest cut.
 
-PrefixSpan on contiguous words. Words are counted first, then pairs of frequent words. Each occurrence of a
-frequent pair is projected: the pair with the up to three words that follow it, as far as every pair on
-the way can be frequent. Projected occurrences are dealt by their first three words, so each prefix is the work of
-one task and a common pair is spread over its extensions; inside a task they lie in sorted order, which is
+PrefixSpan on contiguous words. Prefixes of one, two and three words are counted by sums, each length among those whose
+parts are frequent. The occurrences of frequent three-word prefixes are then projected: the prefix with the words that
+follow it, as far as every three words on the way can be frequent. They are dealt by prefix, so each prefix is the work of
+one task and the extensions of a common word or pair are spread over many; inside a task they lie in sorted order, which is
 the depth-first order of the tree of prefixes, and the sums of the open prefixes are all that is held.
 
 Equal projections of a task are summed before they are dealt out. Words travel as 64-bit hashes, which are checked to be
-distinct over the whole vocabulary (another seed is taken if they aren't). Which words and pairs are
-frequent is told to the tasks as a bitmap of fixed size: a false hit costs a row, counts stay exact.
+distinct over the whole vocabulary (another seed is taken if they aren't). Which words, pairs and
+triples are frequent is told to the tasks as a bitmap of fixed size: a false hit costs a row, counts stay exact.
 """
 
 from __future__ import annotations
@@ -161,47 +161,70 @@ def vocabulary(texts: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def _count_pairs(shared, seed: int):
+def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each word on, over all rows."""
+    out = h[: len(h) - k + 1]
+    for i in range(1, k):
+        out = pair_hash(out, h[i : len(h) - k + 1 + i]).astype(np.int64)
+    return out
+
+
+def _runs(near: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k words from each word on lie in one piece."""
+    out = np.ones(max(0, len(near) - k + 1), dtype=bool)
+    for i in range(k - 1):
+        out &= near[i : i + len(out)]
+    return out
+
+
+def _count_grams(shared, seed: int, k: int):
+    """Counts of k words in a row of which the first and the last k - 1 can be frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, frequent = _Sums(["lang", "h1", "h2", "f"]), shared.value
+        sums, frequent = _Sums(["lang", *[f"h{i}" for i in range(1, k + 1)], "f"]), shared.value
         for batch in batches:
             lang = sums.codes(batch.column(1))
             for i, j, w in words(batch.column(0), IN_WORD):
                 row, near = _pieces(w, j - i)
                 h = _seeded(w, seed)
-                on = _has(frequent, h)
-                at = np.flatnonzero(near[:-1] & on[:-1] & on[1:]) if len(h) else np.zeros(0, dtype=int)
-                yield from sums.add([lang[i + row[at]], h[at], h[at + 1]], np.ones(len(at), dtype=np.int64))
+                if len(h) < k:
+                    continue
+                on = _has(frequent, gram_hashes(h, k - 1))
+                at = np.flatnonzero(_runs(near, k) & on[:-1] & on[1:])
+                yield from sums.add([lang[i + row[at]], *[h[at + d] for d in range(k)]], np.ones(len(at), dtype=np.int64))
         yield from sums.out()
 
     return run
 
 
-def _hash_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()).astype(np.int64))], names=["h"])
+        out = batch.column(0).to_numpy()
+        for c in batch.columns[1:]:
+            out = pair_hash(out, c.to_numpy()).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(out)], names=["h"])
 
 
 def _project(shared, seed: int, longest: int):
     names = [f"h{k}" for k in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lang, h1.., n): frequent pairs with the words after them, 0 from where no pair can be frequent."""
+        """(lang, h1.., n): frequent three words with those after them, 0 from where the last three can't be frequent; at least one word after them."""
         sums, frequent = _Sums(["lang", *names, "n"]), shared.value
         for batch in batches:
             lang = sums.codes(batch.column(1))
             for i, j, w in words(batch.column(0), IN_WORD):
                 row, near = _pieces(w, j - i)
                 h = _seeded(w, seed)
-                if len(h) < 3:
+                if len(h) < 4:
                     continue
                 on = np.zeros(len(h) + longest, dtype=bool)
-                on[: len(h) - 1] = near[:-1] & _has(frequent, pair_hash(h[:-1], h[1:]).astype(np.int64))
+                on[: len(h) - 2] = _runs(near, 3) & _has(frequent, gram_hashes(h, 3))
                 at = np.flatnonzero(on[:-1] & on[1:])
                 far = np.concatenate([h, np.zeros(longest, dtype=np.int64)])
                 columns, goes = [lang[i + row[at]], h[at], h[at + 1], h[at + 2]], np.ones(len(at), dtype=bool)
                 for k in range(3, longest):
-                    goes = goes & on[at + k - 1]
+                    goes = goes & on[at + k - 2]
                     columns.append(np.where(goes, far[at + k], 0))
                 yield from sums.add(columns, np.ones(len(at), dtype=np.int64))
         yield from sums.out()
@@ -213,11 +236,11 @@ def _grow(least: int, longest: int):
     names = [f"h{k}" for k in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lang, h1.., f): prefixes of three words and more with f >= least, from projections in sorted order.
+        """(lang, h1.., f): prefixes of four words and more with f >= least, from projections in sorted order.
 
         For each length the last prefix of a batch stays open: its sum goes on in the next batch.
         """
-        open_ = {d: None for d in range(3, longest + 1)}
+        open_ = {d: None for d in range(4, longest + 1)}
 
         def grown(d: int, langs: list, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
             on = n >= least
@@ -230,7 +253,7 @@ def _grow(least: int, longest: int):
             lang = batch.column(0).dictionary_encode()
             code, known = lang.indices.to_numpy(), lang.dictionary.to_pylist()
             hashes, n = [batch.column(k).to_numpy() for k in range(1, longest + 1)], batch.column(longest + 1).to_numpy()
-            for d in range(3, longest + 1):
+            for d in range(4, longest + 1):
                 new = np.ones(len(n), dtype=bool)
                 new[1:] = code[1:] != code[:-1]
                 for c in hashes[:d]:
@@ -262,12 +285,19 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     totals = cut(all_words.groupBy("lang").agg(F.sum("f").alias("n")))
     known = cut(all_words.where(F.col("f") >= least))
     drop(all_words)
-    frequent = spark.sparkContext.broadcast(bitmap_of(known))
-    pairs = cut(texts.mapInArrow(_count_pairs(frequent, seed), "lang string, h1 long, h2 long, f long").groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-    names = [f"h{k}" for k in range(1, longest + 1)]
-    found = pairs.select("lang", F.array("h1", "h2").alias("hs"), "f")
-    if longest > 2:
-        likely = spark.sparkContext.broadcast(bitmap_of(pairs.select("h1", "h2").mapInArrow(_hash_pairs, "h long")))
+    found = None
+    shorter = known.select("h")
+    for k in (2, 3)[: longest - 1]:
+        likely = spark.sparkContext.broadcast(bitmap_of(shorter))
+        names = [f"h{i}" for i in range(1, k + 1)]
+        kinds = ", ".join(f"{i} long" for i in names)
+        grams = cut(texts.mapInArrow(_count_grams(likely, seed, k), f"lang string, {kinds}, f long").groupBy("lang", *names).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+        rows = grams.select("lang", F.array(*names).alias("hs"), "f")
+        found = rows if found is None else found.unionAll(rows)
+        shorter = grams.select(*names).mapInArrow(_hash_grams, "h long")
+    if longest > 3:
+        likely = spark.sparkContext.broadcast(bitmap_of(shorter))
+        names = [f"h{k}" for k in range(1, longest + 1)]
         kinds = ", ".join(f"{k} long" for k in names)
         projected = texts.mapInArrow(_project(likely, seed, longest), f"lang string, {kinds}, n long")
         dealt = projected.repartition("lang", "h1", "h2", "h3").sortWithinPartitions("lang", *names)
