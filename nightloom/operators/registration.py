@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .geometry import PIXELS, image_of, rows_of, sampled
+from .geometry import PIXELS, _kernel, image_of
 
 STARS = "frame_id string, channel int, y double, x double, flux double, fwhm double"
-TRANSFORMS = "frame_id string, a double, b double, dx double, c double, d double, dy double, pairs int"
+TRANSFORMS = "frame_id string, a double, b double, dx double, c double, d double, dy double, g double, h double, pairs int"
 
 
 def find_stars(pixels: DataFrame, k: float = 4.0, most: int = 200) -> DataFrame:
@@ -54,12 +54,23 @@ def shifts(pixels: DataFrame, reference: str, most: int = 16) -> DataFrame:
     return best.select("frame_id", F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"))
 
 
-def match_stars(stars: DataFrame, reference: str, kind: str = "similarity", least_pairs: int = 3, tolerance: float = 2.0) -> DataFrame:
-    """Transform of each frame's star list to the reference's, by the vote of star pairs; (x', y') = (a x + b y + dx, c x + d y + dy).
+#: Parameters a transform has, pairs that give it.
+KINDS = {"shift": 1, "similarity": 2, "affine": 3, "homography": 4}
+#: Nearest neighbours with which a star makes triangles; largest difference of two triangles' ratios of sides.
+NEAREST, RATIO_OFF = 6, 0.01
 
-    kind: shift, similarity or affine. Star lists are bounded (find_stars), and each frame is one group.
+
+def match_stars(stars: DataFrame, reference: str, kind: str = "similarity", least_pairs: int = 4, tolerance: float = 1.5, max_stars: int = 500, draws: int = 500, seed: int = 1) -> DataFrame:
+    """Transform of each frame's star list to the reference's: (x', y', w') = ((a x + b y + dx), (c x + d y + dy), (g x + h y + 1)), x' / w' and y' / w'.
+
+    Triangles of neighbouring stars are alike in both lists whatever the turn and scale: alike triangles vote for
+    pairs of stars. The transform (kind: shift, similarity, affine or homography) is then found by RANSAC on the voted
+    pairs with a fixed seed, and fitted to all pairs it brings within `tolerance` pixels. A frame with fewer than `least_pairs` of them has
+    no transform (nulls). A list is cut at its `max_stars` brightest stars; each frame's list is one row, the reference's is sent to all.
     """
-    listed = stars.groupBy("frame_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("flux", "x", "y")), asc=False), 1, 40).alias("s"))
+    order = W.partitionBy("frame_id").orderBy(F.desc_nulls_last("flux"), "x", "y")
+    top = stars.where("x is not null and y is not null").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_stars)
+    listed = top.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("nth", "x", "y"))).alias("s"))
     ref = listed.where(F.col("frame_id") == reference).select(F.col("s").alias("r"))
 
     def solve(batches):
@@ -67,51 +78,118 @@ def match_stars(stars: DataFrame, reference: str, kind: str = "similarity", leas
             rows = []
             for frame, s, r in zip(pdf.frame_id, pdf.s, pdf.r):
                 p, q = (np.array([(e["x"], e["y"]) for e in z]).reshape(-1, 2) for z in (s, r))
-                rows.append((frame, *_fit(p, q, kind, least_pairs, tolerance)))
-            yield pd.DataFrame(rows, columns=["frame_id", "a", "b", "dx", "c", "d", "dy", "pairs"])
+                rows.append((frame, *find_transform(p, q, kind, least_pairs, tolerance, draws, seed)))
+            yield pd.DataFrame(rows, columns=["frame_id", "a", "b", "dx", "c", "d", "dy", "g", "h", "pairs"])
 
     return listed.crossJoin(F.broadcast(ref)).mapInPandas(solve, TRANSFORMS)  # one reference list
 
 
-def _fit(p: np.ndarray, q: np.ndarray, kind: str, least: int, tolerance: float) -> tuple:
-    best, nothing = (-1, None), (None,) * 6 + (0,)
-    for i in range(min(len(p), 12)):
-        for j in range(min(len(p), 12)):
-            for k in range(min(len(q), 12)):
-                for l in range(min(len(q), 12)) if kind != "shift" else (k,):  # noqa: E741
-                    if kind == "shift":
-                        if j:
-                            continue
-                        z, w = 1.0, complex(*q[k]) - complex(*p[i])
-                    else:
-                        if i == j or k == l:
-                            continue
-                        d = complex(*p[j]) - complex(*p[i])
-                        if abs(d) < 1:
-                            continue
-                        z = (complex(*q[l]) - complex(*q[k])) / d
-                        if not 0.5 < abs(z) < 2:
-                            continue
-                        w = complex(*q[k]) - z * complex(*p[i])
-                    moved = z * (p[:, 0] + 1j * p[:, 1]) + w
-                    off = np.abs(moved[:, None] - (q[:, 0] + 1j * q[:, 1])[None])
-                    votes = int((off.min(axis=1) <= tolerance).sum())
-                    if votes > best[0]:
-                        best = (votes, off)
-    if best[0] < least:
-        return nothing
-    near = np.flatnonzero(best[1].min(axis=1) <= tolerance)
-    a, b = p[near], q[best[1][near].argmin(axis=1)]
+def _triangles(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(corners, ratios): triangles of each star with two of its neighbours; corners opposite the longest, middle and shortest side."""
+    n = len(p)
+    if n < 3:
+        return np.zeros((0, 3), dtype=int), np.zeros((0, 2))
+    apart = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
+    near = np.argsort(apart, axis=1, kind="stable")[:, 1 : NEAREST + 1]
+    corners = np.concatenate([np.stack([np.arange(n), near[:, i], near[:, j]], axis=1) for i in range(near.shape[1]) for j in range(i + 1, near.shape[1])])
+    corners = np.unique(np.sort(corners, axis=1), axis=0)
+    sides = np.stack([apart[corners[:, 1], corners[:, 2]], apart[corners[:, 0], corners[:, 2]], apart[corners[:, 0], corners[:, 1]]], axis=1)
+    by = np.argsort(-sides, axis=1, kind="stable")
+    corners, sides = np.take_along_axis(corners, by, axis=1), np.take_along_axis(sides, by, axis=1)
+    good = sides[:, 2] > 0
+    return corners[good], sides[good][:, 1:] / sides[good][:, :1]
+
+
+def voted_pairs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in p and q of stars that alike triangles pair with each other more often than with any other."""
+    (tp, rp), (tq, rq) = _triangles(p), _triangles(q)
+    votes = np.zeros((len(p), len(q)), dtype=int)
+    order = np.argsort(rq[:, 0], kind="stable")
+    low, high = (np.searchsorted(rq[order, 0], rp[:, 0] + d, side=s) for d, s in ((-RATIO_OFF, "left"), (RATIO_OFF, "right")))
+    for t, r, a, b in zip(tp, rp, low, high):
+        alike = order[a:b][np.abs(rq[order[a:b], 1] - r[1]) <= RATIO_OFF]
+        for k in range(3):
+            np.add.at(votes[t[k]], tq[alike, k], 1)
+    if not votes.size:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    best = votes.argmax(axis=1)
+    of_p = np.arange(len(p))
+    sure = (votes[of_p, best] > 0) & (votes[:, best].max(axis=0) == votes[of_p, best])
+    return of_p[sure], best[sure]
+
+
+def fitted_matrix(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray | None:
+    """The 3 x 3 matrix from points a to points b by least squares (homography: the direct linear transform on normalised points); None if they don't give one."""
     if kind == "shift":
-        dx, dy = (b - a).mean(axis=0)
-        return 1.0, 0.0, dx, 0.0, 1.0, dy, len(near)
-    if kind == "affine" and len(near) >= 3:
-        m = np.linalg.lstsq(np.c_[a, np.ones(len(a))], b, rcond=None)[0]
-        return m[0, 0], m[1, 0], m[2, 0], m[0, 1], m[1, 1], m[2, 1], len(near)
+        m = np.eye(3)
+        m[:2, 2] = (b - a).mean(axis=0)
+        return m
+    if kind == "homography":
+        def normal(z):
+            mid = z.mean(axis=0)
+            size = np.hypot(*(z - mid).T).mean() or 1.0
+            return np.array([[1, 0, -mid[0]], [0, 1, -mid[1]], [0, 0, size / np.sqrt(2)]]) * (np.sqrt(2) / size)
+
+        ta, tb = normal(a), normal(b)
+        u, v = (np.c_[z, np.ones(len(z))] @ t.T for z, t in ((a, ta), (b, tb)))
+        zero = np.zeros_like(u)
+        rows = np.concatenate([np.c_[u, zero, -v[:, :1] * u], np.c_[zero, u, -v[:, 1:2] * u]])
+        _, s, w = np.linalg.svd(rows)
+        if len(s) > 7 and s[7] < 1e-9 * s[0]:
+            return None
+        m = np.linalg.inv(tb) @ w[-1].reshape(3, 3) @ ta
+        return m / m[2, 2] if abs(m[2, 2]) > 1e-12 else None
+    m = np.eye(3)
+    if kind == "affine":
+        rows = np.c_[a, np.ones(len(a))]
+        if np.linalg.matrix_rank(rows) < 3:
+            return None
+        m[:2] = np.linalg.lstsq(rows, b, rcond=None)[0].T
+        return m
     za, zb = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
-    z = ((zb - zb.mean()) * (za - za.mean()).conj()).sum() / (np.abs(za - za.mean()) ** 2).sum()
+    spread = (np.abs(za - za.mean()) ** 2).sum()
+    if spread < 1e-12:
+        return None
+    z = ((zb - zb.mean()) * (za - za.mean()).conj()).sum() / spread
     w = zb.mean() - z * za.mean()
-    return z.real, -z.imag, w.real, z.imag, z.real, w.imag, len(near)
+    m[:2] = [[z.real, -z.imag, w.real], [z.imag, z.real, w.imag]]
+    return m
+
+
+def moved_points(m: np.ndarray, p: np.ndarray) -> np.ndarray:
+    z = np.c_[p, np.ones(len(p))] @ m.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return z[:, :2] / z[:, 2:]
+
+
+def find_transform(p: np.ndarray, q: np.ndarray, kind: str, least: int, tolerance: float, draws: int, seed: int) -> tuple:
+    """(a, b, dx, c, d, dy, g, h, pairs); nulls and 0 if fewer than `least` pairs agree."""
+    i, j = voted_pairs(p, q)
+    need, best, rng = KINDS[kind], None, np.random.default_rng(seed)
+    if len(i) >= max(need, least):
+        a, b = p[i], q[j]
+        for _ in range(draws):
+            some = rng.choice(len(a), need, replace=False)
+            m = fitted_matrix(a[some], b[some], kind)
+            if m is None:
+                continue
+            on = np.hypot(*(moved_points(m, a) - b).T) <= tolerance
+            if best is None or on.sum() > best[1].sum():
+                best = (m, on)
+                if on.all():
+                    break
+    if best is None or best[1].sum() < max(need, least):
+        return (None,) * 8 + (0,)
+    m, on = best
+    for _ in range(5):  # all stars that the transform brings together, until they stay the same
+        apart = np.hypot(*(moved_points(m, p)[:, None] - q[None]).transpose(2, 0, 1))
+        to = apart.argmin(axis=1)
+        pairs = np.flatnonzero((apart[np.arange(len(p)), to] <= tolerance) & (apart.argmin(axis=0)[to] == np.arange(len(p))))
+        new = fitted_matrix(p[pairs], q[to[pairs]], kind) if len(pairs) >= max(need, least) else None
+        if new is None or np.allclose(new, m, rtol=0, atol=1e-12):
+            break
+        m = new
+    return (*m[0], *m[1], m[2, 0], m[2, 1], int(len(pairs)))
 
 
 def apply_shifts(pixels: DataFrame, moves: DataFrame, framing: str = "current") -> DataFrame:
@@ -128,20 +206,108 @@ def apply_shifts(pixels: DataFrame, moves: DataFrame, framing: str = "current")
     return moved.crossJoin(F.broadcast(size)).where("x between 0 and mx_ and y between 0 and my_").select(*pixels.columns)
 
 
-def apply_transforms(pixels: DataFrame, transforms: DataFrame, how: str = "linear", clamp: bool = True) -> DataFrame:
-    """Frames resampled into the reference's coordinates; frames without a transform are left out."""
+def _placed(x: Column, y: Column) -> tuple[Column, Column]:
+    """Where a frame's point comes to lie, by the transform's columns."""
+    w = F.col("g") * x + F.col("h") * y + 1
+    return (F.col("a") * x + F.col("b") * y + F.col("dx")) / w, (F.col("c") * x + F.col("d") * y + F.col("dy")) / w
+
+
+def _full(transforms: DataFrame) -> DataFrame:
+    """Transforms that there are, with projective terms (0 if the table has none)."""
+    terms = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in transforms.columns else F.lit(0.0).alias(c) for c in "gh"]
+    return transforms.where("a is not null").select("frame_id", "a", "b", "dx", "c", "d", "dy", *terms)
+
+
+def framings(pixels: DataFrame, transforms: DataFrame, framing: str, reference: str | None = None) -> DataFrame:
+    """(frame_id, x0, y0, w, h): the window of the reference's coordinates that each frame is resampled into, the same for all.
+
+    current: the reference frame's size (the largest size, without one); max: all that any frame covers; min: what all
+    cover for certain (the inner box of their corners); cog: of the size of `current`, about the mean of the frames' centres.
+    """
+    size = pixels.groupBy("frame_id").agg((F.max("x") + 1).alias("fw"), (F.max("y") + 1).alias("fh"))
+    t = _full(transforms).join(size, "frame_id")
+    corner = lambda cx, cy: F.struct(*[v.alias(n) for v, n in zip(_placed((F.col("fw") - 1) * cx, (F.col("fh") - 1) * cy), "xy")])
+    t = t.withColumns({"tl": corner(0.0, 0.0), "tr": corner(1.0, 0.0), "bl": corner(0.0, 1.0), "br": corner(1.0, 1.0), "mid": corner(0.5, 0.5)})
+    xs, ys = ([F.col(f"{c}.{n}") for c in ("tl", "tr", "bl", "br")] for n in "xy")
+    whole = F.max(F.struct((F.col("frame_id") == reference).cast("int"), F.col("fw"), F.col("fh"))) if reference else F.max(F.struct(F.lit(0), "fw", "fh"))
+    sort4 = lambda v, k: F.array_sort(F.array(*v))[k]
+    ends = t.agg(
+        whole.alias("s"), F.min(F.least(*xs)).alias("ax"), F.max(F.greatest(*xs)).alias("bx"), F.min(F.least(*ys)).alias("ay"), F.max(F.greatest(*ys)).alias("by"),
+        F.max(sort4(xs, 1)).alias("ix"), F.min(sort4(xs, 2)).alias("jx"), F.max(sort4(ys, 1)).alias("iy"), F.min(sort4(ys, 2)).alias("jy"), F.avg("mid.x").alias("mx"), F.avg("mid.y").alias("my"),
+    )
+    near = lambda c: F.round(F.col(c), 6)  # noqa: E731  borders that are whole but for rounding
+    box = {
+        "current": (F.lit(0), F.lit(0), F.col("s.fw"), F.col("s.fh")),
+        "max": (F.floor(near("ax")), F.floor(near("ay")), F.ceil(near("bx")) - F.floor(near("ax")) + 1, F.ceil(near("by")) - F.floor(near("ay")) + 1),
+        "min": (F.ceil(near("ix")), F.ceil(near("iy")), F.greatest(F.floor(near("jx")) - F.ceil(near("ix")) + 1, F.lit(0)), F.greatest(F.floor(near("jy")) - F.ceil(near("iy")) + 1, F.lit(0))),
+        "cog": (F.round(F.col("mx") - (F.col("s.fw") - 1) / 2), F.round(F.col("my") - (F.col("s.fh") - 1) / 2), F.col("s.fw"), F.col("s.fh")),
+    }[framing]
+    window = ends.select(*[c.cast("int").alias(n) for c, n in zip(box, ("x0", "y0", "w", "h"))])
+    return t.select("frame_id").crossJoin(F.broadcast(window))  # one row
+
+
+#: How far the kernels reach, in pixels of the frame.
+REACH = {"nearest": 1, "linear": 1, "cubic": 2, "lanczos4": 4}
+
+
+def apply_transforms(pixels: DataFrame, transforms: DataFrame, how: str = "linear", clamp: bool = True, framing: str = "current", reference: str | None = None, side: int = 512) -> DataFrame:
+    """Frames resampled into the reference's coordinates (nearest, linear, cubic or lanczos4); frames without a transform are left out.
+
+    The window (framings()) begins at 0, 0. Work goes by tiles of the window: a pixel goes to the tiles that it may have a part in, so no
+    task holds a frame. Where a kernel meets no pixel the place stays empty. clamp: a value stays within those its kernel meets.
+    """
+    window = framings(pixels, transforms, framing, reference)
+    joined = pixels.select("frame_id", "channel", "y", "x", "v").join(_full(transforms), "frame_id").join(window.withColumnRenamed("h", "height"), "frame_id")
+    px, py = _placed(F.col("x"), F.col("y"))
+    # how far a step of one pixel leads in the window, over the whole of the pixel's surroundings
+    right, down, left, up = _placed(F.col("x") + 1, F.col("y")), _placed(F.col("x"), F.col("y") + 1), _placed(F.col("x") - 1, F.col("y")), _placed(F.col("x"), F.col("y") - 1)
+    step = F.greatest(*[F.hypot(a - px, b - py) for a, b in (right, down, left, up)])
+    placed = joined.withColumns({"px": px - F.col("x0"), "py": py - F.col("y0"), "r": step * (REACH[how] * 2) + 1})
+    tiles = lambda c, n: F.filter(F.sequence(F.floor((F.col(c) - F.col("r")) / side), F.floor((F.col(c) + F.col("r")) / side)), lambda t: (t >= 0) & (t * side < F.col(n)))
+    dealt = placed.withColumn("ty", F.explode(tiles("py", "height"))).withColumn("tx", F.explode(tiles("px", "w"))).drop("px", "py", "r")
 
     def warp(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, t = image_of(pdf), pdf.iloc[0]
-        m = np.array([[t.a, t.b], [t.c, t.d]])
-        back = np.linalg.inv(m)
-        y, x = np.mgrid[0 : image.shape[0], 0 : image.shape[1]]
-        u, w = x - t.dx, y - t.dy
-        out = sampled(image, back[1, 0] * u + back[1, 1] * w, back[0, 0] * u + back[0, 1] * w, how)
-        return rows_of(pdf, np.clip(out, np.nanmin(image), np.nanmax(image)) if clamp else out)
-
-    joined = pixels.select("frame_id", "channel", "y", "x", "v").join(transforms.where("a is not null"), "frame_id")
-    return joined.groupBy("frame_id", "channel").applyInPandas(warp, PIXELS)
+        t = pdf.iloc[0]
+        back = np.linalg.inv(np.array([[t.a, t.b, t.dx], [t.c, t.d, t.dy], [t.g, t.h, 1]]))
+        ys, xs = np.arange(t.ty * side, min((t.ty + 1) * side, t.height)), np.arange(t.tx * side, min((t.tx + 1) * side, t.w))
+        gx, gy = np.meshgrid(xs + t.x0, ys + t.y0)
+        at = moved_points(back, np.c_[gx.ravel(), gy.ravel()])
+        y0, x0 = int(pdf.y.min()), int(pdf.x.min())
+        image = np.full((int(pdf.y.max()) - y0 + 1, int(pdf.x.max()) - x0 + 1), np.nan)
+        image[pdf.y - y0, pdf.x - x0] = pdf.v
+        out = interpolated(image, at[:, 1].reshape(gx.shape) - y0, at[:, 0].reshape(gx.shape) - x0, how, clamp)
+        y, x = np.nonzero(~np.isnan(out))
+        return pd.DataFrame({"frame_id": t.frame_id, "channel": t.channel, "y": (ys[y]).astype("int32"), "x": (xs[x]).astype("int32"), "v": out[y, x]})
+
+    return dealt.groupBy("frame_id", "channel", "ty", "tx").applyInPandas(warp, PIXELS)
+
+
+def interpolated(image: np.ndarray, y: np.ndarray, x: np.ndarray, how: str, clamp: bool = True) -> np.ndarray:
+    """Values at fractional places from the pixels there are: kernels are normed by the weights they meet; NaN without the nearest pixel or half of the kernel's weight."""
+    h, w = image.shape
+
+    def at(yi, xi):
+        inside = (yi >= 0) & (yi < h) & (xi >= 0) & (xi < w)
+        return np.where(inside, image[np.clip(yi, 0, h - 1), np.clip(xi, 0, w - 1)], np.nan)
+
+    y, x = np.nan_to_num(y, nan=-1e6, posinf=-1e6, neginf=-1e6), np.nan_to_num(x, nan=-1e6, posinf=-1e6, neginf=-1e6)
+    nearest = at(np.rint(y - 1e-9).astype(int), np.rint(x - 1e-9).astype(int))
+    if how == "nearest":
+        return nearest
+    k = {"linear": (lambda t: np.clip(1 - np.abs(t), 0, None), 0, 2), "cubic": (lambda t: _kernel(t, "cubic"), -1, 3), "lanczos4": (lambda t: np.where(np.abs(t) < 4, np.sinc(t) * np.sinc(t / 4), 0), -3, 5)}[how]
+    yi, xi = np.floor(y).astype(int), np.floor(x).astype(int)
+    total, weight, low, high = np.zeros(y.shape), np.zeros(y.shape), np.full(y.shape, np.inf), np.full(y.shape, -np.inf)
+    for i in range(k[1], k[2]):
+        for j in range(k[1], k[2]):
+            v, kernel = at(yi + i, xi + j), k[0](y - yi - i) * k[0](x - xi - j)
+            there = ~np.isnan(v)
+            total += np.where(there, v * kernel, 0)
+            weight += np.where(there, kernel, 0)
+            used = there & (kernel != 0)
+            low, high = np.where(used, np.fmin(low, v), low), np.where(used, np.fmax(high, v), high)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where((weight > 0.5) & ~np.isnan(nearest), total / weight, np.nan)
+    return np.clip(out, low, high) if clamp else out
 
 
 def drizzle(pixels: DataFrame, transforms: DataFrame, scale: float = 2.0, pixfrac: float = 1.0) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .settle import settled
+
 PIXEL = ("seq", "channel", "y", "x")
 
 
@@ -170,11 +172,59 @@ def rgb_equalised(pixels: DataFrame) -> DataFrame:
     return pixels.join(med, ["seq", "channel"]).join(first, "seq").withColumn("v", F.col("v") - F.col("m") + F.col("m0")).drop("m", "m0")
 
 
-def overlap_normalised(pixels: DataFrame, reference: str) -> DataFrame:
-    """Frames shifted so that where they overlap the reference frame the medians agree; others stay."""
-    ref = pixels.where(F.col("frame_id") == reference).select("channel", "y", "x", F.col("v").alias("r"))
-    shift = pixels.join(ref, ["channel", "y", "x"]).groupBy("frame_id", "channel").agg((F.median("r") - F.median("v")).alias("d"))
-    return pixels.join(shift, ["frame_id", "channel"], "left").withColumn("v", F.col("v") + F.coalesce("d", F.lit(0.0))).select(*pixels.columns)
+def overlaps(pixels: DataFrame) -> DataFrame:
+    """(seq, channel, a, b, n, d): for frames a < b that share n pixels, d is the sum of a's values less b's over them.
+
+    Pixels are first summed by the set of frames that cover them: mosaics have few such sets, so pairs are made of
+    sets and not of pixels.
+    """
+    covered = pixels.groupBy("seq", "channel", "y", "x").agg(F.array_sort(F.collect_list(F.struct("frame_id", "v"))).alias("p")).where(F.size("p") > 1)
+    sets = covered.select("seq", "channel", F.transform("p", lambda e: e["frame_id"]).alias("cover"), F.explode("p").alias("e"))
+    sums = sets.groupBy("seq", "channel", "cover", "e.frame_id").agg(F.sum("e.v").alias("s"), F.count("e.v").alias("n"))
+    whole = sums.groupBy("seq", "channel", "cover").agg(F.array_sort(F.collect_list(F.struct("frame_id", "s", "n"))).alias("f"))
+    pairs = F.explode(F.flatten(F.transform("f", lambda a: F.transform(F.filter("f", lambda b: b["frame_id"] > a["frame_id"]), lambda b: F.struct(a["frame_id"].alias("a"), b["frame_id"].alias("b"), a["n"].alias("n"), (a["s"] - b["s"]).alias("d"))))))
+    return whole.select("seq", "channel", pairs.alias("p")).groupBy("seq", "channel", "p.a", "p.b").agg(F.sum("p.n").alias("n"), F.sum("p.d").alias("d"))
+
+
+def level_offsets(shared: DataFrame, reference: str | DataFrame, tolerance: float = 1e-12, most: int = 10_000) -> DataFrame:
+    """(seq, channel, frame_id, offset): what to add to each frame so that overlaps agree, by least squares over all overlaps.
+
+    shared: overlaps(). reference: a frame's name or a table (seq, frame_id); its offset is 0. Minimises the sum over pairs of
+    n * (d / n + offset a - offset b)^2 by conjugate gradients, all sequences at once: a step is a join with the
+    pairs and a sum. It ends where the residuals are `tolerance` of what they were, after as many steps as a mosaic
+    has frames at most, but for rounding. Frames that no chain of overlaps leads to the reference keep their
+    level as a group: their offsets, weighted by shared pixels, sum to 0.
+    """
+    key, of = ["seq", "channel"], ["seq", "channel", "f"]
+    ends = F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("b").alias("g"), (-F.col("d")).alias("d")), F.struct(F.col("b").alias("f"), F.col("a").alias("g"), F.col("d").alias("d"))))
+    edges = settled(shared.select(*key, "n", ends.alias("e")).select(*key, "n", "e.*"))
+    if isinstance(reference, str):
+        unknown = edges.where(F.col("f") != reference)
+    else:
+        unknown = edges.join(F.broadcast(reference.select("seq", F.col("frame_id").alias("f"))), ["seq", "f"], "left_anti")
+    rows = unknown.groupBy(*of).agg(F.sum("n").cast("double").alias("diag"), F.sum("d").alias("r"))
+    group = W.partitionBy(*key)
+    state = settled(rows.select(*of, "diag", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("diag")).alias("p")).withColumn("rz", F.sum(F.col("r") * F.col("p")).over(group)).withColumn("first", F.col("rz")))
+    left = F.max(F.col("rz") / F.nullif(F.col("first"), F.lit(0.0)))
+    for _ in range(most):
+        open_ = state.agg(left).first()[0]
+        if open_ is None or open_ <= tolerance**2:
+            break
+        met = edges.join(state.select(*key, F.col("f").alias("g"), "p"), [*key, "g"]).groupBy(*of).agg(F.sum(F.col("n") * F.col("p")).alias("from"))
+        q = state.join(met, of, "left").withColumn("q", F.col("diag") * F.col("p") - F.coalesce("from", F.lit(0.0)))
+        # a group that is done stays as it is
+        step = F.when(F.col("rz") > tolerance**2 * F.col("first"), F.coalesce(F.col("rz") / F.nullif(F.sum(F.col("p") * F.col("q")).over(group), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+        moved = q.withColumn("step", step).withColumns({"x": F.col("x") + F.col("step") * F.col("p"), "r": F.col("r") - F.col("step") * F.col("q")})
+        new = moved.withColumn("rz2", F.sum(F.col("r") * F.col("r") / F.col("diag")).over(group))
+        turn = F.coalesce(F.col("rz2") / F.nullif(F.col("rz"), F.lit(0.0)), F.lit(0.0))
+        state = settled(new.select(*of, "diag", "x", "r", (F.col("r") / F.col("diag") + turn * F.col("p")).alias("p"), F.when(F.col("step") == 0, F.lit(0.0)).otherwise(F.col("rz2")).alias("rz"), "first"))
+    return state.select(*key, F.col("f").alias("frame_id"), F.col("x").alias("offset"))
+
+
+def overlap_normalised(pixels: DataFrame, reference: str | DataFrame) -> DataFrame:
+    """Frames shifted so that they agree where they overlap, over the whole mosaic; the reference frame stays."""
+    offsets = level_offsets(overlaps(pixels), reference)
+    return pixels.join(offsets, ["seq", "channel", "frame_id"], "left").withColumn("v", F.col("v") + F.coalesce("offset", F.lit(0.0))).select(*pixels.columns)
 
 
 def stack(pixels: DataFrame, how: str = "mean", rejection: str = "winsorized", low: float | None = None, high: float | None = None, normalise: str = "none", reference: str | None = None,
