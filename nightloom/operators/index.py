@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from nightloom.functions import text as T
 from nightloom.schema import KINDS
 
 
@@ -69,6 +70,30 @@ def existing(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return keys.join(table.select(key).distinct().withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def masters_by_path(paths: DataFrame, masters: DataFrame) -> DataFrame:
+    """paths (observation_id, kind, path) with the id of the master kept there, of the smallest id if several are; null where the index has none."""
+    known = masters.groupBy(F.col("master_path").alias("path")).agg(F.min("id").alias("master_id"))
+    return paths.join(known, "path", "left").select(*paths.columns, "master_id")
+
+
+def batch_outcomes(observations: DataFrame, linked: DataFrame, folders: DataFrame, results: DataFrame) -> DataFrame:
+    """(observation_id, outcome, masters): what a batch calibration makes of each uncalibrated observation.
+
+    failed: its raw path isn't a RAW leaf, or its run has failed (results: observation_id, ok); skipped: the output
+    folder (folders: path) is there already; calibrated otherwise. masters: kinds linked to it, in order.
+    """
+    kinds = linked.groupBy("observation_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("masters"))
+    rows = uncalibrated(observations).select(F.col("id").alias("observation_id"), T.leaf(F.col("raw_path"))["kind"].alias("leaf"), T.counterpart(F.col("raw_path")).alias("path"))
+    joined = rows.join(kinds, "observation_id", "left").join(folders.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").join(results.select("observation_id", "ok"), "observation_id", "left")
+    outcome = F.when(~F.coalesce(F.col("leaf") == "RAW", F.lit(False)), "failed").when(F.col("there"), "skipped").when(F.coalesce("ok", F.lit(True)), "calibrated").otherwise("failed")
+    return joined.select("observation_id", outcome.alias("outcome"), F.coalesce("masters", F.lit("")).alias("masters"))
+
+
+def batch_counts(outcomes: DataFrame) -> DataFrame:
+    """One row: (calibrated, skipped, failed)."""
+    return outcomes.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in ("calibrated", "skipped", "failed")])
+
+
 # ---- writes: new = f(old, delta) -------------------------------------------------------------------
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: Sequence[str] = ("id", "created_at")) -> DataFrame:
     """Rows of new replace rows of old with the same key, nulls too, but known rows keep `keep`. One row of new for each key."""

@@ -93,6 +93,31 @@ def dirty_layers(layers: DataFrame, lock: DataFrame, listing: DataFrame) -> Data
     return layers.alias("l").join(known.alias("k"), on, "left").select("l.*", (~F.coalesce(clean, F.lit(False))).alias("dirty"))
 
 
+def dirty_registrations(layers: DataFrame, lock: DataFrame, listing: DataFrame) -> DataFrame:
+    """(project, layer, dirty): whether a layer's registered image must be made: no lock entry, none named there, or missing from the listing (path)."""
+    there = listing.select(F.col("path").alias("registered_master_light"), F.lit(True).alias("there")).distinct()
+    known = lock.select("project", "layer", "registered_master_light").join(there, "registered_master_light", "left")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"k.{k}")) for k in ("project", "layer")]
+    return layers.select("project", "layer").distinct().alias("l").join(known.alias("k"), on, "left").select("l.*", (~F.coalesce("k.there", F.lit(False))).alias("dirty"))
+
+
+def grid_layers(panels: DataFrame) -> DataFrame:
+    """(project, layer, paths): a grid layer's observations are those of all its panels (project, layer, panel, paths), panel after panel."""
+    listed = F.array_sort(F.collect_list(F.struct("panel", "paths")))
+    return panels.groupBy("project", "layer").agg(F.flatten(F.transform(listed, lambda p: p["paths"])).alias("paths"))
+
+
+def grid_up_to_date(panels: DataFrame, lock: DataFrame, grid_lock: DataFrame, listing: DataFrame) -> DataFrame:
+    """(project, layer, up_to_date): the layer's image is locked and there, and no panel of it is dirty.
+
+    panels: fingerprinted layers with panel; lock: their entries; grid_lock: (project, layer, master_light) of whole layers.
+    """
+    clean = dirty_layers(panels, lock, listing).groupBy("project", "layer").agg(F.bool_and(~F.col("dirty")).alias("clean"))
+    there = grid_lock.join(listing.select(F.col("path").alias("master_light")).distinct(), "master_light", "left_semi").select("project", "layer", F.lit(True).alias("there")).distinct()
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("project", "layer")]
+    return clean.alias("c").join(there.alias("t"), on, "left").select("c.project", "c.layer", (F.col("clean") & F.coalesce("there", F.lit(False))).alias("up_to_date"))
+
+
 def updated_lock(lock: DataFrame, stacked: DataFrame) -> DataFrame:
     """The lock after some layers were stacked: their entries are replaced, all others keep their time."""
     keys = ["project", "layer", "panel"]
@@ -168,9 +193,8 @@ def spiral_filter(observations: DataFrame) -> DataFrame:
     return observations.agg(F.when(n == 1, F.min("filter")).alias("filter"), (n > 1).alias("several"))
 
 
-def grid_panels(spark: SparkSession, rows: int, columns: int, filters: Sequence[str]) -> DataFrame:
-    """(panel, filter, layer): rows x columns panels with id {row}-{column}, for each filter."""
-    panels = spark.range(rows * columns).select((F.floor(F.col("id") / columns) + 1).cast("int").alias("row"), (F.col("id") % columns + 1).cast("int").alias("column"))
-    panel = F.concat_ws("-", "row", "column")
-    named = panels.withColumn("panel", panel).withColumn("filter", F.explode(F.array(*map(F.lit, filters))))
-    return named.select("panel", "filter", (F.concat_ws("_", "panel", "filter") if len(filters) > 1 else F.col("panel")).alias("layer"))
+def grid_panels(grids: DataFrame) -> DataFrame:
+    """(project, panel, filter, layer) of grids (project, rows, columns, filters): panels with id {row}-{column}, for each filter."""
+    cells = grids.select("project", "filters", "columns", F.explode(F.sequence(F.lit(1), "rows")).alias("row")).select("project", "filters", "row", F.explode(F.sequence(F.lit(1), "columns")).alias("column"))
+    named = cells.select("project", F.concat_ws("-", "row", "column").alias("panel"), "filters", F.explode("filters").alias("filter"))
+    return named.select("project", "panel", "filter", F.when(F.size("filters") > 1, F.concat_ws("_", "panel", "filter")).otherwise(F.col("panel")).alias("layer"))

@@ -392,9 +392,13 @@ def color_mixes(spark, sf):
     return project.color_mixes(stacks, exclude=["sho"]).select("project", "mix", F.array_join("images", ",").alias("images"))
 
 
-@query("SELECT r || '-' || c AS panel, n_name AS filter, r || '-' || c || '_' || n_name AS layer FROM generate_series(1, 3) t(r), generate_series(1, 4) u(c), (VALUES ('Ha'), ('OIII')) v(n_name)")
+@query("""WITH g AS (SELECT n_nationkey AS project, n_regionkey + 1 AS rows_, n_nationkey % 4 + 1 AS columns_, CASE WHEN n_nationkey % 2 = 0 THEN ['Ha', 'OIII'] ELSE ['L'] END AS filters FROM nation)
+    SELECT project, r || '-' || c AS panel, filter, CASE WHEN len(filters) > 1 THEN r || '-' || c || '_' || filter ELSE r || '-' || c END AS layer FROM (SELECT project, filters, r, c, unnest(filters) AS filter FROM (SELECT *, unnest(range(1, columns_ + 1)) AS c FROM (SELECT *, unnest(range(1, rows_ + 1)) AS r FROM g)))""")
 def grid_panels(spark, sf):
-    return project.grid_panels(spark, 3, 4, ["Ha", "OIII"])
+    key = F.col("n_nationkey")
+    filters = F.when(key % 2 == 0, F.array(F.lit("Ha"), F.lit("OIII"))).otherwise(F.array(F.lit("L")))
+    grids = table(spark, sf, "nation").select(key.alias("project"), (F.col("n_regionkey") + 1).cast("int").alias("rows"), (key % 4 + 1).cast("int").alias("columns"), filters.alias("filters"))
+    return project.grid_panels(grids)
 
 
 @query("""WITH layers AS (SELECT o_orderpriority AS layer, string_agg(DISTINCT CAST(o_custkey AS VARCHAR), ',' ORDER BY CAST(o_custkey AS VARCHAR)) AS paths FROM orders GROUP BY 1),

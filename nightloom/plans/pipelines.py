@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from nightloom.functions import text as T
-from nightloom.operators import calibration, geometry, registration, stacking
+from nightloom.operators import calibration, geometry, pointwise, registration, stacking
 
 IMAGE = ("seq", "channel", "y", "x", "v")
 
@@ -131,3 +131,35 @@ def color_samples(mixes: DataFrame, images: DataFrame) -> DataFrame:
     lit = made.where("lum is not null").join(mean, ["project", "mix", "y", "x"]).join(light, ["lum", "y", "x"])
     ratio = F.coalesce(F.col("l_") / F.nullif(F.col("m_"), F.lit(0.0)), F.lit(1.0))
     return made.where("lum is null").drop("lum").unionByName(lit.withColumn("v", F.col("v") * ratio).select("project", "mix", "channel", "y", "x", "v"))
+
+
+#: Of finished samples: shadows of the last stretch and of the one before luminance is added, background aimed at, saturation.
+SHADOWS, SHADOWS_BEFORE, BACKGROUND, SATURATION = -2.3, -4.5, 0.15, 0.6
+
+
+def finished_samples(mixes: DataFrame, images: DataFrame, calibrated: DataFrame | None = None) -> DataFrame:
+    """mixes (project, mix, images) as pictures: (project, mix, channel, y, x, v) of images (path, y, x, v).
+
+    Images of mixes with luminance are stretched before they are composed (each once, however often the mix names it). Then
+    all are stretched (channels by themselves; together where calibrated names the mix), green noise goes, purple goes of SHO and L-SHO,
+    and colours are saturated. One channel is only stretched.
+    calibrated: (project, mix) whose channels were brought to their true colours before. Frames are named project/mix.
+    """
+    lum = F.col("mix").startswith("L-") | (F.col("mix") == "LRGB")
+    before = images.select(F.col("path").alias("frame_id"), F.lit(0).alias("channel"), "y", "x", "v")
+    soft = pointwise.autostretch(before, SHADOWS_BEFORE, BACKGROUND).select(F.col("frame_id").alias("path"), "y", "x", "v")
+    made = color_samples(mixes.where(~lum), images).unionByName(color_samples(mixes.where(lum), soft))
+    named = made.select(F.concat_ws("/", F.col("project").cast("string"), "mix").alias("frame_id"), "channel", "y", "x", "v")
+    names = mixes.select("project", "mix", F.concat_ws("/", F.col("project").cast("string"), "mix").alias("frame_id"), (F.size("images") == 1).alias("mono"))
+    if calibrated is not None:
+        names = names.join(calibrated.select("project", "mix", F.lit(True).alias("together")).distinct(), ["project", "mix"], "left")
+        apart = named.join(names.where("together is null"), "frame_id", "left_semi")
+        stretched = pointwise.autostretch(apart, SHADOWS, BACKGROUND).unionByName(pointwise.autostretch(named.join(names.where("together"), "frame_id", "left_semi"), SHADOWS, BACKGROUND, linked=True))
+    else:
+        stretched = pointwise.autostretch(named, SHADOWS, BACKGROUND)
+    mono, colour = stretched.join(names.where("mono"), "frame_id", "left_semi"), stretched.join(names.where("not mono"), "frame_id", "left_semi")
+    plain = pointwise.remove_green(colour)
+    purple = names.where(F.col("mix").isin("SHO", "L-SHO"))
+    plain = plain.join(purple, "frame_id", "left_anti").unionByName(pointwise.remove_purple(plain.join(purple, "frame_id", "left_semi")))
+    done = pointwise.saturate(plain, SATURATION, BACKGROUND).unionByName(mono.select("frame_id", "channel", "y", "x", "v"))
+    return done.join(names.select("frame_id", "project", "mix"), "frame_id").select("project", "mix", "channel", "y", "x", "v")
