@@ -13,6 +13,7 @@ triples are frequent is told to the tasks as a bitmap of fixed size: a false hit
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Bits of a bitmap (8 MB): about a tenth of all infrequent words pass it when 7 million are frequent.
 BITMAP = 26
 #: Rows that a task sums before it hands on what it has.
-MERGE = 1 << 19
+MERGE = 1 << 18
 #: Characters of a table of words or phrases that may be broadcast.
 BROADCAST_TEXT = 16_000_000
 PIECE_END = np.zeros(256, dtype=np.int32)
@@ -54,6 +55,13 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a.astype(U) * U(0xD6E8FEB86659FD93) + mix(b.astype(U)))
 
 
+def _lang_hashes(column: pa.Array) -> np.ndarray:
+    """A hash of each row's language: what is frequent is so in one language."""
+    d = column.dictionary_encode()
+    own = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in d.dictionary.to_pylist()], dtype=U)
+    return own[d.indices.to_numpy()] if len(own) else np.zeros(0, dtype=U)
+
+
 def _seeded(w: Words, seed: int) -> np.ndarray:
     h = mix(w.hash + U(seed)).astype(np.int64) if seed else w.hash.astype(np.int64)
     return np.where(h == 0, 1, h)  # 0 is no word
@@ -183,13 +191,13 @@ def _count_grams(shared, seed: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, frequent = _Sums(["lang", *[f"h{i}" for i in range(1, k + 1)], "f"]), shared.value
         for batch in batches:
-            lang = sums.codes(batch.column(1))
+            lang, tongue = sums.codes(batch.column(1)), _lang_hashes(batch.column(1))
             for i, j, w in words(batch.column(0), IN_WORD):
                 row, near = _pieces(w, j - i)
                 h = _seeded(w, seed)
                 if len(h) < k:
                     continue
-                on = _has(frequent, gram_hashes(h, k - 1))
+                on = _has(frequent, pair_hash(gram_hashes(h, k - 1), tongue[i + row[: len(h) - k + 2]]))
                 at = np.flatnonzero(_runs(near, k) & on[:-1] & on[1:])
                 yield from sums.add([lang[i + row[at]], *[h[at + d] for d in range(k)]], np.ones(len(at), dtype=np.int64))
         yield from sums.out()
@@ -198,10 +206,12 @@ def _count_grams(shared, seed: int, k: int):
 
 
 def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of (lang, h1, ...) by which tasks look them up."""
     for batch in batches:
-        out = batch.column(0).to_numpy()
-        for c in batch.columns[1:]:
+        out = batch.column(1).to_numpy()
+        for c in batch.columns[2:]:
             out = pair_hash(out, c.to_numpy()).astype(np.int64)
+        out = pair_hash(out, _lang_hashes(batch.column(0))).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(out)], names=["h"])
 
 
@@ -212,14 +222,14 @@ def _project(shared, seed: int, longest: int):
         """(lang, h1.., n): frequent three words with those after them, 0 from where the last three can't be frequent; at least one word after them."""
         sums, frequent = _Sums(["lang", *names, "n"]), shared.value
         for batch in batches:
-            lang = sums.codes(batch.column(1))
+            lang, tongue = sums.codes(batch.column(1)), _lang_hashes(batch.column(1))
             for i, j, w in words(batch.column(0), IN_WORD):
                 row, near = _pieces(w, j - i)
                 h = _seeded(w, seed)
                 if len(h) < 4:
                     continue
                 on = np.zeros(len(h) + longest, dtype=bool)
-                on[: len(h) - 2] = _runs(near, 3) & _has(frequent, gram_hashes(h, 3))
+                on[: len(h) - 2] = _runs(near, 3) & _has(frequent, pair_hash(gram_hashes(h, 3), tongue[i + row[: len(h) - 2]]))
                 at = np.flatnonzero(on[:-1] & on[1:])
                 far = np.concatenate([h, np.zeros(longest, dtype=np.int64)])
                 columns, goes = [lang[i + row[at]], h[at], h[at + 1], h[at + 2]], np.ones(len(at), dtype=bool)
@@ -286,7 +296,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     known = cut(all_words.where(F.col("f") >= least))
     drop(all_words)
     found = None
-    shorter = known.select("h")
+    shorter = known.select("lang", "h").mapInArrow(_hash_grams, "h long")
     for k in (2, 3)[: longest - 1]:
         likely = spark.sparkContext.broadcast(bitmap_of(shorter))
         names = [f"h{i}" for i in range(1, k + 1)]
@@ -294,7 +304,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         grams = cut(texts.mapInArrow(_count_grams(likely, seed, k), f"lang string, {kinds}, f long").groupBy("lang", *names).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
         rows = grams.select("lang", F.array(*names).alias("hs"), "f")
         found = rows if found is None else found.unionAll(rows)
-        shorter = grams.select(*names).mapInArrow(_hash_grams, "h long")
+        shorter = grams.select("lang", *names).mapInArrow(_hash_grams, "h long")
     if longest > 3:
         likely = spark.sparkContext.broadcast(bitmap_of(shorter))
         names = [f"h{k}" for k in range(1, longest + 1)]

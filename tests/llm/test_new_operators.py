@@ -186,7 +186,7 @@ def brute_variants(n, times=5):
     return {(a, form[a], root(a), n[a], len(near[a]), n[form[a]] if form[a] else None) for a in n}
 
 
-@pytest.mark.parametrize("block", [2, 4, 64])
+@pytest.mark.parametrize("block", [3, 64])
 def test_spelling_variants(spark, block):
     """A dense dictionary over few letters; small blocks are subdivided again and again."""
     rng = random.Random(11)
@@ -205,7 +205,7 @@ def test_near_pairs_once_whatever_the_block(spark):
     words = ["".join(x) for x in __import__("itertools").product("ab", repeat=6)] + ["".join(x) for x in __import__("itertools").product("ab", repeat=7)] + ["c" * 6, "c" * 7, "c" * 8]
     df = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
     want = {tuple(sorted((a, b), key=lambda w: (len(w), w))) for a in words for b in words if one_edit(a, b)}
-    for block in (1, 3, 10**6):
+    for block in (2, 10**6):
         got = [(r.a, r.b) for r in spelling.near_pairs(df, block=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
