@@ -306,7 +306,7 @@ def interpolated(image: np.ndarray, y: np.ndarray, x: np.ndarray, how: str, clam
             used = there & (kernel != 0)
             low, high = np.where(used, np.fmin(low, v), low), np.where(used, np.fmax(high, v), high)
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.where((weight > 0.5) & ~np.isnan(nearest), total / weight, np.nan)
+        out = np.where((weight > 0.499) & ~np.isnan(nearest), total / weight, np.nan)
     return np.clip(out, low, high) if clamp else out
 
 
