@@ -50,3 +50,30 @@ def test_priority(spark):
     assert {r["observation_id"]: r["outcome"] for r in out.collect()} == {k or "none": v for k, v in want.items()}
     links = match.links(out).collect()
     assert len(links) == sum(v.count("+") + 1 for v in want.values() if v != "none")
+
+
+def test_one_gain_and_skewed_dates(spark):
+    """Nearly all of one gain in one month: brute force over all pairs, and a join that meets few of them."""
+    import random
+
+    rng = random.Random(4)
+    day = lambda: D(2024, 1, 1) + dt.timedelta(days=rng.choice([0, 1, 2, 30, 45, 60, 700, 721, 1450]))
+    temps = [None, 0.0, -5.0, -10.0, -9.999999999, 4.999, 5.0, 0.1, 0.3]
+    m = [(f"m{i:03d}", rng.choice(["dark", "flat", "bias"]), day(), rng.choice([7, 7, 7, None]), rng.choice([None, 1]), rng.choice([None, "1x1"]), rng.choice(temps), rng.choice([None, 60.0, 60.5, 61.0, 59.5]), rng.choice(["L", "R", None]), "") for i in range(150)]
+    o = [(f"o{i:03d}", rng.choice([day(), None]) if i % 20 == 0 else day(), rng.choice([7, 7, 7, 8, None]), rng.choice([None, None, 1]), rng.choice([None, None, "1x1"]), rng.choice(temps), rng.choice([None, 60.0, 60.5]), rng.choice(["L", "R", None])) for i in range(150)]
+    obs_, masters_ = spark.createDataFrame(o, OBS), spark.createDataFrame(m, MASTER)
+    for kind in ("dark", "flat", "bias"):
+        want = {}
+        for i, date, gain, off, binning, temp, exp, flt in o:
+            fits = []
+            for mi, mk, md, mg, mo, mb, mt, me, mf, _ in m:
+                if date is None or mk != kind or not date - dt.timedelta(days=720) <= md <= date or gain not in (None, mg) or off not in (None, mo) or binning not in (None, mb):
+                    continue
+                if temp is not None and abs((mt or 0.0) - temp) > 5.0 or kind == "bias" and temp is None or kind == "flat" and (flt is None or mf != flt) or kind == "dark" and (exp is None or me is None or abs(me - exp) > 0.5):
+                    continue
+                fits.append((-md.toordinal(), mi))
+            if fits:
+                want[i] = min(fits)[1]
+        assert found(match.nearest_master(obs_, masters_, kind)) == want
+        many = {r["observation_id"]: r[f"{kind}_id"] for r in match.nearest_masters(obs_, masters_).collect() if r[f"{kind}_id"]}
+        assert many == want
