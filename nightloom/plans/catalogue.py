@@ -845,12 +845,18 @@ def rgbcomp(spark, sf):
     return rounded(geo.compose_rgb(one("0"), one("1"), one("2"), "rgb").drop("frame_id"))
 
 
-@query()
+@query(f"""WITH {COLOR}, a AS (SELECT vec_id, y, x, abs(r) AS r, abs(g) AS g, b FROM c), q AS (SELECT vec_id, 0.15 * (median((r + g + b) / 3) + stddev_samp((r + g + b) / 3)) AS t FROM a GROUP BY 1),
+    h AS (SELECT a.*, greatest(r, g, b) AS hi, least(r, g, b) AS lo, (r + g + b) / 3 > t AS on_ FROM a JOIN q USING (vec_id)), s AS (SELECT *, CASE WHEN hi = 0 THEN 0 ELSE (hi - lo) / hi END AS s0 FROM h), k AS (SELECT *, CASE WHEN on_ AND s0 > 0 THEN least(s0 * 1.6, 1) / s0 ELSE 1 END AS f FROM s)
+    SELECT vec_id, c AS channel, y, x, {R('CASE c WHEN 0 THEN hi - (hi - r) * f WHEN 1 THEN hi - (hi - g) * f ELSE hi - (hi - b) * f END')} AS v FROM k, (VALUES (0), (1), (2)) t(c)""")
 def saturate(spark, sf):
     return by_channel(pw.saturate(color(spark, sf).withColumn("v", F.abs("v")), 0.6, 0.15))
 
 
-@query()
+GHS = "CASE WHEN {x} < sp THEN -(1 - 1 / (1 + 2 * (sp - {x}))) WHEN {x} <= hp THEN 1 - 1 / (1 + 2 * ({x} - sp)) ELSE 1 - 1 / (1 + 2 * (hp - sp)) + 2 / ((1 + 2 * (hp - sp)) * (1 + 2 * (hp - sp))) * ({x} - hp) END"
+
+
+@query(f"""WITH {LONG}, a AS (SELECT vec_id, y, x, abs(v) AS v FROM p), s AS (SELECT vec_id, least(greatest(median(v) - stddev_samp(v), 0), 1) AS sp FROM a GROUP BY 1), t AS (SELECT a.*, sp, greatest(0.7, sp) AS hp FROM a JOIN s USING (vec_id)),
+    u AS (SELECT vec_id, y, x, {GHS.format(x='v')} AS z, {GHS.format(x='0.0')} AS z0, {GHS.format(x='1.0')} AS z1 FROM t) SELECT vec_id, y, x, {R('least(greatest((z - z0) / (z1 - z0), 0), 1)')} AS v FROM u""")
 def autoghs(spark, sf):
     return by_vec(pw.autoghs(pixels(spark, sf).withColumn("v", F.abs("v")), -1.0, 2.0, b=1.0))
 
@@ -885,7 +891,9 @@ def background_poly(spark, sf):
     return by_vec(cal.subtract_background(pixels(spark, sf), 1, samples=4, tolerance=3.0))
 
 
-@query()
+@query(f"""WITH {LONG}, c AS (SELECT vec_id, y, x, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM p), s AS (SELECT a.range AS dy, b.range AS dx FROM range(-2, 3) a, range(-2, 3) b),
+    k AS (SELECT c.vec_id, dx, dy, avg(c.v * r.v) AS k FROM c, s JOIN c r ON r.vec_id = 0 AND r.y = c.y - dy AND r.x = c.x - dx GROUP BY ALL)
+    SELECT vec_id, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy FROM k QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY k DESC, abs(dx) + abs(dy), dy DESC, dx DESC) = 1""")
 def register_shift(spark, sf):
     return reg.shifts(pixels(spark, sf), "0", most=2).select(F.col("frame_id").cast("long").alias("vec_id"), "dx", "dy")
 
