@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .registration import TRANSFORMS
 from .settle import settled
 
 #: Neighbours of a star from which quads are made, and rounding and tolerance of a code.
@@ -301,6 +302,36 @@ def solve(
     return fitted(sized(again), order, tolerance)
 
 
+def transforms_to(solutions: DataFrame, frames: DataFrame, reference: str) -> DataFrame:
+    """Each solved frame's transform to the pixels of the solved reference frame, for registration.apply_transforms.
+
+    Two tangent planes of one sphere are related by a homography: the frame's pixels to its plane, turned on the
+    sphere, and from the reference's plane to its pixels. Polynomials beyond the linear terms are left out. Without a solved reference there are no rows.
+    """
+    rows = solutions.join(frames.select("frame_id", "width", "height"), "frame_id").select("frame_id", "ra", "dec", "cd11", "cd12", "cd21", "cd22", "width", "height", "pairs")
+    ref = rows.where(F.col("frame_id") == reference).select(*[F.col(c).alias(f"r_{c}") for c in ("ra", "dec", "cd11", "cd12", "cd21", "cd22", "width", "height")])
+
+    def to_sphere(ra, dec, cd, width, height):
+        """Pixel (x, y, 1) to a vector of the sphere, up to its length."""
+        a, d = math.radians(ra), math.radians(dec)
+        east, north, up = (-math.sin(a), math.cos(a), 0), (-math.sin(d) * math.cos(a), -math.sin(d) * math.sin(a), math.cos(d)), (math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d))
+        plane = np.radians(np.array([[cd[0], cd[1], 0], [cd[2], cd[3], 0], [0, 0, 0]])) + np.array([[0, 0, 0], [0, 0, 0], [0, 0, 1]])
+        centre = np.array([[1, 0, -(width - 1) / 2], [0, 1, -(height - 1) / 2], [0, 0, 1]])
+        return np.array([east, north, up]).T @ plane @ centre
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                own = to_sphere(r.ra, r.dec, (r.cd11, r.cd12, r.cd21, r.cd22), r.width, r.height)
+                m = np.linalg.inv(to_sphere(r.r_ra, r.r_dec, (r.r_cd11, r.r_cd12, r.r_cd21, r.r_cd22), r.r_width, r.r_height)) @ own
+                m /= m[2, 2]
+                out.append((r.frame_id, *m[0], *m[1], m[2, 0], m[2, 1], int(r.pairs)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSFORMS.split(", ")])
+
+    return rows.crossJoin(F.broadcast(ref)).mapInPandas(run, TRANSFORMS)  # one row of the reference
+
+
 def within_reach(placed: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Pairs of placed (ra, dec, reach in degrees) and catalogue stars within each row's own reach.
 

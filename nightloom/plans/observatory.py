@@ -374,3 +374,28 @@ def profile_fits(spark, sf):
     stars = s.select("frame_id", F.lit(0).alias("channel"), F.col("frame_id").alias("star"), F.round("cx").alias("x"), F.round("cy").alias("y"))
     got = ph.profiles(stars, image, 7)
     return got.select("star", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("amplitude", 2).alias("amplitude"), F.round("fwhm_y", 3).alias("fwhm_y"))
+
+
+# ==== lights, to the end =============================================================================
+@query(f"""WITH {LONG}, b AS (SELECT y, x, median(v) AS b FROM p WHERE label = 0 GROUP BY ALL), k AS (SELECT y, x, median(v) AS d FROM p WHERE label = 1 GROUP BY ALL), f0 AS (SELECT y, x, 2 + median(v) AS f FROM p WHERE label = 2 GROUP BY ALL),
+    f AS (SELECT y, x, f / avg(f) OVER (PARTITION BY y % 2, x % 2) AS f FROM f0), c AS (SELECT vec_id, y, x, y % 2 + x % 2 AS ch, (v - b - d) / f AS v FROM p JOIN b USING (y, x) JOIN k USING (y, x) JOIN f USING (y, x))
+    SELECT p.vec_id, CAST(q.ch AS INT) AS channel, p.y, p.x, {R('coalesce(max(q.v) FILTER (q.y = p.y AND q.x = p.x), avg(q.v))')} AS v FROM c p JOIN c q ON q.vec_id = p.vec_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL""")
+def pipeline_calibrate_color(spark, sf):
+    p = pixels(spark, sf)
+    image = lambda k: pipes.master_bias(p.where(F.col("seq") == k))
+    done = pipes.calibrate_lights(p, bias=image(0), dark=image(1), flat=image(2).withColumn("v", F.col("v") + 2), color=True)
+    return rounded(done.select(F.col("frame_id").cast("long").alias("vec_id"), "channel", "y", "x", "v"))
+
+
+@query(f"""WITH {LONG}, c AS (SELECT vec_id, y, x, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM p), sh AS (SELECT a.range AS dy, b.range AS dx FROM range(-2, 3) a, range(-2, 3) b),
+    kk AS (SELECT c.vec_id, dx, dy, avg(c.v * r.v) AS k FROM c, sh JOIN c r ON r.vec_id = 0 AND r.y = c.y - dy AND r.x = c.x - dx GROUP BY ALL), mo AS (SELECT vec_id, dx, dy FROM kk QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY k DESC, abs(dx) + abs(dy), dy DESC, dx DESC) = 1),
+    mv AS (SELECT CAST(vec_id AS VARCHAR) AS id, y - dy AS y, x - dx AS x, v FROM p JOIN mo USING (vec_id)), i AS (SELECT * FROM mv WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7),
+    l AS (SELECT id, median(v) AS loc FROM i GROUP BY 1), sc AS (SELECT id, loc, median(abs(v - loc)) AS scale FROM i JOIN l USING (id) GROUP BY ALL), rf AS (SELECT loc AS rloc, scale AS rscale FROM sc WHERE id = '0'),
+    n AS (SELECT id, y, x, (v - loc) * coalesce(rscale / nullif(scale, 0), 1) + rloc AS v FROM i JOIN sc USING (id), rf),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY y, x ORDER BY v, id) AS DOUBLE) AS r FROM n), ft AS (SELECT y, x, regr_slope(v, r) AS a, regr_intercept(v, r) AS b, avg(v) AS mean FROM r GROUP BY ALL),
+    e AS (SELECT r.*, v - coalesce(a * r + b, mean) AS e FROM r JOIN ft USING (y, x)), s AS (SELECT y, x, coalesce(stddev_samp(e), 0) AS se FROM e GROUP BY ALL),
+    o AS (SELECT y, x, avg(v) AS v FROM e JOIN s USING (y, x) WHERE abs(e) <= 5 * se GROUP BY ALL)
+    SELECT CAST(7 - y AS INT) AS y, CAST(x AS INT) AS x, {R('(v - (SELECT min(v) FROM o)) / (SELECT max(v) - min(v) FROM o)')} AS v FROM o""")
+def pipeline_master_light_registered(spark, sf):
+    p = pixels(spark, sf).withColumn("seq", F.lit(0))
+    return rounded(pipes.master_light(p, reference="0", most=2).select("y", "x", "v"))

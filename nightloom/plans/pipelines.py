@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nightloom.functions import text as T
-from nightloom.operators import calibration, geometry, pointwise, registration, stacking
+from nightloom.operators import astrometry, calibration, geometry, pointwise, registration, stacking
+from nightloom.operators.settle import settled
 
 IMAGE = ("seq", "channel", "y", "x", "v")
 
@@ -81,7 +82,7 @@ def master_light(pixels: DataFrame, reference: str, moves: DataFrame | None = No
     equalised, stretched to 0..1, and mirrored about the horizontal axis."""
     if background:
         pixels = calibration.subtract_background(pixels)
-    moves = registration.shifts(pixels, reference, most) if moves is None else moves
+    moves = settled(registration.shifts(pixels, reference, most)) if moves is None else moves
     stacked = best_stack(registration.apply_shifts(pixels, moves), normalise="addscale", reference=reference, output_norm=True, rgb_equal=True)
     return geometry.mirror_x(stacked.withColumn("frame_id", F.col("seq").cast("string"))).select(*IMAGE)
 
@@ -114,6 +115,24 @@ def grid_mosaic(pixels: DataFrame, panels: DataFrame, moves: DataFrame, referenc
     return mosaic(stacks.select(F.col("seq.seq_").alias("seq"), F.col("seq.panel").alias("frame_id"), "channel", "y", "x", "v"), moves, reference, feather)
 
 
+def solved_mosaic(pixels: DataFrame, catalogue: DataFrame, levels: list[tuple[float, int]], reference: str, feather: int = 0, background: bool = False, most: int = 200, how: str = "linear", **solver) -> DataFrame:
+    """Frames of a mosaic laid out by what they show of the sky: stars found, each frame solved against the catalogue
+    (solver: further arguments of astrometry.solve), resampled into the reference frame's pixels over the area that any covers,
+    levelled over all overlaps and feathered. Frames that aren't solved are left out, all of them if the reference isn't."""
+    if background:
+        pixels = calibration.subtract_background(pixels)
+    stars = registration.find_stars(pixels.where("channel = 0"), most=most)
+    nth = F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc("flux"), "y", "x")).cast("long")
+    sizes = pixels.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    solutions = astrometry.solve(settled(stars.withColumn("star", nth)), sizes, catalogue, levels, **solver)
+    transforms = settled(astrometry.transforms_to(solutions, sizes, reference))
+    laid = registration.apply_transforms(pixels.drop("seq"), transforms, how, framing="max", reference=reference)
+    seqs = pixels.select("frame_id", "seq").distinct()
+    levelled = stacking.overlap_normalised(settled(laid.join(seqs, "frame_id")), reference)
+    weighed = stacking.feather_weights(levelled, feather)
+    return weighed.groupBy("seq", "channel", "y", "x").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
 # ---- colour samples --------------------------------------------------------------------------------
 def color_samples(mixes: DataFrame, images: DataFrame) -> DataFrame:
     """mixes (project, mix, images) composed of single-channel images (path, y, x, v): (project, mix, channel, y, x, v).
