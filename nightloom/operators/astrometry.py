@@ -13,12 +13,14 @@ Tables: catalogue (star_id, ra, dec, mag), stars (frame_id, star, x, y, flux), f
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .registration import TRANSFORMS
 from .settle import settled
@@ -86,35 +88,50 @@ def great_circle(ra: Column, dec: Column, ra2: Column, dec2: Column) -> Column:
 
 
 # ---- quads ------------------------------------------------------------------------------------------
-def _code(p: str) -> Column:
-    """struct(ids, code) of an array of four points struct(id, u, v): ids in the code's order."""
-    pairs = ", ".join(f"struct(pow({p}[{i}].u - {p}[{j}].u, 2) + pow({p}[{i}].v - {p}[{j}].v, 2) as d, {i} as i, {j} as j)" for i, j in combinations(range(4), 2))
-    widest = f"array_max(array({pairs}))"
-    # A to (0, 0), B to (1, 1)
-    place = "struct(c.id as id, ((c.u - a.u) * (b.u - a.u) + (c.v - a.v) * (b.v - a.v) - (c.v - a.v) * (b.u - a.u) + (c.u - a.u) * (b.v - a.v)) / d as x, ((c.u - a.u) * (b.u - a.u) + (c.v - a.v) * (b.v - a.v) + (c.v - a.v) * (b.u - a.u) - (c.u - a.u) * (b.v - a.v)) / d as y)"
-    place = place.replace("a.", "ab.a.").replace("b.u", "ab.b.u").replace("b.v", "ab.b.v").replace("ab.ab.", "ab.").replace("/ d", "/ ab.d")
-    spanned = f"transform(array({widest}), w -> struct({p}[w.i] as a, {p}[w.j] as b, w.d as d, filter({p}, (q, k) -> k <> w.i and k <> w.j) as rest))"
-    placed = f"transform({spanned}, ab -> struct(ab.a.id as a, ab.b.id as b, array_sort(transform(ab.rest, c -> {place}), (l, r) -> case when l.x < r.x or (l.x = r.x and l.y < r.y) then -1 else 1 end) as c))[0]"
-    return F.expr(placed)
-
-
-def _canonical(q: Column) -> Column:
-    """The same quad with A and B exchanged where the others lie beyond the middle."""
-    c, d = q["c"][0], q["c"][1]
-    turned = c["x"] + d["x"] > 1
-    ids = F.when(turned, F.array(q["b"], q["a"], d["id"], c["id"])).otherwise(F.array(q["a"], q["b"], c["id"], d["id"]))
-    code = F.when(turned, F.array(1 - d["x"], 1 - d["y"], 1 - c["x"], 1 - c["y"])).otherwise(F.array(c["x"], c["y"], d["x"], d["y"]))
-    return F.struct(ids.alias("ids"), code.alias("code"))
+#: Which of a list's places make a quad: the star itself with three of its neighbours.
+PLACES = np.array([(0, *c) for c in combinations(range(1, NEAREST + 1), 3)])
+
+
+def codes(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, code) of quads of complex points (n, 4): the points A, B, C, D as places 0 .. 3, and C's and D's coordinates where A is 0, 0 and B is 1, 1.
+
+    A and B are the two most distant ones; C has the smaller x, and C and D together lie on A's side of the middle.
+    """
+    pairs = np.array(list(combinations(range(4), 2)))
+    rest = np.array([[k for k in range(4) if k not in p] for p in pairs])
+    widest = np.abs(z[:, pairs[:, 0]] - z[:, pairs[:, 1]]).argmax(axis=1)
+    ab, cd = pairs[widest], rest[widest]
+    a, b = (np.take_along_axis(z, ab[:, k : k + 1], axis=1) for k in (0, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = (np.take_along_axis(z, cd, axis=1) - a) / (b - a) * (1 + 1j)
+    far = w.real.sum(axis=1) > 1
+    w[far], ab[far] = (1 + 1j) - w[far], ab[far][:, ::-1]
+    swap = (w[:, 0].real > w[:, 1].real) | ((w[:, 0].real == w[:, 1].real) & (w[:, 0].imag > w[:, 1].imag))
+    w[swap], cd[swap] = w[swap][:, ::-1], cd[swap][:, ::-1]
+    return np.concatenate([ab, cd], axis=1), np.stack([w[:, 0].real, w[:, 0].imag, w[:, 1].real, w[:, 1].imag], axis=1)
 
 
 def quads(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
     """(keep..., ids, code) of neighbour lists (p: array of struct(id, u, v), the star itself first): each star with three of the others."""
-    some = lists.where(F.size("p") >= 4)
-    three = F.array(*[F.array(*[F.lit(i) for i in (0, *c)]) for c in combinations(range(1, NEAREST + 1), 3)])
-    chosen = some.select(*keep, "p", F.explode(three).alias("at")).where(F.get("at", F.lit(3)) < F.size("p"))
-    points = chosen.select(*keep, F.transform("at", lambda i: F.get("p", i)).alias("p"))
-    made = points.select(*keep, _code("p").alias("q")).select(*keep, _canonical(F.col("q")).alias("q"))
-    return made.select(*keep, "q.ids", "q.code").where(F.forall("code", lambda x: x.isNotNull() & ~F.isnan(x)))
+    kind = lists.schema["p"].dataType.elementType["id"].dataType
+    schema = StructType([*[lists.schema[k] for k in keep], StructField("ids", ArrayType(kind)), StructField("code", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(len(keep))
+            flat, at = p.flatten(), p.offsets.to_numpy() - p.offsets[0].as_py()
+            size = np.diff(at)
+            z = flat.field("u").to_numpy(zero_copy_only=False) + 1j * flat.field("v").to_numpy(zero_copy_only=False)
+            row, which = np.nonzero(PLACES.max(axis=1)[None, :] < size[:, None])
+            at = at[row][:, None] + PLACES[which]
+            order, code = codes(z[at]) if len(row) else (np.zeros((0, 4), dtype=int), np.zeros((0, 4)))
+            good = np.isfinite(code).all(axis=1)
+            ids = flat.field("id").take(pa.array(np.take_along_axis(at, order, axis=1)[good].ravel()))
+            four = pa.array(np.arange(0, 4 * good.sum() + 1, 4, dtype=np.int32))
+            kept = [batch.column(k).take(pa.array(row[good])) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(four, ids), pa.ListArray.from_arrays(four, pa.array(code[good].ravel()))], names=[*keep, "ids", "code"])
+
+    return lists.where(F.size("p") >= 4).select(*keep, "p").mapInArrow(run, schema)
 
 
 def brightest(catalogue: DataFrame, cell: float, per_cell: int) -> DataFrame:
@@ -278,7 +295,7 @@ def solve(
     arcseconds a pixel, of a known focal length and pixel size. The `most` brightest stars of a frame take part in the final fit.
     Frames without enough agreeing quads have no row. Nulls in positions make a star unusable.
     """
-    stars = stars.where("x is not null and y is not null").select("frame_id", "star", "x", "y", "flux")
+    stars = settled(stars.where("x is not null and y is not null").select("frame_id", "star", "x", "y", "flux"))  # read five times
     catalogue = catalogue.where("ra is not null and dec is not null").select("star_id", "ra", "dec", "mag")
     found = matches(frame_quads(stars, depths), index_quads(catalogue, levels))
     posed = proposals(found, stars, catalogue, frames)
