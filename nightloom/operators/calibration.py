@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .astrometry import sky_pairs
 from .geometry import PIXELS
 
 PLACE = ["channel", "y", "x"]
@@ -151,20 +152,11 @@ def subtract_background(pixels: DataFrame, degree: int | None = 1, samples: int
     return leveled.join(mean, ["frame_id", "channel"]).withColumn("v", F.col("v") - F.col("b_") + F.col("mean_")).select(*pixels.columns)
 
 
-def color_balance(pixels: DataFrame, stars: DataFrame, catalogue: DataFrame, radius: float, low: float = -2.8, high: float = 2.0) -> DataFrame:
+def color_balance(pixels: DataFrame, stars: DataFrame, catalogue: DataFrame, radius: float) -> DataFrame:
     """Photometric colour calibration: stars (frame_id, ra, dec, r, g, b) are matched with a catalogue (ra, dec, cr, cg, cb) of expected fluxes
-    within radius degrees; each channel is scaled by the median ratio (green 1) about its background.
-
-    The sky is cut into cells as large as the radius, so the match is an equi-join on cells.
-    """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    cat = catalogue.withColumns({"i": cell("dec"), "j": cell("ra")}).withColumnsRenamed({"ra": "cra", "dec": "cdec"})
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
-    s = stars.select("*", around).withColumns({"i": cell("dec") + F.col("d.a"), "j": cell("ra") + F.col("d.b")}).drop("d")
-    apart = F.degrees(F.acos(F.least(F.lit(1.0), F.sin(F.radians("dec")) * F.sin(F.radians("cdec")) + F.cos(F.radians("dec")) * F.cos(F.radians("cdec")) * F.cos(F.radians(F.col("ra") - F.col("cra"))))))
-    near = s.join(cat, ["i", "j"]).where(apart <= radius)
+    within radius degrees; each channel is scaled by the median ratio (green 1) about its background. Frames without matches stay."""
+    near = sky_pairs(stars, catalogue.select("ra", "dec", "cr", "cg", "cb"), radius)
     k = near.groupBy("frame_id").agg(*[F.median(F.col(f"c{c}") / F.nullif(F.col(c), F.lit(0.0))).alias(f"k{c}") for c in "rgb"])
     factors = k.select("frame_id", F.posexplode(F.array(*[F.col(f"k{c}") / F.col("kg") for c in "rgb"])).alias("channel", "k"))
     bg = pixels.groupBy("frame_id", "channel").agg(F.median("v").alias("bg"))
     return pixels.join(factors, ["frame_id", "channel"], "left").join(bg, ["frame_id", "channel"]).withColumn("v", (F.col("v") - F.col("bg")) * F.coalesce("k", F.lit(1.0)) + F.col("bg")).select(*pixels.columns)
-

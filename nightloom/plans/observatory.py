@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nightloom.functions import text as T
-from nightloom.operators import frames as fr, geometry as geo, index, photometry as ph, pointwise as pw, project, registration as reg, stacking as st, statistics as stats
+from nightloom.operators import calibration as cal, frames as fr, geometry as geo, index, photometry as ph, pointwise as pw, project, registration as reg, stacking as st, statistics as stats
 from nightloom.plans import pipelines as pipes
-from nightloom.plans.catalogue import COLOR, FRAME, LONG, R, by_vec, color, frame_meta, pixels, query, rounded, stacked, table
+from nightloom.plans.catalogue import COLOR, by_channel, FRAME, LONG, R, by_vec, color, frame_meta, pixels, query, rounded, stacked, table
 from nightloom.sources import tree
 
 
@@ -399,3 +399,16 @@ def pipeline_calibrate_color(spark, sf):
 def pipeline_master_light_registered(spark, sf):
     p = pixels(spark, sf).withColumn("seq", F.lit(0))
     return rounded(pipes.master_light(p, reference="0", most=2).select("y", "x", "v"))
+
+
+@query(f"""WITH {COLOR}, l AS (SELECT vec_id, 0 AS channel, y, x, r AS v FROM c UNION ALL SELECT vec_id, 1, y, x, g FROM c UNION ALL SELECT vec_id, 2, y, x, b FROM c), m AS (SELECT vec_id, channel, median(v) AS bg FROM l GROUP BY ALL),
+    k AS (SELECT c_custkey % 50 AS vec_id, median(CAST(1 + c_custkey % 3 AS DOUBLE) / (1 + c_custkey % 2)) AS kr, median(CAST(2 AS DOUBLE)) AS kg, median(CAST(1 + c_custkey % 5 AS DOUBLE) / (2 + c_custkey % 7)) AS kb FROM customer WHERE c_custkey % 50 >= 10 GROUP BY 1)
+    SELECT l.vec_id, l.channel, y, x, {R('(v - bg) * coalesce(CASE l.channel WHEN 0 THEN kr / kg WHEN 1 THEN 1 ELSE kb / kg END, 1) + bg')} AS v FROM l JOIN m USING (vec_id, channel) LEFT JOIN k USING (vec_id)""")
+def photometric_colors(spark, sf):
+    """Customers are stars; those of the frames 0 to 9 are seen where the catalogue has none."""
+    key = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    at = [F.pmod(key * 0.01, F.lit(360.0)), (key % 50).cast("double")]
+    catalogue = c.select(at[0].alias("ra"), at[1].alias("dec"), (1 + key % 3).cast("double").alias("cr"), F.lit(2.0).alias("cg"), (1 + key % 5).cast("double").alias("cb"))
+    seen = c.select((key % 50).cast("string").alias("frame_id"), (at[0] + F.when(key % 50 < 10, 0.004).otherwise(0.0002)).alias("ra"), at[1].alias("dec"), (1 + key % 2).cast("double").alias("r"), F.lit(1.0).alias("g"), (2 + key % 7).cast("double").alias("b"))
+    return by_channel(cal.color_balance(color(spark, sf), seen, catalogue, 0.001))

@@ -1,5 +1,7 @@
 """FITS data source, committed versions of tables, and commands of a stream with a time limit."""
 
+import json
+import os
 import threading
 
 import numpy as np
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from nightloom.sources import fits
 from nightloom.sources.fits_reader import FitsSource
 from nightloom.sources.versions import CommitConflict, VersionedTable, find_folder
-from nightloom.streaming import commands
+from nightloom.sources import tree
+from nightloom.streaming import commands, live
 
 
 # ---- FITS -------------------------------------------------------------------------------------------
@@ -128,11 +131,45 @@ def test_commands_end_or_run_out_of_time(spark, tmp_path):
         spark.createDataFrame([(s, at(t), k, x, p) for s, t, k, x, p in rows], "session string, time string, kind string, text string, pct int").coalesce(1).write.mode("append").json(str(tmp_path / f"b{i}"))
         part = next((tmp_path / f"b{i}").glob("*.json"))
         part.rename(source / f"{i}.json")
-        import os
-
         os.utime(source / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     messages = spark.readStream.schema("session string, time timestamp, kind string, text string, pct int").option("maxFilesPerTrigger", 1).json(str(source))
     q = commands.completions(messages, 60).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r.session, r.name): (r.outcome, r.n_logs, r.progress, (r.ended - r.started).total_seconds()) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", "stack"): ("success", 1, 40, 10), ("b", "load"): ("timeout", 0, None, 60), ("c", "one"): ("unfinished", 0, None, 15), ("c", "two"): ("timeout", 0, None, 60), ("d", "late"): ("error", 0, None, 30)}
+
+
+def fed(spark, tmp_path, schema, batches):
+    """A stream that gets one file for each batch, in order."""
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, rows in enumerate(batches):
+        (source / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(source / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+
+
+def test_windows_of_a_stream_leave_out_what_is_late(spark, tmp_path):
+    event = lambda t, v: {"ts": f"2024-01-01 {t}:00", "event_type": "click", "value": v}
+    batches = [[event("00:05", 1), event("00:50", 2)], [event("02:30", 4)], [event("02:35", 8)], [event("00:10", 100), event("02:40", 16)], [event("06:00", 1)], [event("06:01", 1)], [event("06:02", 1)]]
+    events = fed(spark, tmp_path, "ts timestamp, event_type string, value double", batches)
+    q = live.event_windows(events).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.start.hour: (r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (2, 3.0), 2: (3, 28.0)}  # the 100 came behind the watermark; the last window is still open
+
+
+def test_messages_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("ready\nstatus: starting stack x\nprogress: 40%\nlog: half way\nodd line\nstatus: success stack\n")
+    q = live.message_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("messages_seen").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.kind, r.text, r.pct) for r in spark.table("messages_seen").collect()]
+    assert len(got) == 6 and set(got) == {("ready", None, None), ("starting", "stack x", None), ("progress", None, 40), ("log", "half way", None), ("log", "odd line", None), ("success", "stack", None)}
+
+
+def test_project_files_are_found_by_depth(spark, tmp_path):
+    for where, name in (("a", "beta"), ("b/c", "alpha"), ("b/.hidden", "gone"), ("1/2/3/4/5/6/7", "deep")):
+        (tmp_path / where).mkdir(parents=True)
+        (tmp_path / where / "px_project.json").write_text(json.dumps({"name": name}))
+    assert [r["name"] for r in tree.projects(spark, str(tmp_path)).collect()] == ["alpha", "beta"]
