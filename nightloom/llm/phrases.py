@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import cut, drop, small, text_or_empty
+from .shared import cut, drop, small, small_text, text_or_empty
 from .words import Words, mix, words
 
 U = np.uint64
@@ -29,8 +29,6 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 BITMAP = 26
 #: Rows that a task sums before it hands on what it has.
 MERGE = 1 << 18
-#: Characters of a table of words or phrases that may be broadcast.
-BROADCAST_TEXT = 16_000_000
 PIECE_END = np.zeros(256, dtype=np.int32)
 PIECE_END[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 1
 IN_WORD = PIECE_END == 0
@@ -316,7 +314,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     found = cut(found)
     # hashes back to words: a phrase's words by their places
     place = found.select("lang", "hs", "f", F.posexplode("hs").alias("k", "h"))
-    spelt = place.join(small(cut(known.select("h", "word").distinct()), BROADCAST_TEXT, F.length("word") + 32), "h").groupBy("lang", "hs", "f").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))
+    spelt = place.join(small_text(cut(known.select("h", "word").distinct()), "word"), "h").groupBy("lang", "hs", "f").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))
     phrases = spelt.select("lang", F.transform("ws", lambda x: x["word"]).alias("words"), "f").unionAll(known.select("lang", F.array("word").alias("words"), "f"))
     return cut(phrases), totals
 
@@ -340,7 +338,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     phrases, totals = frequent_phrases(docs, text_col, lang_col, least, longest)
     text = lambda ws: F.array_join(ws, " ")
     phrases = phrases.select("lang", "words", text(F.col("words")).alias("phrase"), "f")
-    counts = small(phrases.select("lang", "phrase", "f"), BROADCAST_TEXT, F.length("phrase") + 32)
+    counts = small_text(phrases.select("lang", "phrase", "f"), "phrase")
     long = phrases.where(F.size("words") > 1)
     ends = F.array(text(F.expr("slice(words, 1, size(words) - 1)")), text(F.expr("slice(words, 2, size(words) - 1)")))
     within = long.where(F.size("words") > 2).select("lang", F.explode(ends).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of a two-column id table that may be broadcast (about 32 bytes a row in a hash relation).
 BROADCAST_ROWS = 1_000_000
+#: Characters, and 32 for each row, of a table with texts that may be broadcast.
+BROADCAST_TEXT = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +75,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = No
     return F.broadcast(df) if n <= limit else df
 
 
+def small_text(df: DataFrame, *columns: str, row: int = 32) -> DataFrame:
+    """small() for a table with texts: by their lengths and `row` for the rest of a row, so that long texts count as what they are."""
+    return small(df, BROADCAST_TEXT, sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(row)))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

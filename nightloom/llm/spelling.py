@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut, drop, small, text_or_empty
+from .shared import cut, drop, small_text, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN = r"[A-Za-zÀ-ÿ]+"
@@ -98,7 +98,7 @@ def near_pairs(words: DataFrame, block: int = BLOCK) -> DataFrame:
             drop(full)
             found, old, todo = _verified(todo), None, None
         else:
-            full = small(full)
+            full = small_text(full, "key")
             old = todo
             found, todo = cut(_verified(old.join(full, list(PLACE), "left_anti"))), subdivided(old.join(full, list(PLACE), "left_semi"))
         out = found if out is None else out.unionAll(found)
@@ -124,7 +124,7 @@ def roots(found: DataFrame) -> DataFrame:
     """
     at = cut(found.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
-        to = small(at.select(F.col("word").alias("root"), F.col("root").alias("further")))
+        to = small_text(at.select(F.col("word").alias("root"), F.col("root").alias("further")), "root", "further")
         new = cut(at.join(to, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         moved = not new.where("moved").isEmpty()
         drop(at)
@@ -133,7 +133,7 @@ def roots(found: DataFrame) -> DataFrame:
             break
         at = new.drop("moved")
         at.cut_path = new.cut_path
-    return found.join(small(at.select("word", "root")), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(small_text(at.select("word", "root"), "word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slips: bool = True, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, times: int = TIMES, block: int = BLOCK) -> DataFrame:

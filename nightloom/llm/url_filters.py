@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut, drop, small
+from .shared import cut, drop, small_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BINS = 64
@@ -141,7 +141,7 @@ def _suffix_bins(base: DataFrame) -> tuple[DataFrame, list[str]]:
         n_, k_ = F.col("n_") - F.coalesce(own["n_"], F.lit(0)), F.col("k_") - F.coalesce(own["k_"], F.lit(0))
         rate = F.floor((k_ * 2 + 2) * 16 / (n_ * 2 + 4))  # two rows of prior, half of them blocked; 0 .. 15
         rows = F.floor(F.log2(F.col("rows_").cast("double")))
-        base = base.join(small(table), s).withColumns({f"{s}_rate": F.least(rate, F.lit(15)).cast("int"), f"{s}_rows": F.least(rows, F.lit(BINS - 1)).cast("int")}).drop("rows_", "n_", "k_", "folds_")
+        base = base.join(small_text(table, s, row=256), s).withColumns({f"{s}_rate": F.least(rate, F.lit(15)).cast("int"), f"{s}_rows": F.least(rows, F.lit(BINS - 1)).cast("int")}).drop("rows_", "n_", "k_", "folds_")
         names += [f"{s}_rate", f"{s}_rows"]
     return base, names
 
