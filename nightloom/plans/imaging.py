@@ -72,7 +72,7 @@ def field(spark: SparkSession, sf: str) -> DataFrame:
 def register_homography(spark, sf):
     t = reg.match_stars(field(spark, sf), "ref", kind="homography").where("frame_id <> 'ref'")
     fine = lambda c, n, k=1.0: (F.round(F.col(c) * k, n) + F.lit(0.0)).alias(c)
-    return t.select(F.col("frame_id").cast("long").alias("n_nationkey"), fine("a", 6), fine("b", 6), fine("dx", 4), fine("c", 6), fine("d", 6), fine("dy", 4), fine("g", 4, 1e6), fine("h", 4, 1e6))
+    return t.select(F.col("frame_id").cast("int").alias("n_nationkey"), fine("a", 6), fine("b", 6), fine("dx", 4), fine("c", 6), fine("d", 6), fine("dy", 4), fine("g", 4, 1e6), fine("h", 4, 1e6))
 
 
 # ==== mosaics ========================================================================================
