@@ -60,21 +60,50 @@ def decode(raw: bytes, pixels: bool = True) -> dict:
     return {"header": cards, "bitpix": int(value.get("BITPIX", 0)), "axes": axes, "data": data}
 
 
-def encode(header: dict[str, str], data: np.ndarray | None, axes: list[int]) -> bytes:
-    """A FITS file of 32-bit floats."""
+def sum32(raw: bytes) -> int:
+    """The 32-bit ones' complement sum of big-endian words."""
+    total = int(np.frombuffer(raw, dtype=">u4").sum(dtype=np.uint64))
+    while total >> 32:
+        total = (total & 0xFFFFFFFF) + (total >> 32)
+    return total
+
+
+def sum_text(value: int) -> str:
+    """The 16 letters and digits whose sum is the value: each byte as four characters, no punctuation, turned by one place for the card's alignment."""
+    out = [""] * 16
+    for i in range(4):
+        byte = value >> (24 - 8 * i) & 255
+        four = [byte // 4 + 48 + (byte % 4 if j == 0 else 0) for j in range(4)]
+        while any(58 <= c <= 64 or 91 <= c <= 96 for c in four):
+            for j in (0, 2):
+                if any(58 <= c <= 64 or 91 <= c <= 96 for c in four[j : j + 2]):
+                    four[j], four[j + 1] = four[j] + 1, four[j + 1] - 1
+        for j in range(4):
+            out[4 * j + i] = chr(four[j])
+    return out[15] + "".join(out[:15])
+
+
+def encode(header: dict[str, str], data: np.ndarray | None, axes: list[int], checksum: bool = False) -> bytes:
+    """A FITS file of 32-bit floats; checksum: with DATASUM and CHECKSUM, so that all words of the file sum up to ones."""
     lines = ["SIMPLE  =                    T", f"BITPIX  = {-32:>20}", f"NAXIS   = {len(axes):>20}", *[f"NAXIS{i + 1:<3}= {n:>20}" for i, n in enumerate(axes)]]
     for k, v in header.items():
-        if k not in ("SIMPLE", "BITPIX", "END", "BSCALE", "BZERO") and not k.startswith("NAXIS"):
+        if k not in ("SIMPLE", "BITPIX", "END", "BSCALE", "BZERO", "DATASUM", "CHECKSUM") and not k.startswith("NAXIS"):
             try:
                 float(v)
                 text = f"{v:>20}"
             except ValueError:
                 text = f"{v:>20}" if v in ("T", "F") else "'" + str(v).replace("'", "''").ljust(8) + "'"
             lines.append(f"{k[:8]:<8}= {text}"[:CARD])
-    head = "".join(x.ljust(CARD) for x in [*lines, "END"])
-    body = b"" if data is None else np.asarray(data, dtype=">f4").tobytes()
     pad = lambda b, fill: b + fill * (-len(b) % UNIT)
-    return pad(head.encode("ascii"), b" ") + pad(body, b"\0")
+    body = pad(b"" if data is None else np.asarray(data, dtype=">f4").tobytes(), b"\0")
+    none = "0" * 16
+    if checksum:
+        lines += [f"DATASUM = '{str(sum32(body)).ljust(8)}'", f"CHECKSUM= '{none}'"]
+    head = pad("".join(x.ljust(CARD) for x in [*lines, "END"]).encode("ascii"), b" ")
+    if checksum:
+        card_of = f"CHECKSUM= '{none}'".encode()
+        head = head.replace(card_of, f"CHECKSUM= '{sum_text(0xFFFFFFFF - sum32(head + body))}'".encode())
+    return head + body
 
 
 def read(spark: SparkSession, path: str, pixels: bool = True, glob: str = "*.{fit,fits,FIT,FITS}") -> DataFrame:
@@ -99,7 +128,7 @@ def read(spark: SparkSession, path: str, pixels: bool = True, glob: str = "*.{fi
     return rows.select("path", header.alias("header"), "cards", "bitpix", axis(1).alias("width"), axis(2).alias("height"), axis(3).alias("channels"), F.size("axes").alias("naxis"), "data")
 
 
-def write(frames: DataFrame, folder: str) -> DataFrame:
+def write(frames: DataFrame, folder: str, checksum: bool = False) -> DataFrame:
     """Writes each frame (frame_id, header, width, height, channels, data) as {folder}/{frame_id}.fits, by Hadoop-independent pyarrow file systems; returns (frame_id, path)."""
 
     def run(batches):
@@ -113,7 +142,7 @@ def write(frames: DataFrame, folder: str) -> DataFrame:
             for r in pdf.itertuples():
                 axes = [r.width, r.height] + ([r.channels] if r.channels > 1 else [])
                 with where.open_output_stream(f"{root}/{r.frame_id}.fits") as f:
-                    f.write(encode(dict(r.header or {}), r.data, axes))
+                    f.write(encode(dict(r.header or {}), r.data, axes, checksum))
                 done.append((r.frame_id, f"{root}/{r.frame_id}.fits"))
             yield pd.DataFrame(done, columns=["frame_id", "path"])
 

@@ -64,6 +64,18 @@ def test_fits_of_an_empty_folder(source, tmp_path):
     assert source("path string, data array<float>").load(str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_fits_checksums(n):
+    """All words of the file sum up to ones, whatever the data; another byte is noticed."""
+    rng = np.random.default_rng(n)
+    raw = fits.encode({"OBJECT": "x" * n, "CHECKSUM": "old"}, rng.normal(size=40 * n * n), [40, n * n], checksum=True)
+    assert len(raw) % fits.UNIT == 0 and fits.sum32(raw) == 0xFFFFFFFF
+    cards = {c[0]: c[1] for c in fits.parse(raw)[0]}
+    assert len(cards["CHECKSUM"]) == 16 and cards["CHECKSUM"].isalnum() and int(cards["DATASUM"]) == fits.sum32(raw[fits.parse(raw)[1] :])
+    assert fits.sum32(raw[:700] + b"Z" + raw[701:]) != 0xFFFFFFFF
+    assert fits.decode(raw)["axes"] == [40, n * n]
+
+
 # ---- versions ---------------------------------------------------------------------------------------
 def rows_of(spark, *values):
     return spark.createDataFrame([(v, str(v)) for v in values], "id long, name string")
