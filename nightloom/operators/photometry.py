@@ -1,6 +1,6 @@
 """Photometry of stars: apertures, profile fits, and light curves over frames.
 
-A star's surroundings are a bounded box of pixels, found by an equi-join of the box's places with the pixels. Profile fits
+A star's surroundings are a bounded box of pixels, found by an equi-join of the cells that the box touches with the pixels'. Profile fits
 are Levenberg-Marquardt steps for all stars of an Arrow batch at once. Stars of different frames are one star where
 their positions on the sky meet the same catalogue star.
 Tables: stars (frame_id, channel, star, x, y), pixels (frame_id, channel, y, x, v).
@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .astrometry import sky_pairs
 
 STAR = ("frame_id", "channel", "star")
+#: Stars that are fitted at once: their boxes and derivatives take some ten MB.
+CHUNK = 500
 FIT = (
     "frame_id string, channel int, star string, x double, y double, background double, amplitude double, fwhm_x double, fwhm_y double, angle double, beta double, "
     "flux double, rmse double, rounds int"
@@ -25,9 +27,14 @@ FIT = (
 
 def surroundings(stars: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     """(frame_id, channel, star, cx, cy, y, x, v): the pixels of the square box of `radius` about each star."""
-    reach = lambda c: F.explode(F.sequence(F.round(F.col(c)).cast("int") - radius, F.round(F.col(c)).cast("int") + radius))
-    boxes = stars.where("x is not null and y is not null").select(*STAR, F.col("x").alias("cx"), F.col("y").alias("cy")).withColumn("y", reach("cy")).withColumn("x", reach("cx"))
-    return boxes.join(pixels.select("frame_id", "channel", "y", "x", "v"), ["frame_id", "channel", "y", "x"])
+    side, at = 2 * radius + 1, lambda c: F.round(F.col(c)).cast("int")
+    # a box touches four cells of its own size at most, so a star is four rows and not one for each pixel
+    reach = lambda c: F.explode(F.sequence(F.floor((at(c) - radius) / side), F.floor((at(c) + radius) / side)))
+    boxes = stars.where("x is not null and y is not null").select(*STAR, F.col("x").alias("cx"), F.col("y").alias("cy")).withColumn("ty_", reach("cy")).withColumn("tx_", reach("cx"))
+    placed = pixels.select("frame_id", "channel", "y", "x", "v", F.floor(F.col("y") / side).alias("ty_"), F.floor(F.col("x") / side).alias("tx_"))
+    inside = F.col("y").between(at("cy") - radius, at("cy") + radius) & F.col("x").between(at("cx") - radius, at("cx") + radius)
+    # pixels may be exploded from few rows, which the planner would take for a small table: never sent to all
+    return boxes.join(placed.hint("merge"), ["frame_id", "channel", "ty_", "tx_"]).where(inside).select(*STAR, "cx", "cy", "y", "x", "v")
 
 
 def apertures(stars: DataFrame, pixels: DataFrame, radius: float = 5.0, inner: float = 8.0, outer: float = 12.0, gain: float = 1.0) -> DataFrame:
@@ -104,17 +111,16 @@ def profiles(stars: DataFrame, pixels: DataFrame, radius: int = 6, moffat: bool
     beta is null for a Gaussian; a Moffat's flux is its integral (beta above 1). Stars with fewer pixels than twice the parameters are left out.
     """
     near = surroundings(stars, pixels, radius)
-    boxes = near.groupBy(*STAR).agg(F.collect_list(F.struct("y", "x", "v")).alias("p")).where(F.size("p") >= 16)  # a box of bounded size
+    boxes = near.groupBy(*STAR).agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p")).where(F.size("p") >= 16)  # a box of bounded size
 
     def fit(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            m = max(len(p) for p in b.p)
-            x, y, v = (np.full((len(b), m), 0.0 if c != "v" else np.nan) for c in "xyv")
-            for i, p in enumerate(b.p):
-                for name, to in (("x", x), ("y", y), ("v", v)):
-                    to[i, : len(p)] = [np.nan if e[name] is None else e[name] for e in p]
+        for b in (whole.slice(k, CHUNK) for whole in batches for k in range(0, len(whole), CHUNK)):
+            p = b.column("p")
+            flat, size = p.flatten(), np.diff(p.offsets.to_numpy())
+            at = np.repeat(np.arange(len(b)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            x, y, v = (np.full((len(b), size.max()), 0.0 if c != "v" else np.nan) for c in "xyv")
+            for name, to in (("x", x), ("y", y), ("v", v)):
+                to[at] = flat.field(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
             x0, y0 = x[:, :1].copy(), y[:, :1].copy()
             q, rmse, used = fit_profiles(x - x0, y - y0, v, moffat)
             beta = np.exp(q[:, 7]) if moffat else np.full(len(q), np.nan)
@@ -122,12 +128,15 @@ def profiles(stars: DataFrame, pixels: DataFrame, radius: int = 6, moffat: bool
             sx, sy = np.exp(q[:, 4]), np.exp(q[:, 5])
             angle = np.degrees(q[:, 6]) + np.where(sx >= sy, 0, 90)
             area = np.pi * sx * sy / (beta - 1) if moffat else 2 * np.pi * sx * sy
-            yield pd.DataFrame({
-                "frame_id": b.frame_id, "channel": b.channel, "star": b.star, "x": q[:, 2] + x0[:, 0], "y": q[:, 3] + y0[:, 0], "background": q[:, 0], "amplitude": q[:, 1],
-                "fwhm_x": half * np.maximum(sx, sy), "fwhm_y": half * np.minimum(sx, sy), "angle": (angle + 90) % 180 - 90, "beta": [None if np.isnan(x) else x for x in beta], "flux": q[:, 1] * area, "rmse": rmse, "rounds": used.astype("int32"),
-            })
-
-    return boxes.withColumn("star", F.col("star").cast("string")).mapInPandas(fit, FIT)
+            number = lambda a: pa.array(a, pa.float64(), from_pandas=True)  # noqa: E731  NaN: null
+            made = {
+                "x": q[:, 2] + x0[:, 0], "y": q[:, 3] + y0[:, 0], "background": q[:, 0], "amplitude": q[:, 1],
+                "fwhm_x": half * np.maximum(sx, sy), "fwhm_y": half * np.minimum(sx, sy), "angle": (angle + 90) % 180 - 90, "beta": beta, "flux": q[:, 1] * area, "rmse": rmse,
+            }
+            keys = [b.column(c) for c in STAR]
+            yield pa.RecordBatch.from_arrays([*keys, *map(number, made.values()), pa.array(used.astype("int32"))], names=[*STAR, *made, "rounds"])
+
+    return boxes.select("frame_id", "channel", F.col("star").cast("string").alias("star"), "p").mapInArrow(fit, FIT)
 
 
 def identified(measures: DataFrame, catalogue: DataFrame, radius: float) -> DataFrame:

@@ -368,6 +368,7 @@ def profile_fits(spark, sf):
     """Stars painted pixel by pixel, twice as long as wide at the most; what the fit must find is how they were painted."""
     key = F.col("s_suppkey")
     s = table(spark, sf, "supplier").select(key.cast("string").alias("frame_id"), (10 + key % 7 / 10.0).alias("cx"), (9 + key % 5 / 10.0).alias("cy"), (50 + key % 40).cast("double").alias("a"), (1.8 + key % 3 / 10.0).alias("sx"))
+    s = s.repartition(4 * spark.sparkContext.defaultParallelism, "frame_id")  # a small file, but 420 pixels of each row
     dots = s.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(20))))
     v = 3 + F.col("a") * F.exp(-0.5 * (F.pow((F.col("x") - F.col("cx")) / F.col("sx"), 2) + F.pow((F.col("y") - F.col("cy")) / 1.5, 2)))
     image = dots.select("frame_id", F.lit(0).alias("channel"), "y", "x", v.alias("v"))

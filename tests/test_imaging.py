@@ -346,6 +346,16 @@ def test_profiles_are_recovered(spark):
     assert (one.x, one.y, one.beta) == pytest.approx((30.2, 29.9, 2.5), abs=1e-3) and one.flux == pytest.approx(80 * math.pi * 5 / 1.5, rel=1e-3)
 
 
+def test_profiles_never_broadcast_pixels(spark):
+    """Pixels painted by exploding a few rows look small to the planner; sent to all they ended the query."""
+    few = spark.range(3).select(F.col("id").cast("string").alias("frame_id"), F.lit(0).alias("channel"))
+    painted = few.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("v", 1 + 50 * F.exp(-0.1 * (F.pow(F.col("x") - 10, 2) + F.pow(F.col("y") - 9, 2))))
+    stars = few.select("frame_id", "channel", F.col("frame_id").alias("star"), F.lit(10.0).alias("x"), F.lit(9.0).alias("y"))
+    got = ph.profiles(stars, painted, 7)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.x, r.y) for r in got.collect()] == [pytest.approx((10, 9), abs=1e-4)] * 3
+
+
 def test_apertures(spark):
     a = np.full((21, 21), 2.0)
     a[10, 10], a[10, 11] = 12.0, 7.0
