@@ -186,3 +186,37 @@ def test_layer_summary_edges(spark):
     assert got["none"]["average_exposure"] == 0 and got["none"]["nights"] == 0 and got["two"]["nights"] == 1 and got["two"]["total_exposure"] == 30
     balance = project.filter_balance(project.layer_summary(spark.createDataFrame(rows, s))).collect()
     assert {r["filter"]: r["percent_of_total"] for r in balance} == {"unknown": 0.0, "Ha": 100.0}
+
+
+def test_places_in_groups_that_fill_many_tasks(spark):
+    from nightloom.operators.ranks import ranked
+
+    rows = [(None if k % 3 == 0 else "a", float(k * 7919 % 1000 // 10), k) for k in range(1000)]
+    got = {r.k: r.r for r in ranked(spark.createDataFrame(rows, "g string, v double, k int"), ["g"], ["v", "k"]).collect()}
+    for g in (None, "a"):
+        want = [k for _, k in sorted((v, k) for h, v, k in rows if h == g)]
+        assert [got[k] for k in want] == list(range(1, len(want) + 1))
+
+
+@pytest.mark.parametrize("how", ["generalized", "linear"])
+def test_ordered_rejections_hold_no_pixel_in_one_task(spark, how):
+    """A stack of many frames: as on a sorted array, and without a window or a list over a pixel's values."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=2990), rng.normal(size=10) * 50])
+    rows = [(None, f"f{i}", 0, 0, 0, float(a)) for i, a in enumerate(v)]
+    p = spark.createDataFrame(rows, "seq int, frame_id string, channel int, y int, x int, v double")
+    out = st.REJECTIONS[how](p, *st.DEFAULTS[how], st.PIXEL)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    left = np.sort(v)
+    if how == "generalized":
+        z = 1.959963984540054
+        for _ in range(900):
+            n, below, above = len(left), left.mean() - left[0], left[-1] - left.mean()
+            if not max(below, above) > z * (n - 1) / np.sqrt(n * (n - 2 + z * z)) * left.std(ddof=1):
+                break
+            left = left[1:] if below > above else left[:-1]
+    else:
+        r = np.arange(1, 3001)
+        e = left - np.polyval(np.polyfit(r, left, 1), r)
+        left = left[np.abs(e) <= 5 * e.std(ddof=1)]
+    assert len(left) < 3000 and np.allclose(sorted(r.v for r in out.collect()), left)
