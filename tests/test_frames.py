@@ -220,3 +220,11 @@ def test_ordered_rejections_hold_no_pixel_in_one_task(spark, how):
         e = left - np.polyval(np.polyfit(r, left, 1), r)
         left = left[np.abs(e) <= 5 * e.std(ddof=1)]
     assert len(left) < 3000 and np.allclose(sorted(r.v for r in out.collect()), left)
+
+
+def test_normalisation_does_not_deal_pixels_out_by_channel(spark):
+    p = spark.createDataFrame([(0, f, 0, y, x, float(k + y * x)) for k, f in enumerate("abc") for y in range(3) for x in range(3)], "seq int, frame_id string, channel int, y int, x int, v double")
+    with_ref = st.normalised(p.hint("merge"), "addscale", "a")
+    plan = with_ref._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(channel" not in plan and "BroadcastHashJoin [channel" in plan
+    assert {r.frame_id: r.v for r in with_ref.where("y = 0 and x = 0").collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
