@@ -77,7 +77,10 @@ def register_homography(spark, sf):
 
 # ==== mosaics ========================================================================================
 def chained(spark: SparkSession, sf: str, per_panel: int, panels: int) -> DataFrame:
-    """(frame_id, seq, panel): embeddings of a label in the order of their ids, `per_panel` to a panel, so many panels to a mosaic."""
+    """(frame_id, seq, panel): embeddings of a label in the order of their ids, `per_panel` to a panel, so many panels to a mosaic.
+
+    A label with more than 1000 mosaics goes on in the next label's numbers, as in the SQL: a panel then has frames of both.
+    """
     rank = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
     e = table(spark, sf, "embeddings").select("vec_id", "label", rank.alias("rank"))
     return e.select(F.col("vec_id").cast("string").alias("frame_id"), (F.col("label") * 1000 + F.floor(F.col("rank") / (per_panel * panels))).alias("seq"), (F.floor(F.col("rank") / per_panel) % panels).cast("int").alias("panel"))
@@ -93,6 +96,10 @@ LEVELS = """dd AS (SELECT a.seq, b.panel, avg(a.v - b.v) AS d FROM s a JOIN s b
 LAID = f"""SELECT seq, CAST(y + panel % 2 AS INT) AS y, CAST(x + panel * 6 AS INT) AS x, {R('sum(w * (v + o)) / sum(w)')} AS v FROM (SELECT s.*, o.o, least(least(x, 7 - x, y, 7 - y) + 1, 3) / 3.0 AS w FROM s JOIN o USING (seq, panel)) GROUP BY ALL"""
 
 
+def first_panel(panels: DataFrame) -> DataFrame:
+    return panels.select("seq", F.lit(0).alias("frame_id")).distinct()
+
+
 def moves_of(panels: DataFrame, name: str) -> DataFrame:
     return panels.select(F.col(name).alias("frame_id"), (-6 * F.col("panel")).cast("int").alias("dx"), (-(F.col("panel") % 2)).cast("int").alias("dy")).distinct()
 
@@ -101,7 +108,7 @@ def moves_of(panels: DataFrame, name: str) -> DataFrame:
 def mosaic_levels(spark, sf):
     c = chained(spark, sf, 1, 8)
     laid = reg.apply_shifts(pixels(spark, sf).drop("seq").join(c.drop("panel"), "frame_id"), moves_of(c, "frame_id"), framing="max")
-    offsets = st.level_offsets(st.overlaps(laid), c.where("panel = 0").select("seq", "frame_id"))
+    offsets = st.panel_offsets(laid, c, first_panel(c))
     return rounded(c.join(offsets, ["seq", "frame_id"], "left").select(F.col("frame_id").cast("long").alias("vec_id"), F.coalesce("offset", F.lit(0.0)).alias("offset")))
 
 
@@ -109,7 +116,7 @@ def mosaic_levels(spark, sf):
 def pipeline_spiral_mosaic(spark, sf):
     c = chained(spark, sf, 1, 8)
     p = pixels(spark, sf).drop("seq").join(c.drop("panel"), "frame_id")
-    return rounded(pipes.spiral_mosaic(p, moves_of(c, "frame_id"), c.where("panel = 0").select("seq", "frame_id"), feather=2).select("seq", "y", "x", "v"))
+    return rounded(pipes.spiral_mosaic(p, moves_of(c, "frame_id"), first_panel(c), feather=2, panels=c).select("seq", "y", "x", "v"))
 
 
 @query(f"""WITH {LONG}, {_chain_sql(3, 4)}, q AS (SELECT seq, panel, y, x, abs(v) AS v FROM p JOIN ch USING (vec_id)), m AS (SELECT seq, panel, y, x, median(v) AS m FROM q GROUP BY ALL),
@@ -117,8 +124,7 @@ def pipeline_spiral_mosaic(spark, sf):
 def pipeline_grid_mosaic(spark, sf):
     c = chained(spark, sf, 3, 4).withColumn("name", F.col("panel").cast("string"))
     p = pixels(spark, sf).drop("seq").join(c.select("frame_id", "seq"), "frame_id").withColumn("v", F.abs("v"))
-    first = c.select("seq", F.lit("0").alias("frame_id")).distinct()
-    return rounded(pipes.grid_mosaic(p, c.select("frame_id", F.col("name").alias("panel")), moves_of(c, "name"), first, feather=2).select("seq", "y", "x", "v"))
+    return rounded(pipes.grid_mosaic(p, c.select("frame_id", F.col("name").alias("panel")), moves_of(c, "name"), first_panel(c).withColumn("frame_id", F.lit("0")), feather=2, rejection="percentile").select("seq", "y", "x", "v"))
 
 
 # ==== frequencies and scales =========================================================================

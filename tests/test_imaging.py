@@ -193,6 +193,17 @@ def test_overlaps_are_levelled_over_the_whole_mosaic(spark):
     assert 8 * 2 * steps["p00"] + 2 * 8 * 2 * steps["p01"] + 8 * 2 * steps["p02"] == pytest.approx(0, abs=1e-6)
 
 
+def test_frames_of_one_panel_share_its_level(spark):
+    """Two chains that share their numbers: each step is the mean step of all frames of two panels."""
+    level = {"a0": 0.0, "b0": 2.0, "a1": 5.0, "b1": 9.0, "a2": -1.0}
+    moves = [(k, 0, -2 * int(k[1])) for k in level]
+    rows = frames(spark, {k: v + np.zeros((3, 4)) for k, v in level.items()})
+    panels = spark.createDataFrame([(0, k, int(k[1])) for k in level], "seq int, frame_id string, panel int")
+    laid = reg.apply_shifts(rows, spark.createDataFrame([(k, x, y) for k, y, x in moves], "frame_id string, dx int, dy int"), framing="max")
+    got = {r.frame_id: r["offset"] for r in st.panel_offsets(laid, panels, panels.where("panel = 0").selectExpr("seq", "0 as frame_id").distinct()).collect()}
+    assert got == {k: pytest.approx({1: 1 - 7.0, 2: 1 - 7.0 + 7.0 + 1}[int(k[1])]) for k in level if k[1] != "0"}
+
+
 def test_no_overlaps(spark):
     p = frames(spark, {"a": np.ones((2, 2))})
     assert st.level_offsets(st.overlaps(p), "a").count() == 0
