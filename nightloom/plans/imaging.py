@@ -124,7 +124,7 @@ def pipeline_spiral_mosaic(spark, sf):
 def pipeline_grid_mosaic(spark, sf):
     c = chained(spark, sf, 3, 4).withColumn("name", F.col("panel").cast("string"))
     p = pixels(spark, sf).drop("seq").join(c.select("frame_id", "seq"), "frame_id").withColumn("v", F.abs("v"))
-    return rounded(pipes.grid_mosaic(p, c.select("frame_id", F.col("name").alias("panel")), moves_of(c, "name"), first_panel(c).withColumn("frame_id", F.lit("0")), feather=2, rejection="percentile").select("seq", "y", "x", "v"))
+    return rounded(pipes.grid_mosaic(p, c.select("frame_id", F.col("name").alias("panel")), moves_of(c, "name"), first_panel(c).withColumn("frame_id", F.lit("0")), feather=2, rejection="percentile", chain=True).select("seq", "y", "x", "v"))
 
 
 # ==== frequencies and scales =========================================================================
