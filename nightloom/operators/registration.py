@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .geometry import PIXELS, _kernel, image_of
+from .ranks import with_sums
 
 STARS = "frame_id string, channel int, y double, x double, flux double, fwhm double"
 TRANSFORMS = "frame_id string, a double, b double, dx double, c double, d double, dy double, g double, h double, pairs int"
@@ -54,6 +55,21 @@ def shifts(pixels: DataFrame, reference: str, most: int = 16) -> DataFrame:
     return best.select("frame_id", F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"))
 
 
+#: Brightness classes to an octave of 1 + |flux|.
+CLASSES = 1024
+
+
+def bright(stars: DataFrame, most: int) -> DataFrame:
+    """stars without those that are certainly not among the `most` brightest of their frame: counts by brightness class, which combine before
+    the shuffle, show the class that the last of them is in. What is left of a frame is `most` stars and that class, ties included."""
+    f = F.col("flux").cast("double")
+    level = F.when(F.isnan(f), F.lit(1 << 40)).otherwise(F.coalesce(F.floor(F.signum(f) * F.log2(1 + F.abs(f)) * CLASSES), F.lit(-(1 << 40))))
+    counts = stars.groupBy("frame_id", level.alias("level_")).agg(F.count(F.lit(1)).alias("n_"))
+    brighter = F.coalesce(F.sum("n_").over(W.partitionBy("frame_id").orderBy(F.desc("level_")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before_", brighter).where(F.col("before_") < most).groupBy("frame_id").agg(F.min("level_").alias("last_"))
+    return with_sums(stars.withColumn("level_", level), last, ["frame_id"]).where("level_ >= last_").drop("level_", "last_")
+
+
 #: Parameters a transform has, pairs that give it.
 KINDS = {"shift": 1, "similarity": 2, "affine": 3, "homography": 4}
 #: Nearest neighbours with which a star makes triangles; largest difference of two triangles' ratios of sides.
@@ -69,7 +85,7 @@ def match_stars(stars: DataFrame, reference: str, kind: str = "similarity", leas
     no transform (nulls). A list is cut at its `max_stars` brightest stars; each frame's list is one row, the reference's is sent to all.
     """
     order = W.partitionBy("frame_id").orderBy(F.desc_nulls_last("flux"), "x", "y")
-    top = stars.where("x is not null and y is not null").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_stars)
+    top = bright(stars.where("x is not null and y is not null"), max_stars).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_stars)
     listed = top.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("nth", "x", "y"))).alias("s"))
     ref = listed.where(F.col("frame_id") == reference).select(F.col("s").alias("r"))
 

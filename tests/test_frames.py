@@ -228,3 +228,15 @@ def test_normalisation_does_not_deal_pixels_out_by_channel(spark):
     plan = with_ref._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(channel" not in plan and "BroadcastHashJoin [channel" in plan
     assert {r.frame_id: r.v for r in with_ref.where("y = 0 and x = 0").collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
+
+
+def test_only_bright_stars_are_put_in_order(spark):
+    flux = [float(k * 7919 % 5003) - 2500 for k in range(5000)] + [None, float("nan"), float("inf"), 2502.0, 2502.0]
+    stars = spark.createDataFrame([(f, float(i), 0.0, v) for f in "ab" for i, v in enumerate(flux)] + [("c", 1.0, 1.0, None)], "frame_id string, x double, y double, flux double")
+    left = reg.bright(stars, 500)
+    key = lambda v: (v is not None, v is not None and v != v, 0 if v is None or v != v else v)  # noqa: E731  Spark's descending order: NaN, numbers, nulls
+    want = sorted(flux, key=key, reverse=True)[:500]
+    for frame in "ab":
+        got = sorted((r.flux for r in left.where(F.col("frame_id") == frame).collect()), key=key, reverse=True)
+        assert 500 <= len(got) < 600 and list(map(str, got[:500])) == list(map(str, want))
+    assert left.where("frame_id = 'c'").count() == 1
