@@ -7,7 +7,7 @@ border the image is mirrored (the border pixel repeats).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,9 +26,9 @@ def with_tiles(pixels: DataFrame, halo: int, side: int = SIDE) -> DataFrame:
 class Tile:
     """One tile's arrays, padded with `halo` on each side; y0, x0: the frame's place of the array's first element."""
 
-    def __init__(self, pdf: pd.DataFrame, values: Sequence[str], halo: int, side: int):
-        y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
-        low, high = (int(pdf.ty.iloc[0]) * side, int(pdf.tx.iloc[0]) * side), (int(pdf.ty.iloc[0] + 1) * side - 1, int(pdf.tx.iloc[0] + 1) * side - 1)
+    def __init__(self, rows: dict[str, np.ndarray], values: Sequence[str], halo: int, side: int):
+        y, x, ty, tx = rows["y"], rows["x"], int(rows["ty"][0]), int(rows["tx"][0])
+        low, high = (ty * side, tx * side), ((ty + 1) * side - 1, (tx + 1) * side - 1)
         self.inside = inside = (y >= low[0]) & (y <= high[0]) & (x >= low[1]) & (x <= high[1])
         if not inside.any():
             return
@@ -38,7 +38,7 @@ class Tile:
         self.arrays = []
         for name in values:
             a = np.full((last[0] - first[0] + 1, last[1] - first[1] + 1), np.nan)
-            a[y - first[0], x - first[1]] = pdf[name].to_numpy(float)
+            a[y - first[0], x - first[1]] = rows[name]
             self.arrays.append(np.pad(a, pads, mode="symmetric"))
         self.y0, self.x0 = first[0] - pads[0][0], first[1] - pads[1][0]
         self.rows, self.columns = y[inside] - self.y0, x[inside] - self.x0
@@ -54,16 +54,37 @@ def over_tiles(pixels: DataFrame, function: Callable, halo: int, values: Sequenc
     keys = [c for c in pixels.columns if c not in (*values, "y", "x")]
     schema = StructType([pixels.schema[c] for c in (*keys, "y", "x")] + [StructField(c, DoubleType()) for c in outputs])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = Tile(pdf, values, halo, side)
-        own = pdf.loc[t.inside, [*keys, "y", "x"]]
-        if not len(own):
-            return own.assign(**{n: np.zeros(0) for n in outputs})
-        made = function(t.arrays, t.y0, t.x0)
-        made = made if isinstance(made, (list, tuple)) else [made]
-        return own.assign(**{n: a[t.rows, t.columns] for n, a in zip(outputs, made)})
-
-    return with_tiles(pixels, halo, side).groupBy(*keys, "ty", "tx").applyInPandas(run, schema)
+    def of_tiles(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """The rows of whole tiles, which begin at starts."""
+        columns = {c: pdf[c].to_numpy() for c in ("y", "x", "ty", "tx")} | {c: pdf[c].to_numpy(float) for c in values}
+        kept, made = [np.zeros(0, dtype=int)], [[np.zeros(0)] for _ in outputs]
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            t = Tile({c: v[a:b] for c, v in columns.items()}, values, halo, side)
+            if t.inside.any():
+                kept.append(a + np.flatnonzero(t.inside))
+                got = function(t.arrays, t.y0, t.x0)
+                for to, array in zip(made, got if isinstance(got, (list, tuple)) else [got]):
+                    to.append(array[t.rows, t.columns])
+        return pdf.iloc[np.concatenate(kept)][[*keys, "y", "x"]].assign(**{n: np.concatenate(m) for n, m in zip(outputs, made)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tiles lie together; the last one of a batch may go on in the next."""
+        rest = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            new = np.zeros(len(pdf), dtype=bool)
+            for c in (*keys, "ty", "tx"):
+                new[1:] |= np.diff(pd.factorize(pdf[c], use_na_sentinel=False)[0]) != 0
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            if len(starts) > 1:
+                yield of_tiles(pdf.iloc[: starts[-1]], starts[:-1])
+            rest = pdf.iloc[starts[-1] :]
+        if rest is not None:
+            yield of_tiles(rest, np.zeros(1, dtype=int))
+
+    return with_tiles(pixels, halo, side).repartition(*keys, "ty", "tx").sortWithinPartitions(*keys, "ty", "tx").mapInPandas(run, schema)
 
 
 def shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
