@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .registration import TRANSFORMS
 from .settle import settled
@@ -29,6 +30,8 @@ from .settle import settled
 NEAREST, CODE_STEP, CODE_OFF = 6, 0.04, 0.01
 #: Numbers of brightest stars of a frame from which quads are made.
 DEPTHS = (16, 32, 64)
+#: Quads of an index that may be broadcast.
+INDEX_ROWS = 200_000
 #: Votes that a pose needs.
 VOTES = 4
 SOLUTION = (
@@ -59,25 +62,29 @@ def from_plane(xi: Column, eta: Column, ra0: Column, dec0: Column) -> tuple[Colu
 
 
 def _cells(v: Sequence[Column], side: float, around: bool) -> Column:
-    """The cell of a unit vector, or it and all cells that touch it."""
+    """The cell of a unit vector, or the eight cells that hold all within half a side of it."""
     own = [F.floor(x / side) for x in v]
     if not around:
         return F.array(F.struct(*[c.alias(n) for c, n in zip(own, "xyz")]))
-    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    return F.array(*[F.struct(*[(c + s).alias(n) for c, s, n in zip(own, step, "xyz")]) for step in steps])
+    nearer = [c + F.when(x / side - c < 0.5, -1).otherwise(1) for x, c in zip(v, own)]
+    return F.array(*[F.struct(*[c.alias(n) for c, n in zip(cell, "xyz")]) for cell in product(*zip(own, nearer))])
 
 
 def sky_pairs(left: DataFrame, right: DataFrame, degrees: float) -> DataFrame:
     """Rows of left and right (both with ra, dec; other names distinct) at most `degrees` apart, with `apart` in degrees.
 
-    An equi-join by cells as wide as the distance; right's position is right_ra, right_dec.
+    An equi-join by cells twice as wide as the distance; right's position is right_ra, right_dec. Most pairs of a cell are told apart by their chord.
     """
-    side = 2 * math.sin(math.radians(degrees) / 2) * 1.0001
-    a = left.withColumn("cell_", F.explode(_cells(unit_vector(F.col("ra"), F.col("dec")), side, True)))
-    b = right.withColumnsRenamed({"ra": "right_ra", "dec": "right_dec"})
-    b = b.withColumn("cell_", F.explode(_cells(unit_vector(F.col("right_ra"), F.col("right_dec")), side, False)))
+    reach = 2 * math.sin(math.radians(degrees) / 2) * 1.0001
+    a, b = left, right.withColumnsRenamed({"ra": "right_ra", "dec": "right_dec"})
+    a = a.withColumns({f"{n}_a_": c for n, c in zip("xyz", unit_vector(F.col("ra"), F.col("dec")))})
+    b = b.withColumns({f"{n}_b_": c for n, c in zip("xyz", unit_vector(F.col("right_ra"), F.col("right_dec")))})
+    a = a.withColumn("cell_", F.explode(_cells([F.col(f"{n}_a_") for n in "xyz"], 2 * reach, True)))
+    b = b.withColumn("cell_", _cells([F.col(f"{n}_b_") for n in "xyz"], 2 * reach, False)[0])
+    chord = sum((F.pow(F.col(f"{n}_a_") - F.col(f"{n}_b_"), 2) for n in "xyz"), F.lit(0.0))
     apart = great_circle(F.col("ra"), F.col("dec"), F.col("right_ra"), F.col("right_dec"))
-    return a.join(b, "cell_").withColumn("apart", apart).where(F.col("apart") <= degrees).drop("cell_")
+    met = a.join(b, "cell_").where(chord <= reach * reach).drop("cell_", *[f"{n}_{side}_" for n in "xyz" for side in "ab"])
+    return met.withColumn("apart", apart).where(F.col("apart") <= degrees)
 
 
 def great_circle(ra: Column, dec: Column, ra2: Column, dec2: Column) -> Column:
@@ -134,6 +141,11 @@ def quads(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
     return lists.where(F.size("p") >= 4).select(*keep, "p").mapInArrow(run, schema)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by frame_id over a number of tasks said outright: Spark would make few rows one task, but those of a frame are long work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id")
+
+
 def brightest(catalogue: DataFrame, cell: float, per_cell: int) -> DataFrame:
     """The brightest `per_cell` stars of each cell of about `cell` degrees: an even cover of the sky, whatever the catalogue's depth."""
     v = unit_vector(F.col("ra"), F.col("dec"))
@@ -163,26 +175,77 @@ def frame_quads(stars: DataFrame, depths: Sequence[int] = DEPTHS) -> DataFrame:
     """(frame_id, flip, ids, code): quads of each frame's brightest stars and of its mirror image (flip -1)."""
     most = max(depths)
     order = W.partitionBy("frame_id").orderBy(F.desc_nulls_last("flux"), "star")
-    top = stars.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    top = dealt(stars).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
     lists = top.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("star").alias("id"), F.col("x").alias("u"), F.col("y").alias("v")))).alias("s"))
-    cut = lists.select("frame_id", F.explode(F.array(*[F.struct(F.slice("s", 1, d).alias("s")) for d in depths])).alias("l")).select("frame_id", "l.s").distinct()
-    each = cut.select("frame_id", "s", F.explode("s").alias("o"))
-    away = F.transform(F.filter("s", lambda p: p["id"] != F.col("o.id")), lambda p: F.struct((F.pow(p["u"] - F.col("o.u"), 2) + F.pow(p["v"] - F.col("o.v"), 2)).alias("d"), p["id"].alias("id"), p["u"].alias("u"), p["v"].alias("v")))
-    flips = each.select("frame_id", "o", F.slice(F.array_sort(away), 1, NEAREST).alias("n"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("flip"))
-    point = lambda x: F.struct(x["id"].alias("id"), x["u"].alias("u"), (x["v"] * F.col("flip")).alias("v"))
-    return quads(flips.select("frame_id", "flip", F.concat(F.array(point(F.col("o"))), F.transform("n", point)).alias("p")), ["frame_id", "flip"]).distinct()
+    schema = StructType([lists.schema["frame_id"], StructField("flip", IntegerType()), StructField("ids", ArrayType(stars.schema["star"].dataType)), StructField("code", ArrayType(DoubleType()))])
+    return lists.mapInArrow(_quads_of_frames(tuple(depths)), schema)
+
+
+def _neighbours(z: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each of a frame's stars itself and its nearest others as places of z, ties by rank; -1 where it has too few. Rows of one rank are one star."""
+    off = np.square(z.real[None, :] - z.real[:, None]) + np.square(z.imag[None, :] - z.imag[:, None])
+    off[rank[:, None] == rank[None, :]] = np.inf
+    np.fill_diagonal(off, -1.0)
+    near = np.lexsort((np.broadcast_to(rank, off.shape), off), axis=1)[:, : NEAREST + 1]
+    return np.where(np.isposinf(np.take_along_axis(off, near, axis=1)), -1, near)
+
+
+def _quads_of_frames(depths: tuple[int, ...]):
+    """Lists (frame_id, s: a frame's brightest stars in order) to its distinct quads and those of its mirror image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(1)
+            flat, ends = s.flatten(), s.offsets.to_numpy() - s.offsets[0].as_py()
+            z = flat.field("u").to_numpy(zero_copy_only=False) + 1j * flat.field("v").to_numpy(zero_copy_only=False)
+            by_id = pc.rank(flat.field("id"), tiebreaker="dense").to_numpy()
+            rows, places = [np.zeros(0, dtype=np.int64)], [np.zeros((0, 4), dtype=np.int64)]
+            for r, (i, j) in enumerate(zip(ends, ends[1:])):
+                own = []
+                for n in sorted({min(d, j - i) for d in depths}):
+                    near = _neighbours(z[i : i + n], by_id[i : i + n])
+                    which = PLACES[PLACES.max(axis=1) < near.shape[1]]
+                    four = near[:, which].reshape(-1, 4)
+                    own.append(four[(four >= 0).all(axis=1)])
+                four = np.unique(np.concatenate(own), axis=0) + i  # a star with the same neighbours at two depths has one quad
+                rows.append(np.full(len(four), r))
+                places.append(four)
+            rows, places = np.concatenate(rows), np.concatenate(places)
+            for flip in (1, -1):
+                order, code = codes(z[places] if flip == 1 else z[places].conj()) if len(rows) else (np.zeros((0, 4), dtype=int), np.zeros((0, 4)))
+                at, good = np.take_along_axis(places, order, axis=1), np.isfinite(code).all(axis=1)
+                good[good] = _first_of_equal(rows[good], at[good])
+                for k in range(0, len(rows), 1 << 16):
+                    part = np.flatnonzero(good[k : k + (1 << 16)]) + k
+                    four = pa.array(np.arange(0, 4 * len(part) + 1, 4, dtype=np.int32))
+                    ids = pa.ListArray.from_arrays(four, flat.field("id").take(pa.array(at[part].ravel())))
+                    code_ = pa.ListArray.from_arrays(four, pa.array(code[part].ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[part])), pa.array(np.full(len(part), flip, dtype=np.int32)), ids, code_], names=["frame_id", "flip", "ids", "code"])
+
+    return run
+
+
+def _first_of_equal(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Marks one of the quads with the same four stars in the same roles."""
+    out = np.zeros(len(rows), dtype=bool)
+    out[np.unique(np.column_stack([rows, places]), axis=0, return_index=True)[1]] = True
+    return out
 
 
 def matches(frames: DataFrame, index: DataFrame, off: float = CODE_OFF) -> DataFrame:
-    """(frame_id, flip, ids, sky): quads whose codes differ by `off` at most in each coordinate. Probes one cell, and the next where the code is near its border."""
-    sides = F.transform("code", lambda x: F.array_distinct(F.array(F.floor((x - off) / CODE_STEP), F.floor((x + off) / CODE_STEP))))
-    probes = frames.withColumn("s", sides)
+    """(frame_id, flip, ids, sky): quads whose codes differ by `off` at most in each coordinate.
+
+    Each quad of the index, of which there are fewer, is put into its cell, and the next where the code is near its border; a
+    frame's quads probe one cell each.
+    """
+    sky = index.select(F.col("ids").alias("sky"), F.col("code").alias("sky_code"))
     for k in range(4):
-        probes = probes.withColumn(f"c{k}", F.explode(F.col("s")[k]))
-    probes = probes.select("frame_id", "flip", "ids", "code", F.array("c0", "c1", "c2", "c3").alias("cell"))
-    sky = index.select("cell", F.col("ids").alias("sky"), F.col("code").alias("sky_code"))
-    close = F.forall(F.zip_with("code", "sky_code", lambda a, b: F.abs(a - b)), lambda d: d <= off)
-    return probes.join(sky, "cell").where(close).select("frame_id", "flip", "ids", "sky")
+        c = F.col("sky_code")[k]
+        sky = sky.withColumn(f"c{k}", F.explode(F.array_distinct(F.array(F.floor((c - off) / CODE_STEP), F.floor((c + off) / CODE_STEP)))))
+    sky = sky.select("sky", "sky_code", "c0", "c1", "c2", "c3")
+    probes = frames.select("frame_id", "flip", "ids", "code", *[F.floor(F.col("code")[k] / CODE_STEP).alias(f"c{k}") for k in range(4)])
+    close = [F.abs(F.col("code")[k] - F.col("sky_code")[k]) <= off for k in range(4)]
+    return probes.join(sky, [f"c{k}" for k in range(4)]).where(close[0] & close[1] & close[2] & close[3]).select("frame_id", "flip", "ids", "sky")
 
 
 # ---- poses ------------------------------------------------------------------------------------------
@@ -209,7 +272,7 @@ def votes(proposed: DataFrame, least: int = VOTES) -> DataFrame:
     poses share a cell in one of them.
     """
     half = F.explode(F.array(F.lit(0.0), F.lit(0.5)))
-    rows = proposed.withColumn("gs", half).withColumn("s", F.floor(F.log2("scale") * 4 + F.col("gs")))
+    rows = dealt(proposed).withColumn("gs", half).withColumn("s", F.floor(F.log2("scale") * 4 + F.col("gs")))
     side = F.radians(F.pow(F.lit(2.0), F.col("s") / 4) * F.col("pixels")) * 0.1
     for name, v in zip("xyz", unit_vector(F.col("ra"), F.col("dec"))):
         rows = rows.withColumn(f"g{name}", half).withColumn(f"b{name}", F.floor(v / side + F.col(f"g{name}")))
@@ -268,7 +331,7 @@ def _fit_frame(order: int, tolerance: float):
 
 def fitted(pairs: DataFrame, order: int = 1, tolerance: float = 2.0) -> DataFrame:
     """Solutions from (frame_id, star, x, y, star_id, ra, dec, n, width, height): one group is one frame's bounded list."""
-    return pairs.groupBy("frame_id").applyInPandas(_fit_frame(order, tolerance), SOLUTION)
+    return dealt(pairs).groupBy("frame_id").applyInPandas(_fit_frame(order, tolerance), SOLUTION)
 
 
 def to_sky(stars: DataFrame, solutions: DataFrame, frames: DataFrame) -> DataFrame:
@@ -297,7 +360,8 @@ def solve(
     """
     stars = settled(stars.where("x is not null and y is not null").select("frame_id", "star", "x", "y", "flux"))  # read five times
     catalogue = catalogue.where("ra is not null and dec is not null").select("star_id", "ra", "dec", "mag")
-    found = matches(frame_quads(stars, depths), index_quads(catalogue, levels))
+    index = settled(index_quads(catalogue, levels).drop("cell"))
+    found = matches(frame_quads(stars, depths), F.broadcast(index) if index.count() <= INDEX_ROWS else index)
     posed = proposals(found, stars, catalogue, frames)
     if scale is not None:
         posed = posed.where((F.col("scale") * 3600).between(*scale))
@@ -312,10 +376,8 @@ def solve(
     # all bright stars against the whole catalogue, as far off as the largest tolerance of any frame
     top = stars.withColumn("nth", F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc_nulls_last("flux"), "star"))).where(F.col("nth") <= most).drop("nth", "flux")
     reach = F.col("scale") * tolerance * 2 / 3600
-    placed = to_sky(top, first, frames).drop("width", "height").join(first.select("frame_id", reach.alias("reach"), F.col("scale").alias("scale_")), "frame_id")
-    near = within_reach(placed, catalogue.drop("mag"))
-    rank = F.row_number().over(W.partitionBy("frame_id", "star").orderBy("apart", "star_id"))
-    again = near.withColumn("nth", rank).where("nth = 1").select("frame_id", "star", "star_id", F.lit(1).alias("n"), F.col("right_ra").alias("ra"), F.col("right_dec").alias("dec"))
+    placed = settled(to_sky(top, first, frames).drop("width", "height").join(first.select("frame_id", reach.alias("reach"), F.col("scale").alias("scale_")), "frame_id"))
+    again = nearest_within_reach(placed, catalogue.drop("mag"), ["frame_id", "star"]).select("frame_id", "star", "star_id", F.lit(1).alias("n"), F.col("right_ra").alias("ra"), F.col("right_dec").alias("dec"))
     return fitted(sized(again), order, tolerance)
 
 
@@ -349,18 +411,30 @@ def transforms_to(solutions: DataFrame, frames: DataFrame, reference: str) -> Da
     return rows.crossJoin(F.broadcast(ref)).mapInPandas(run, TRANSFORMS)  # one row of the reference
 
 
-def within_reach(placed: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Pairs of placed (ra, dec, reach in degrees) and catalogue stars within each row's own reach.
+def nearest_within_reach(placed: DataFrame, catalogue: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The nearest catalogue star (ties: the smallest star_id) of each row of placed (keys, ra, dec, reach in degrees) that has one within its own reach.
 
-    Cells come in powers of two of a degree: a row probes cells of its own power, and a catalogue star is in one cell of each power that occurs.
+    Cells come in powers of two of a degree, and a row's reach lies under its own power. The search begins as close as a
+    few stars are found in the catalogue's mean density; only rows without a star there look further, four times as far,
+    up to their reach. So candidates don't grow with the density.
     """
-    power = F.ceil(F.log2(F.col("reach"))).cast("int")
-    placed = placed.withColumn("power_", power)
+    nearest = F.row_number().over(W.partitionBy(*keys).orderBy("apart", "star_id"))
+    first = lambda met: met.withColumn("nth_", nearest).where("nth_ = 1").drop("nth_")
+    placed = placed.withColumn("power_", F.ceil(F.log2(F.col("reach"))).cast("int"))
     used = [r[0] for r in placed.select("power_").distinct().orderBy("power_").collect()]  # a few dozen at most: powers of two of a degree
     out = None
     for p in used:
-        got = sky_pairs(placed.where(F.col("power_") == p), catalogue, min(2.0**p, 60.0)).where("apart <= reach")
-        out = got if out is None else out.unionAll(got)
+        widest = min(2.0**p, 60.0)
+        side = 2 * math.sin(math.radians(widest) / 2)
+        n, cells = catalogue.select(_cells(unit_vector(F.col("ra"), F.col("dec")), side, False)[0].alias("c")).agg(F.count(F.lit(1)), F.approx_count_distinct("c")).first()
+        halvings = max(0, math.ceil(math.log2(max(1, n) / max(1, cells) / 4) / 2))
+        todo = placed.where(F.col("power_") == p)
+        for k in [*range(halvings, 0, -2), 0]:
+            met = first(sky_pairs(todo, catalogue, widest / 2**k).where("apart <= reach"))
+            if k:
+                met = settled(met)
+                todo = settled(todo.join(met.select(*keys), keys, "left_anti"))
+            out = met if out is None else out.unionAll(met)
     if out is None:
-        out = sky_pairs(placed, catalogue, 1.0).where("apart <= reach")
+        out = first(sky_pairs(placed, catalogue, 1.0).where("apart <= reach"))
     return out.drop("power_", "reach")

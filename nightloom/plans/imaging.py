@@ -6,9 +6,12 @@ frames to be registered; embeddings are 8 x 8 frames, chained to mosaics by thei
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from nightloom.operators import astrometry, frequency as fq, registration as reg, stacking as st
+from nightloom.operators.settle import settled
 from nightloom.plans import pipelines as pipes
 from nightloom.plans.catalogue import LONG, PLACES, R, by_vec, pixels, query, rounded, table
 
@@ -29,18 +32,40 @@ def sky(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(key.alias("star_id"), (100 + 30 * even(key, F.lit(1))).alias("ra"), (-15 + 30 * even(key, F.lit(2))).alias("dec"), (5 + 10 * even(key, F.lit(3))).alias("mag"))
 
 
-def exposures(spark: SparkSession, sf: str, catalogue: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(frames, stars): what a detector would list of each frame, its `most` brightest stars at their places."""
+def exposures(spark: SparkSession, sf: str, catalogue: DataFrame, most: int = 200, first: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """(frames, stars): what a detector would list of each frame, its `most` brightest stars at their places.
+
+    Frames look at about the `first` brightest stars of the catalogue, or up to four times as many; those that see fewer than
+    `most` of them look at four times as many again, and so on to the whole catalogue. So pairs don't grow with its density.
+    """
     key = F.col("s_suppkey")
     pose = table(spark, sf, "supplier").select(key.cast("string").alias("frame_id"), (110 + key * 7919 % 1000 / 100.0).alias("ra"), (-5 + key * 104729 % 1000 / 100.0).alias("dec"), F.radians(key * 31337 % 36000 / 100.0 - 180).alias("turn"), (key % 2 == 1).alias("flip"))
-    seen = astrometry.sky_pairs(pose, catalogue, 4.3)
     xi, eta = astrometry.tangent_plane(F.col("right_ra"), F.col("right_dec"), F.col("ra"), F.col("dec"))
-    seen = seen.withColumns({"x_": F.when(F.col("flip"), xi).otherwise(-xi), "eta": eta})
     turned = F.when(F.col("flip"), -F.col("turn")).otherwise(F.col("turn"))
     u, v = (F.cos(turned) * F.col("x_") + F.sin(turned) * F.col("eta")) * 3600 / ARCSEC, (F.cos(turned) * F.col("eta") - F.sin(turned) * F.col("x_")) * 3600 / ARCSEC
-    stars = seen.select("frame_id", F.col("star_id").alias("star"), (u + (SIZE - 1) / 2).alias("x"), (v + (SIZE - 1) / 2).alias("y"), F.pow(F.lit(10.0), -0.4 * F.col("mag")).alias("flux")).where(f"x between 0 and {SIZE - 1} and y between 0 and {SIZE - 1}")
     nth = F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc("flux"), "star"))
-    return pose.select("frame_id", F.lit(SIZE).alias("width"), F.lit(SIZE).alias("height")), stars.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+    def listed(poses: DataFrame, bright: DataFrame) -> DataFrame:
+        seen = astrometry.sky_pairs(poses, bright, 4.3).withColumns({"x_": F.when(F.col("flip"), xi).otherwise(-xi), "eta": eta})
+        stars = seen.select("frame_id", F.col("star_id").alias("star"), (u + (SIZE - 1) / 2).alias("x"), (v + (SIZE - 1) / 2).alias("y"), "flux").where(f"x between 0 and {SIZE - 1} and y between 0 and {SIZE - 1}")
+        return stars.withColumn("nth", nth).where(F.col("nth") <= most)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # said outright: small tables would else be one task's work
+    flux = catalogue.select("star_id", "ra", "dec", F.pow(F.lit(10.0), -0.4 * F.col("mag")).alias("flux"))
+    n, left, stars = flux.count(), pose.repartition(parts, "frame_id"), None
+    rounds = max(0, math.floor(math.log(max(1, n / first), 4)))
+    faintest = flux.agg(F.percentile_approx("flux", [1 - 4.0**-k for k in range(rounds, 0, -1)], 100_000)).first()[0] if rounds else []
+    for least in [*faintest, None]:
+        bright = flux if least is None else flux.where(F.col("flux") >= least)
+        found = listed(left, F.broadcast(bright) if not rounds or least == faintest[0] else bright)
+        if least is not None:
+            found = settled(found)
+            full = settled(found.where(F.col("nth") == most).select("frame_id"))
+            found, left = found.join(full, "frame_id", "left_semi"), left.join(full, "frame_id", "left_anti")
+        stars = found if stars is None else stars.unionAll(found)
+        if least is not None and left.isEmpty():
+            break
+    return pose.select("frame_id", F.lit(SIZE).alias("width"), F.lit(SIZE).alias("height")), stars.drop("nth")
 
 
 @query(f"SELECT s_suppkey, round(ra, 4) AS ra, round(dec, 4) AS dec, {ARCSEC} AS scale, round(turn, 3) AS rotation, flipped FROM (SELECT {POSE} FROM supplier)".replace(f"{ARCSEC} AS", f"CAST({ARCSEC} AS DOUBLE) AS").replace("/ 100.0", "/ CAST(100 AS DOUBLE)"))
@@ -48,7 +73,7 @@ def plate_solve(spark, sf):
     catalogue = sky(spark, sf)
     frames, stars = exposures(spark, sf, catalogue)
     solved = astrometry.solve(stars, frames, catalogue, levels=((1.2, 2), (2.0, 2)))
-    return solved.select(F.col("frame_id").cast("long").alias("s_suppkey"), F.round("ra", 4).alias("ra"), F.round("dec", 4).alias("dec"), F.round("scale", 4).alias("scale"), F.round("rotation", 3).alias("rotation"), "flipped")
+    return solved.select(F.col("frame_id").cast("long").alias("s_suppkey"), F.round("ra", 4).alias("ra"), F.round("dec", 4).alias("dec"), F.round("scale", 4).alias("scale"), F.when(F.round("rotation", 3) == 180, -180.0).otherwise(F.round("rotation", 3)).alias("rotation"), "flipped")  # half a turn is -180, as in the SQL
 
 
 # ==== registration ===================================================================================
