@@ -6,6 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .settle import settled
+
+#: Layers that may be sent to all tasks.
+FEW_LAYERS = 200_000
 # The names by which a filter is known, in any case, and the mixes in the order they are tried.
 BANDS = {
     "L": ("L", "Luminance"),
@@ -127,11 +131,22 @@ def updated_lock(lock: DataFrame, stacked: DataFrame) -> DataFrame:
 
 
 # ---- synchronisation and editing -------------------------------------------------------------------
-def sync_new(layers: DataFrame, observations: DataFrame) -> DataFrame:
-    """(project, layer, path): observations of a layer's filter that the layer lacks. A layer without a filter gets none."""
-    wanted = layers.select("project", "layer", "filter").join(observations.select("filter", F.col("raw_path").alias("path")), "filter")
-    have = layers.select("project", "layer", F.explode("paths").alias("path"))
-    return wanted.join(have, ["project", "layer", "path"], "left_anti").select("project", "layer", "path")
+def sync_new(layers: DataFrame, observations: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(project, layer, path): observations of a layer's filter that the layer lacks. A layer without a filter gets none.
+
+    held: (project, layer, path), for layers whose paths come as rows and not as arrays. Each observation is told the layers
+    that hold it, then meets the layers of its filter, which are sent to all tasks if they are few: what is wanted, many
+    times the observations, is never dealt out.
+    """
+    if held is None:
+        held = layers.select("project", "layer", F.explode("paths").alias("path"))
+    holders = held.groupBy("path").agg(F.collect_set(F.struct("project", "layer")).alias("holders"))
+    known = observations.select("filter", F.col("raw_path").alias("path")).where("filter is not null").join(holders, "path", "left")
+    kinds = settled(layers.select("project", "layer", "filter").where("filter is not null"))
+    if kinds.count() <= FEW_LAYERS:
+        kinds = F.broadcast(kinds)
+    holds = F.exists("holders", lambda h: (h["project"] == F.col("project")) & (h["layer"] == F.col("layer")))
+    return known.join(kinds, "filter").where(~F.coalesce(holds, F.lit(False))).select("project", "layer", "path")
 
 
 def apply_edits(layers: DataFrame, edits: DataFrame) -> DataFrame:
