@@ -113,20 +113,37 @@ class Held:
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.ids)), self.sizes)[order]
 
+        # components of the cell as trees: what a link has joined needs no other one
+        self.up: dict[int, int] = {}
+
+    def top(self, comp: int) -> int:
+        at = comp
+        while self.up.setdefault(at, at) != at:
+            at = self.up[at]
+        while self.up[comp] != at:
+            self.up[comp], comp = at, self.up[comp]
+        return at
+
     def links(self, comp: int, own: np.ndarray, percent: int) -> np.ndarray:
-        """Ids alike enough to a set, one of each component but its own."""
+        """Ids alike enough to a set that join its component with others that no link of this cell has joined with it."""
         lo, hi = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(self.owner[at], minlength=len(self.ids))
         good = np.flatnonzero((both * 100 >= percent * (len(own) + self.sizes - both)) & (self.comps != comp))
-        return self.ids[good[np.unique(self.comps[good], return_index=True)[1]]]
+        new = []
+        for k in good[np.unique(self.comps[good], return_index=True)[1]].tolist():
+            mine, other = self.top(comp), self.top(int(self.comps[k]))
+            if mine != other:
+                self.up[max(mine, other)] = min(mine, other)
+                new.append(k)
+        return self.ids[new]
 
 
 def _cells(percent: int):
     """Rows (cell, side, id, comp, shingles), sorted by cell and side, to links (a, b) between side 1 and side 0 of a cell.
 
-    A cell's side 0 is held (its size is bounded by whoever placed it), side 1 passes by.
+    A cell's side 0 is held (its size is bounded by whoever placed it), side 1 passes by; the links are a forest over components.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +165,7 @@ def _cells(percent: int):
                 if held is None and parts:
                     held = Held(parts)
                 for r in range(i, j) if held else ():
-                    near = held.links(comps[r], flat[ends[r] : ends[r + 1]], percent)
+                    near = held.links(int(comps[r]), flat[ends[r] : ends[r + 1]], percent)
                     found_b.append(near)
                     found_a.append(np.full(len(near), ids[r]))
             if found_a:
@@ -160,8 +177,8 @@ def _cells(percent: int):
 def confirmed(texts: DataFrame, places: DataFrame, owners: DataFrame | None, width: int, percent: int) -> DataFrame:
     """Links (a, b) between texts placed in the same cell on sides 1 and 0: 100 * intersection >= percent * union of their full sets.
 
-    places: (id, cell, side). Of the links of a text to one component of owners one is returned, within
-    a component none: what is joined already needs no more links. Every set is made once, from its
+    places: (id, cell, side). Of a cell's links those of a forest over the components of owners are returned, within
+    a component none: what is joined already needs no more links, so links don't outnumber the places. Every set is made once, from its
     text, and sent once for each cell. The table of places is broadcast below a checked size.
     """
     own = places.groupBy("id").agg(F.collect_set(F.struct("cell", "side")).alias("places"))

@@ -654,3 +654,17 @@ def test_same_as_sql(spark, name):
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{i}" for i in range(1, 11)} and oracle.OP1
+
+
+def test_links_of_a_cell_are_a_forest():
+    """op2: sets that are all alike but in components of their own give one link less than sets, not one for each pair."""
+    held = near_duplicates.Held([(np.arange(30), np.arange(30), np.full(30, 5), np.tile(np.arange(5, dtype=np.uint64), 30))])
+    found = [(a, int(b)) for a in range(30, 60) for b in held.links(a, np.arange(5, dtype=np.uint64), 80)]
+    assert len(found) == 59
+    reached, todo = set(), [0]
+    while todo:
+        at = todo.pop()
+        if at not in reached:
+            reached.add(at)
+            todo += [b for a, b in found if a == at] + [a for a, b in found if b == at]
+    assert reached == set(range(60))
