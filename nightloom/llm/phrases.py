@@ -1,13 +1,14 @@
 """Collocations: frequent phrases by growing contiguous patterns to the right, then scored by their weakest cut.
 
-PrefixSpan on contiguous words. Prefixes of one, two and three words are counted by sums, each length among those whose
-parts are frequent. The occurrences of frequent three-word prefixes are then projected: the prefix with the words that
-follow it, as far as every three words on the way can be frequent. They are dealt by prefix, so each prefix is the work of
-one task and the extensions of a common word or pair are spread over many; inside a task they lie in sorted order, which is
-the depth-first order of the tree of prefixes, and the sums of the open prefixes are all that is held.
+PrefixSpan on contiguous words, in two projections. The first holds each place where two frequent words meet, with the
+third word if that is frequent: at most a row for each word of the texts, whichever pairs turn out to be frequent. It gives
+the pairs and triples. The second holds the occurrences of frequent triples with the words that follow, as far as every
+three words on the way can be frequent. Projections are dealt by their pair (pairs of two very common words by the third
+word, too, and those pairs' sums are added up) or triple, so each prefix is the work of one task; inside a task they lie in
+sorted order, which is the depth-first order of the tree of prefixes, and the sums of the open prefixes are all that is held.
 
 Equal projections of a task are summed before they are dealt out. Words travel as 64-bit hashes, which are checked to be
-distinct over the whole vocabulary (another seed is taken if they aren't). Which words, pairs and
+distinct over the whole vocabulary (another seed is taken if they aren't). Which words and
 triples are frequent is told to the tasks as a bitmap of fixed size: a false hit costs a row, counts stay exact.
 """
 
@@ -29,6 +30,8 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 BITMAP = 26
 #: Rows that a task sums before it hands on what it has.
 MERGE = 1 << 18
+#: Words that are more than one of so many are common: pairs of two such words are dealt by the word after them, too.
+OFTEN = 500
 PIECE_END = np.zeros(256, dtype=np.int32)
 PIECE_END[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 1
 IN_WORD = PIECE_END == 0
@@ -80,10 +83,10 @@ def summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
 
 
 class _Sums:
-    """Rows (language number, hashes..., n) summed within a task, and handed on when there are too many."""
+    """Rows (language number, hashes..., n) summed within a task, and handed on when there are too many: all, or (keep) the rare ones first."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.rows, self.langs = names, [], 0, {}
+    def __init__(self, names: list[str], keep: bool = False):
+        self.names, self.held, self.rows, self.langs, self.keep = names, [], 0, {}, keep
 
     def codes(self, column: pa.Array) -> np.ndarray:
         d = column.dictionary_encode()
@@ -93,10 +96,15 @@ class _Sums:
     def add(self, columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(summed(columns, n))
         self.rows += len(self.held[-1][1])
-        if self.rows > MERGE:
+        most = 2 * MERGE if self.keep else MERGE
+        if self.rows > most:
             self._merge()
-            if self.rows > MERGE // 2:
+            if self.rows > most // 2:
+                columns, n = self.held[0]
+                often = n > np.partition(n, -(most // 4))[-(most // 4)] if self.keep else np.zeros(len(n), dtype=bool)
+                self.held = [([c[~often] for c in columns], n[~often])]
                 yield from self.out()
+                self.held, self.rows = [([c[often] for c in columns], n[often])] if often.any() else [], int(often.sum())
 
     def _merge(self) -> None:
         columns = [np.concatenate(c) for c in zip(*[h[0] for h in self.held])]
@@ -183,26 +191,6 @@ def _runs(near: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _count_grams(shared, seed: int, k: int):
-    """Counts of k words in a row of which the first and the last k - 1 can be frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, frequent = _Sums(["lang", *[f"h{i}" for i in range(1, k + 1)], "f"]), shared.value
-        for batch in batches:
-            lang, tongue = sums.codes(batch.column(1)), _lang_hashes(batch.column(1))
-            for i, j, w in words(batch.column(0), IN_WORD):
-                row, near = _pieces(w, j - i)
-                h = _seeded(w, seed)
-                if len(h) < k:
-                    continue
-                on = _has(frequent, pair_hash(gram_hashes(h, k - 1), tongue[i + row[: len(h) - k + 2]]))
-                at = np.flatnonzero(_runs(near, k) & on[:-1] & on[1:])
-                yield from sums.add([lang[i + row[at]], *[h[at + d] for d in range(k)]], np.ones(len(at), dtype=np.int64))
-        yield from sums.out()
-
-    return run
-
-
 def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashes of (lang, h1, ...) by which tasks look them up."""
     for batch in batches:
@@ -213,26 +201,27 @@ def _hash_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out)], names=["h"])
 
 
-def _project(shared, seed: int, longest: int):
+def _project(shared, seed: int, first: int, longest: int):
     names = [f"h{k}" for k in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lang, h1.., n): frequent three words with those after them, 0 from where the last three can't be frequent; at least one word after them."""
-        sums, frequent = _Sums(["lang", *names, "n"]), shared.value
+        """(lang, h1.., n): frequent `first` words with those after them, 0 from where the last `first` can't be frequent; at least one word after them."""
+        sums, frequent = _Sums(["lang", *names, "n"], keep=True), shared.value
         for batch in batches:
             lang, tongue = sums.codes(batch.column(1)), _lang_hashes(batch.column(1))
             for i, j, w in words(batch.column(0), IN_WORD):
                 row, near = _pieces(w, j - i)
                 h = _seeded(w, seed)
-                if len(h) < 4:
+                if len(h) <= first:
                     continue
-                on = np.zeros(len(h) + longest, dtype=bool)
-                on[: len(h) - 2] = _runs(near, 3) & _has(frequent, pair_hash(gram_hashes(h, 3), tongue[i + row[: len(h) - 2]]))
-                at = np.flatnonzero(on[:-1] & on[1:])
+                on = _has(frequent, pair_hash(gram_hashes(h, first), tongue[i + row[: len(h) - first + 1]]))
+                goes_on = np.zeros(len(h) + longest, dtype=bool)
+                goes_on[: len(h) - first] = _runs(near, first + 1) & on[:-1] & on[1:]
+                at = np.flatnonzero(goes_on)
                 far = np.concatenate([h, np.zeros(longest, dtype=np.int64)])
-                columns, goes = [lang[i + row[at]], h[at], h[at + 1], h[at + 2]], np.ones(len(at), dtype=bool)
-                for k in range(3, longest):
-                    goes = goes & on[at + k - 2]
+                columns, goes = [lang[i + row[at]], *[h[at + d] for d in range(first)]], np.ones(len(at), dtype=bool)
+                for k in range(first, longest):
+                    goes = goes & goes_on[at + k - first]
                     columns.append(np.where(goes, far[at + k], 0))
                 yield from sums.add(columns, np.ones(len(at), dtype=np.int64))
         yield from sums.out()
@@ -240,18 +229,21 @@ def _project(shared, seed: int, longest: int):
     return run
 
 
-def _grow(least: int, longest: int):
+def _grow(least: int, longest: int, first: int = 4, spread: list[int] | None = None):
     names = [f"h{k}" for k in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lang, h1.., f): prefixes of four words and more with f >= least, from projections in sorted order.
+        """(lang, h1.., f): prefixes of `first` words and more with f >= least, from projections in sorted order.
 
         For each length the last prefix of a batch stays open: its sum goes on in the next batch.
+        Pairs of two words of `spread` are dealt to several tasks: each hands on what it has.
         """
-        open_ = {d: None for d in range(4, longest + 1)}
+        open_ = {d: None for d in range(first, longest + 1)}
 
         def grown(d: int, langs: list, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
             on = n >= least
+            if spread and d == 2:
+                on |= np.isin(columns[0], spread) & np.isin(columns[1], spread)
             empty = np.zeros(int(on.sum()), dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array([x for x, o in zip(langs, on) if o], pa.string()), *[pa.array(c[on]) for c in columns], *[pa.array(empty)] * (longest - d), pa.array(n[on])], names=["lang", *names, "f"])
 
@@ -261,7 +253,7 @@ def _grow(least: int, longest: int):
             lang = batch.column(0).dictionary_encode()
             code, known = lang.indices.to_numpy(), lang.dictionary.to_pylist()
             hashes, n = [batch.column(k).to_numpy() for k in range(1, longest + 1)], batch.column(longest + 1).to_numpy()
-            for d in range(4, longest + 1):
+            for d in open_:
                 new = np.ones(len(n), dtype=bool)
                 new[1:] = code[1:] != code[:-1]
                 for c in hashes[:d]:
@@ -285,6 +277,12 @@ def _grow(least: int, longest: int):
     return run
 
 
+def _often(known: DataFrame, totals: DataFrame) -> list[int]:
+    """Hashes of the words that are, in one language, at least one of OFTEN of all words: at most that many."""
+    (every,) = totals.agg(F.sum("n")).first()
+    return [r.h for r in known.where(F.col("f") * OFTEN >= F.lit(every or 0)).select("h").distinct().collect()]
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, words, f) of the phrases of 1 to `longest` words with f >= least, (lang, n) of all words), as written tables."""
     spark = docs.sparkSession
@@ -293,24 +291,28 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     totals = cut(all_words.groupBy("lang").agg(F.sum("f").alias("n")))
     known = cut(all_words.where(F.col("f") >= least))
     drop(all_words)
-    found = None
-    shorter = known.select("lang", "h").mapInArrow(_hash_grams, "h long")
-    for k in (2, 3)[: longest - 1]:
-        likely = spark.sparkContext.broadcast(bitmap_of(shorter))
-        names = [f"h{i}" for i in range(1, k + 1)]
-        kinds = ", ".join(f"{i} long" for i in names)
-        grams = cut(texts.mapInArrow(_count_grams(likely, seed, k), f"lang string, {kinds}, f long").groupBy("lang", *names).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-        rows = grams.select("lang", F.array(*names).alias("hs"), "f")
-        found = rows if found is None else found.unionAll(rows)
-        shorter = grams.select("lang", *names).mapInArrow(_hash_grams, "h long")
-    if longest > 3:
+    # the shuffle of all words is on the executors' disks until the driver's JVM sees that nobody holds it
+    spark.sparkContext._jvm.System.gc()
+    found, shorter = None, known.select("lang", "h").mapInArrow(_hash_grams, "h long")
+    # from each frequent word the pairs and triples, from each frequent triple all that is longer
+    for first, last in ((1, min(3, longest)), (3, longest))[: 1 + (longest > 3)]:
         likely = spark.sparkContext.broadcast(bitmap_of(shorter))
-        names = [f"h{k}" for k in range(1, longest + 1)]
+        names = [f"h{k}" for k in range(1, last + 1)]
         kinds = ", ".join(f"{k} long" for k in names)
-        projected = texts.mapInArrow(_project(likely, seed, longest), f"lang string, {kinds}, n long")
-        dealt = projected.repartition("lang", "h1", "h2", "h3").sortWithinPartitions("lang", *names)
-        longer = dealt.mapInArrow(_grow(least, longest), f"lang string, {kinds}, f long")
-        found = found.unionAll(longer.select("lang", F.filter(F.array(*names), lambda h: h != 0).alias("hs"), "f"))
+        projected = texts.mapInArrow(_project(likely, seed, first, last), f"lang string, {kinds}, n long")
+        if first == 1:
+            often = _often(known, totals) if last == 3 else []
+            dealt = projected.withColumn("deal", F.when(F.col("h1").isin(often) & F.col("h2").isin(often), F.col(names[-1])).otherwise(0)).repartition("lang", "h1", "h2", "deal")
+            grown = _grow(least, last, 2, often)
+        else:
+            dealt, grown = projected.repartition("lang", "h1", "h2", "h3"), _grow(least, last)
+        # by a hash first: Spark compares whole rows only where the first key is the same
+        rows = dealt.sortWithinPartitions(F.xxhash64("h1", "h2"), "h1", "h2", "lang", *names[2:]).select("lang", *names, "n").mapInArrow(grown, f"lang string, {kinds}, f long")
+        if first == 1:
+            rows = cut(rows.groupBy("lang", *names).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+            shorter = rows.where(F.col(names[-1]) != 0).select("lang", *names).mapInArrow(_hash_grams, "h long")
+        rows = rows.select("lang", F.filter(F.array(*names), lambda h: h != 0).alias("hs"), "f")
+        found = rows if found is None else found.unionAll(rows)
     found = cut(found)
     # hashes back to words: a phrase's words by their places
     place = found.select("lang", "hs", "f", F.posexplode("hs").alias("k", "h"))

@@ -285,6 +285,45 @@ def test_grown_prefixes_cross_batches():
         assert got == sorted([("en", 1, 2, 3, 4, 0, 8), ("en", 1, 2, 3, 4, 5, 4), ("fr", 1, 2, 4, 4, 0, 5), ("fr", 1, 2, 4, 4, 4, 5)])
 
 
+def test_rows_of_counts_grow_with_the_text(spark, monkeypatch):
+    """Five times the text makes every pair frequent: no count makes more rows for that than for the text."""
+    rng, made, asked = random.Random(5), [], []
+    real = type(spark.range(1)).mapInArrow
+
+    def watched(df, run, schema, *more):
+        out = real(df, run, schema, *more)
+        if "text" in df.columns:
+            asked.append((schema, out))
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", watched)
+    for n in (100, 500):
+        asked.clear()
+        texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)) for _ in range(n)]
+        phrases.frequent_phrases(docs_of(spark, texts).coalesce(1))
+        made.append({schema: out.count() for schema, out in asked if "h1" in schema})
+    assert made[1] and all(v <= 12 * made[0][k] for k, v in made[1].items()), made
+
+
+def test_pairs_of_common_words_are_summed_over_tasks(spark, monkeypatch):
+    """A pair of two common words is dealt by the word after it: its parts, all below the least count, are added up."""
+    texts = [f"the of {chr(97 + i)}{chr(97 + k)}" for i in range(26) for k in range(5)] * 3 + ["the of"] * 2
+    for often in (phrases.OFTEN, 1):  # spread, not spread
+        monkeypatch.setattr(phrases, "OFTEN", often)
+        got = phrases.collocations(docs_of(spark, texts).repartition(5), least=3, first=500).collect()
+        assert {r.phrase: r.a for r in got}["the of"] == 392 and sum(r.a == 3 for r in got) == 130
+
+
+def test_sums_hand_on_rare_rows_first(monkeypatch):
+    """A row that comes again and again stays until the end; nothing is lost."""
+    monkeypatch.setattr(phrases, "MERGE", 64)
+    sums = phrases._Sums(["lang", "h", "f"], keep=True)
+    lang = sums.codes(pa.array(["en"] * 41))
+    out = [b for i in range(50) for b in sums.add([lang, np.array([0, *range(40 * i + 1, 40 * i + 41)])], np.ones(41, dtype=np.int64))]
+    rows = [(r["h"], r["f"]) for b in [*out, *sums.out()] for r in b.to_pylist()]
+    assert rows.count((0, 50)) == 1 and sorted(h for h, _ in rows) == list(range(2001))
+
+
 def test_words_of_equal_hash_get_another_seed(spark, monkeypatch):
     seeds = []
     real = phrases._count_words
