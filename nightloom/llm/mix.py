@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import cut
+from .shared import cut, small
 
 BUCKETS = 256
 KNOTS = (0.0, 0.5, 1.0)
@@ -94,7 +94,7 @@ def mix_sources(
     inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
-        .join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
+        .join(small(cut(offsets)).alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
         .select("doc_id", "size", "source_size", "class", "target", (F.col("before") + F.col("inside")).alias("at"))
     )
 

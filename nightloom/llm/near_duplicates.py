@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import components, cut, drop, small
+from .shared import components, cut, drop, large, small
 from .words import C1, C2, NOT_BLANK, U, mix, words
 
 COORDINATES = 32
@@ -182,7 +182,7 @@ def confirmed(texts: DataFrame, places: DataFrame, owners: DataFrame | None, wid
     text, and sent once for each cell. The table of places is broadcast below a checked size.
     """
     own = places.groupBy("id").agg(F.collect_set(F.struct("cell", "side")).alias("places"))
-    own = own.withColumn("comp", F.col("id")) if owners is None else own.join(owners, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    own = own.withColumn("comp", F.col("id")) if owners is None else own.join(small(owners), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     own = cut(own.select("id", "comp", "places"))
     rows = texts.join(small(own, weight=F.size("places") + 1), "id").select("id", "comp", "places", "text").mapInArrow(_sets(width), "shingles array<bigint>, id long, comp long, places array<struct<cell:bigint,side:int>>")
     rows = rows.select(F.explode("places").alias("p"), "id", "comp", "shingles").select("p.cell", "p.side", "id", "comp", "shingles")
@@ -233,8 +233,8 @@ def _colliding(pairs: DataFrame, signatures: DataFrame, match: int) -> DataFrame
     """Those pairs whose signatures agree in at least match coordinates, with that number: (a, b, same)."""
     same = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda x: x))
     return (
-        pairs.join(signatures.withColumnsRenamed({"id": "a", "signature": "ga"}), "a")
-        .join(signatures.withColumnsRenamed({"id": "b", "signature": "gb"}), "b")
+        pairs.join(large(signatures.withColumnsRenamed({"id": "a", "signature": "ga"})), "a")
+        .join(large(signatures.withColumnsRenamed({"id": "b", "signature": "gb"})), "b")
         .select("a", "b", same.alias("same"))
         .where(F.col("same") >= match)
     )
@@ -262,7 +262,7 @@ def near_duplicates(
     )
     counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     kept = (
-        posts.join(counts, "token")
+        posts.join(large(counts), "token")
         .groupBy("rep")
         .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("tokens"))  # at most `coordinates`
         .where(F.size("tokens") >= match)
@@ -272,7 +272,7 @@ def near_duplicates(
     # one pivot for each list, one candidate for each text: a forest that ties groups of copies together
     first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", F.col("n").alias("m"))).alias("p"))
     best = (
-        lists.join(first.select("token", F.col("p.rep").alias("pivot"), "p.m"), "token")
+        lists.join(large(first.select("token", F.col("p.rep").alias("pivot"), "p.m")), "token")
         .where(f"rep <> pivot and least(n, m) * 100 >= greatest(n, m) * {percent}")
         .groupBy("rep", "pivot")
         .agg(F.count(F.lit(1)).alias("hits"))
@@ -287,7 +287,7 @@ def near_duplicates(
     owners = cut(components(confirmed(texts, places, None, width, percent)))
 
     # lists with several components: pairs inside the commonest one are skipped, as they can't change any component
-    now = lists.join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    now = lists.join(small(owners.withColumnRenamed("id", "rep")), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
     parts = now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     split = cut(now.join(main.select("token", "main", "k"), "token"))
@@ -297,7 +297,7 @@ def near_duplicates(
     owners = cut(components(links))
     drop(lists, split)
 
-    of_class = classes.select("print", "rep").join(owners.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.select("print", "rep").join(small(owners.withColumnRenamed("id", "rep")), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     whole = features.where("print is not null").select("id", "n", "print").join(of_class, "print", "left")
     alone = features.where("print is null").select("id", "n", F.lit(None).cast("binary").alias("print"), F.lit(None).cast("long").alias("component_id"))
     return whole.unionByName(alone).select(
@@ -328,12 +328,12 @@ def _light(split: DataFrame, signatures: DataFrame, match: int, percent: int) ->
 
     A text is in less than `coordinates` lists of less than `heavy` texts, which bounds its partners and a cell.
     """
-    rows = split.join(signatures.withColumnRenamed("id", "rep"), "rep").select("token", "rep", "n", "c", "main", "signature")
+    rows = split.join(large(signatures.withColumnRenamed("id", "rep")), "rep").select("token", "rep", "n", "c", "main", "signature")
     met = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_collisions(match, percent), "x long, ys array<bigint>")
     partners = cut(met.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")))
     edges = partners.select("x", F.explode("ys").alias("y"))
     label = edges.groupBy("x").agg(F.min("y").alias("m")).unionAll(edges.groupBy("y").agg(F.min("x"))).groupBy("x").agg(F.least("x", F.min("m")).alias("m"))
-    celled = partners.join(label, "x").select("x", "ys", F.xxhash64("m").alias("cell"))
+    celled = partners.join(large(label), "x").select("x", "ys", F.xxhash64("m").alias("cell"))
     return celled.select(F.col("x").alias("id"), "cell", F.lit(1).alias("side")).unionAll(celled.select(F.explode("ys"), "cell", F.lit(0)))
 
 
@@ -347,7 +347,7 @@ def _heavy(split: DataFrame, block: int) -> DataFrame:
     weight = F.col("n") + 256
     sizes = family.groupBy("main").agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("c") != F.col("main"), weight)).alias("rare"))
     blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1))
-    dealt = family.join(sizes.select("main", blocks("all").alias("nb"), blocks("rare").alias("nr")), "main")
+    dealt = family.join(small(cut(sizes.select("main", blocks("all").alias("nb"), blocks("rare").alias("nr")))), "main")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     cell = F.xxhash64("main", "i", "j").alias("cell")

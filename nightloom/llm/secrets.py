@@ -14,7 +14,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import cut, small
+from .shared import cut, large, small
 
 
 class Rule(NamedTuple):
@@ -107,7 +107,7 @@ def scan_versions(
     chosen = cut(blobs.where("todo > 0").withColumnsRenamed({"id": "cid", "blob": "cblob"}))
     here = F.col("id").eqNullSafe(F.col("cid")) & (F.col("blob") == F.col("cblob"))
     texts = rows.select("id", "text", F.sha2("text", 256).alias("blob"))
-    rest = cut(named.join(chosen, here, "left_anti").select(F.col("id").alias("cid"), F.col("blob").alias("cblob")))
+    rest = cut(named.join(large(chosen), here, "left_anti").select(F.col("id").alias("cid"), F.col("blob").alias("cblob")))
     if ledger is None and rest.count() <= SKIP:  # a chosen row is scanned once for each repeat of its id
         unseen = texts.join(F.broadcast(rest.distinct()), here, "left_anti").select("text", "blob", every.alias("todo"))
     else:

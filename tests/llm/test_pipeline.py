@@ -51,3 +51,28 @@ def test_stages_with_nulls_repeats_clashing_columns_and_no_rows(spark, tmp_path)
             now = out
             sizes.append(out.count())
         assert sizes == ([9, 6, 6, 6, 6] if name == "odd" else [0] * 5)
+
+
+def test_no_stage_broadcasts_what_spark_sizes_too_low(spark, tmp_path):
+    """Postings (32 for each text) and rows of documents have small files, but are no small tables: joins don't broadcast them."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(i, " ".join(f"{words[(i + k) % 10]}{(i // 2) * 37 + k}" for k in range(30 + i % 2)), "en", "web") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, store = spark.read.parquet(str(tmp_path / "documents.parquet")), spark._jsparkSession.sharedState().statusStore()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400k")  # as 10 MB are to a quarter of a million texts
+    try:
+        for name, most in (("near_duplicates", 2000), ("secrets", 0), ("mixing", 256)):  # texts, none, and buckets of a source
+            before = store.executionsCount()
+            dict(cp.STAGES)[name](spark, docs, DATA).write.parquet(str(tmp_path / name))
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            sent = []
+            for i in range(before, store.executionsCount()):
+                run = store.executionsList().apply(i).executionId()
+                nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+                for node in map(nodes.apply, range(nodes.size())):
+                    if node.name() == "BroadcastExchange":
+                        metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                        sent += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+            assert max(sent, default=0) <= most, (name, sent)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
