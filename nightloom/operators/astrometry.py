@@ -32,8 +32,10 @@ NEAREST, CODE_STEP, CODE_OFF = 6, 0.04, 0.01
 DEPTHS = (16, 32, 64)
 #: Quads of an index that may be broadcast.
 INDEX_ROWS = 200_000
-#: Votes that a pose needs.
-VOTES = 4
+#: Votes that a pose needs, and how many times as many tell that deeper stars needn't be looked at.
+VOTES, SURE = 4, 2
+#: Stars in a square as wide as the first distance at which the nearest one is looked for.
+FIRST_FOUND = 0.03
 SOLUTION = (
     "frame_id string, ra double, dec double, scale double, rotation double, flipped boolean, cd11 double, cd12 double, cd21 double, cd22 double, "
     "xi array<double>, eta array<double>, pairs int, rms double"
@@ -61,29 +63,38 @@ def from_plane(xi: Column, eta: Column, ra0: Column, dec0: Column) -> tuple[Colu
     return ra, F.degrees(F.atan2(F.sin(d0) + eta * F.cos(d0), F.sqrt(xi * xi + den * den)))
 
 
-def _cells(v: Sequence[Column], side: float, around: bool) -> Column:
-    """The cell of a unit vector, or the eight cells that hold all within half a side of it."""
-    own = [F.floor(x / side) for x in v]
-    if not around:
-        return F.array(F.struct(*[c.alias(n) for c, n in zip(own, "xyz")]))
-    nearer = [c + F.when(x / side - c < 0.5, -1).otherwise(1) for x, c in zip(v, own)]
-    return F.array(*[F.struct(*[c.alias(n) for c, n in zip(cell, "xyz")]) for cell in product(*zip(own, nearer))])
+def _cells(v: Sequence[Column], side: float) -> Column:
+    """The cell of a unit vector."""
+    return F.struct(*[F.floor(x / side).alias(n) for x, n in zip(v, "xyz")])
 
 
-def sky_pairs(left: DataFrame, right: DataFrame, degrees: float) -> DataFrame:
-    """Rows of left and right (both with ra, dec; other names distinct) at most `degrees` apart, with `apart` in degrees.
+def near_cells(v: Sequence[Column], side: float, reach: float) -> Column:
+    """Hashes of the cells that hold all within `reach` of a unit vector: eight at most, one mostly if the cells are much wider."""
+    ends = [(F.floor((x - reach) / side), F.floor((x + reach) / side)) for x in v]
+    return F.array_distinct(F.array(*[F.xxhash64(*cell) for cell in product(*ends)]))
 
-    An equi-join by cells twice as wide as the distance; right's position is right_ra, right_dec. Most pairs of a cell are told apart by their chord.
+
+def sky_neighbours(left: DataFrame, right: DataFrame, degrees: float, wide: float = 1.0) -> DataFrame:
+    """Rows of left and right (both with ra, dec; other names distinct) at most `degrees` apart, or a ten-thousandth more, with their unit vectors (x_a_ .. z_b_).
+
+    An equi-join by hashes of cells `wide` times as wide as twice the distance: the wider, the fewer copies of left and the more
+    candidates. right's position is right_ra, right_dec. Pairs are told apart by their chord, without any function of angles.
     """
     reach = 2 * math.sin(math.radians(degrees) / 2) * 1.0001
+    side = 2 * reach * wide
     a, b = left, right.withColumnsRenamed({"ra": "right_ra", "dec": "right_dec"})
     a = a.withColumns({f"{n}_a_": c for n, c in zip("xyz", unit_vector(F.col("ra"), F.col("dec")))})
     b = b.withColumns({f"{n}_b_": c for n, c in zip("xyz", unit_vector(F.col("right_ra"), F.col("right_dec")))})
-    a = a.withColumn("cell_", F.explode(_cells([F.col(f"{n}_a_") for n in "xyz"], 2 * reach, True)))
-    b = b.withColumn("cell_", _cells([F.col(f"{n}_b_") for n in "xyz"], 2 * reach, False)[0])
-    chord = sum((F.pow(F.col(f"{n}_a_") - F.col(f"{n}_b_"), 2) for n in "xyz"), F.lit(0.0))
+    a = a.withColumn("cell_", F.explode(near_cells([F.col(f"{n}_a_") for n in "xyz"], side, reach)))
+    b = b.withColumn("cell_", F.xxhash64(*[F.floor(F.col(f"{n}_b_") / side) for n in "xyz"]))
+    chord = sum(((F.col(f"{n}_a_") - F.col(f"{n}_b_")) * (F.col(f"{n}_a_") - F.col(f"{n}_b_")) for n in "xyz"), F.lit(0.0))
+    return a.join(b, "cell_").where(chord <= reach * reach).drop("cell_")
+
+
+def sky_pairs(left: DataFrame, right: DataFrame, degrees: float, wide: float = 1.0) -> DataFrame:
+    """sky_neighbours with their distance as `apart` in degrees, and none beyond."""
     apart = great_circle(F.col("ra"), F.col("dec"), F.col("right_ra"), F.col("right_dec"))
-    met = a.join(b, "cell_").where(chord <= reach * reach).drop("cell_", *[f"{n}_{side}_" for n in "xyz" for side in "ab"])
+    met = sky_neighbours(left, right, degrees, wide).drop(*[f"{n}_{side}_" for n in "xyz" for side in "ab"])
     return met.withColumn("apart", apart).where(F.col("apart") <= degrees)
 
 
@@ -149,7 +160,7 @@ def dealt(rows: DataFrame) -> DataFrame:
 def brightest(catalogue: DataFrame, cell: float, per_cell: int) -> DataFrame:
     """The brightest `per_cell` stars of each cell of about `cell` degrees: an even cover of the sky, whatever the catalogue's depth."""
     v = unit_vector(F.col("ra"), F.col("dec"))
-    placed = catalogue.withColumn("cell_", _cells(v, math.radians(cell), False)[0])
+    placed = catalogue.withColumn("cell_", _cells(v, math.radians(cell)))
     order = W.partitionBy("cell_").orderBy(F.asc_nulls_last("mag"), "star_id")
     return placed.withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= per_cell).drop("cell_", "nth_")
 
@@ -269,44 +280,49 @@ def votes(proposed: DataFrame, least: int = VOTES) -> DataFrame:
     """The proposals of each frame's best pose. A pose's cell is a quarter octave of scale and a tenth of the frame on the sky.
 
     Each proposal votes in 16 grids, staggered by half a cell in each of the four coordinates, so two close
-    poses share a cell in one of them.
+    poses share a cell in one of them. The 16 copies are counted, but not kept: a proposal is put into the best pose's grid again.
     """
     half = F.explode(F.array(F.lit(0.0), F.lit(0.5)))
-    rows = dealt(proposed).withColumn("gs", half).withColumn("s", F.floor(F.log2("scale") * 4 + F.col("gs")))
+    step = F.floor(F.log2("scale") * 4 + F.col("gs"))
     side = F.radians(F.pow(F.lit(2.0), F.col("s") / 4) * F.col("pixels")) * 0.1
-    for name, v in zip("xyz", unit_vector(F.col("ra"), F.col("dec"))):
-        rows = rows.withColumn(f"g{name}", half).withColumn(f"b{name}", F.floor(v / side + F.col(f"g{name}")))
+    at = {n: F.floor(v / side + F.col(f"g{n}")) for n, v in zip("xyz", unit_vector(F.col("ra"), F.col("dec")))}
+    own = dealt(proposed)
+    rows = own.withColumn("gs", half).withColumn("s", step)
+    for n, place in at.items():
+        rows = rows.withColumn(f"g{n}", half).withColumn(f"b{n}", place)
     key = ["flip", "gs", "s", "gx", "bx", "gy", "by", "gz", "bz"]
     counts = rows.groupBy("frame_id", *key).agg(F.count_distinct("ids").alias("n")).where(F.col("n") >= least)
-    best = counts.groupBy("frame_id").agg(F.max(F.struct("n", *key)).alias("b")).select("frame_id", "b.*")
-    return rows.join(best, ["frame_id", *key]).select("frame_id", "flip", "ids", "sky", "n")
+    best = counts.groupBy("frame_id").agg(F.max(F.struct("n", *key)).alias("b")).select("frame_id", "b.*").withColumnRenamed("flip", "flip_")
+    met = own.join(best.hint("merge"), "frame_id").where((F.col("flip") == F.col("flip_")) & (step == F.col("s")))  # both lie by frame_id
+    for n, place in at.items():
+        met = met.where(place == F.col(f"b{n}"))
+    return met.select("frame_id", "flip", "ids", "sky", "n")
 
 
 def _terms(u: np.ndarray, v: np.ndarray, order: int) -> np.ndarray:
     return np.stack([u**i * v ** (d - i) for d in range(order + 1) for i in range(d, -1, -1)], axis=1)
 
 
-def _fit_frame(order: int, tolerance: float):
+def _fit_frames(order: int, tolerance: float):
+    """Lists (frame_id, width, height, p: a frame's pairs of stars) to solutions."""
+
     def plane(ra, dec, ra0, dec0):
         a, d, d0 = np.radians(ra - ra0), np.radians(dec), np.radians(dec0)
         den = np.sin(d) * np.sin(d0) + np.cos(d) * np.cos(d0) * np.cos(a)
         return np.degrees(np.cos(d) * np.sin(a) / den), np.degrees((np.sin(d) * np.cos(d0) - np.cos(d) * np.sin(d0) * np.cos(a)) / den)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(u, v, ra, dec) -> tuple | None:
         """Terms of u, v (pixels from the centre): constant, u, v, u2, uv, v2, ...; stars far off the fit are left out, one quarter of the rest kept at least."""
-        pdf = pdf.sort_values(["n", "star", "star_id"], ascending=[False, True, True]).drop_duplicates("star").drop_duplicates("star_id")
-        u, v = (pdf.x - (pdf.width - 1) / 2).to_numpy(float), (pdf.y - (pdf.height - 1) / 2).to_numpy(float)
-        ra, dec = pdf.ra.to_numpy(float), pdf.dec.to_numpy(float)
-        near = np.ones(len(pdf), dtype=bool)
+        near = np.ones(len(u), dtype=bool)
         w = np.stack([np.cos(np.radians(dec)) * np.cos(np.radians(ra)), np.cos(np.radians(dec)) * np.sin(np.radians(ra)), np.sin(np.radians(dec))]).mean(axis=1)
         ra0, dec0 = math.degrees(math.atan2(w[1], w[0])), math.degrees(math.atan2(w[2], math.hypot(w[0], w[1])))
         for _ in range(30):
             used = order if near.sum() >= (order + 1) * (order + 2) else 1
             if near.sum() < 3:
-                return pd.DataFrame(columns=[c.split()[0] for c in SOLUTION.split(", ")])
+                return None
             terms = _terms(u, v, used)
             xi, eta = plane(ra, dec, ra0, dec0)
-            a, b = (np.linalg.lstsq(terms[near], t[near], rcond=None)[0] for t in (xi, eta))
+            a, b = np.linalg.lstsq(terms[near], np.stack([xi[near], eta[near]], axis=1), rcond=None)[0].T
             off = np.hypot(terms @ a - xi, terms @ b - eta)
             scale = math.sqrt(abs(a[1] * b[2] - a[2] * b[1]))
             # the point under the centre becomes the point of contact
@@ -315,23 +331,44 @@ def _fit_frame(order: int, tolerance: float):
             ra0, dec0 = (ra0 + math.degrees(math.atan2(x, den))) % 360, math.degrees(math.atan2(math.sin(d0) + y * math.cos(d0), math.hypot(x, den)))
             limit = max(tolerance * scale, 3 * np.median(off[near]))
             now = off <= limit
-            if now.sum() < max(3, len(pdf) // 4):
+            if now.sum() < max(3, len(u) // 4):
                 now = near
             if (now == near).all() and math.hypot(a[0], b[0]) < 1e-11:
                 break
             near = now
         rms = float(np.sqrt((off[near] ** 2).mean())) * 3600
-        return pd.DataFrame([{
-            "frame_id": pdf.frame_id.iloc[0], "ra": ra0, "dec": dec0, "scale": scale * 3600, "rotation": math.degrees(math.atan2(a[2], b[2])), "flipped": bool(a[1] * b[2] - a[2] * b[1] > 0),
-            "cd11": a[1], "cd12": a[2], "cd21": b[1], "cd22": b[2], "xi": list(a), "eta": list(b), "pairs": int(near.sum()), "rms": rms,
-        }])
+        turn, flipped = math.degrees(math.atan2(a[2], b[2])), bool(a[1] * b[2] - a[2] * b[1] > 0)
+        return ra0, dec0, scale * 3600, turn, flipped, a[1], a[2], b[1], b[2], a.tolist(), b.tolist(), int(near.sum()), rms
 
-    return fit
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SOLUTION.split(", ")]
+        kinds = [pa.float64()] * 4 + [pa.bool_()] + [pa.float64()] * 4 + [pa.list_(pa.float64())] * 2 + [pa.int32(), pa.float64()]
+        for batch in batches:
+            p = batch.column(3)
+            flat, ends = p.flatten(), p.offsets.to_numpy() - p.offsets[0].as_py()
+            x, y, ra, dec, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "ra", "dec", "n"))
+            star, sky = (pc.rank(flat.field(c), tiebreaker="dense").to_numpy() for c in ("star", "star_id"))
+            best = np.lexsort((sky, star, -n, np.repeat(np.arange(len(p)), np.diff(ends))))
+            width, height = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            rows, found = [], []
+            for r, (i, j) in enumerate(zip(ends, ends[1:])):
+                at = best[i:j]
+                for of in (star, sky):  # the first of each star, then of each star of the sky
+                    at = at[np.sort(np.unique(of[at], return_index=True)[1])]
+                solution = fit(x[at] - (width[r] - 1) / 2, y[at] - (height[r] - 1) / 2, ra[at], dec[at])
+                if solution is not None:
+                    rows.append(r)
+                    found.append(solution)
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=names)
+
+    return run
 
 
 def fitted(pairs: DataFrame, order: int = 1, tolerance: float = 2.0) -> DataFrame:
-    """Solutions from (frame_id, star, x, y, star_id, ra, dec, n, width, height): one group is one frame's bounded list."""
-    return dealt(pairs).groupBy("frame_id").applyInPandas(_fit_frame(order, tolerance), SOLUTION)
+    """Solutions from (frame_id, star, x, y, star_id, ra, dec, n, width, height): a row's list is one frame's bounded list."""
+    listed = dealt(pairs).groupBy("frame_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.collect_list(F.struct("star", "x", "y", "star_id", "ra", "dec", "n")).alias("p"))
+    return listed.mapInArrow(_fit_frames(order, tolerance), SOLUTION)
 
 
 def to_sky(stars: DataFrame, solutions: DataFrame, frames: DataFrame) -> DataFrame:
@@ -356,29 +393,53 @@ def solve(
     levels: depths of the catalogue's index, cells of about a quarter of a frame. order: of the polynomials, 1 to 5; frames with
     too few pairs take 1. hints: (frame_id, ra, dec, radius) in degrees, of frames whose pose must lie there. scale: least and largest
     arcseconds a pixel, of a known focal length and pixel size. The `most` brightest stars of a frame take part in the final fit.
-    Frames without enough agreeing quads have no row. Nulls in positions make a star unusable.
+    A frame's quads are made of its brightest stars at the first depth; only frames of which no pose has SURE times the votes it
+    needs go on to those of the first two depths, and so on. Frames without enough agreeing quads have no row. Nulls in positions make a star unusable.
     """
     stars = settled(stars.where("x is not null and y is not null").select("frame_id", "star", "x", "y", "flux"))  # read five times
     catalogue = catalogue.where("ra is not null and dec is not null").select("star_id", "ra", "dec", "mag")
     index = settled(index_quads(catalogue, levels).drop("cell"))
-    found = matches(frame_quads(stars, depths), F.broadcast(index) if index.count() <= INDEX_ROWS else index)
-    posed = proposals(found, stars, catalogue, frames)
-    if scale is not None:
-        posed = posed.where((F.col("scale") * 3600).between(*scale))
-    if hints is not None:
-        h = hints.select("frame_id", F.col("ra").alias("ra_h"), F.col("dec").alias("dec_h"), "radius")
-        posed = posed.join(h, "frame_id", "left").where(F.col("radius").isNull() | (great_circle(F.col("ra"), F.col("dec"), F.col("ra_h"), F.col("dec_h")) <= F.col("radius"))).drop("ra_h", "dec_h", "radius")
-    chosen = votes(settled(posed), least_votes)
+    few = (lambda df: F.broadcast(df)) if index.count() <= INDEX_ROWS else (lambda df: df)
+    anchors = few(settled(catalogue.drop("mag").join(few(index.select(F.explode("ids").alias("star_id")).distinct()), "star_id", "left_semi")))  # proposals need no other stars of the sky
+
+    def voted(of: DataFrame, depths: Sequence[int], least: int) -> DataFrame:
+        posed = proposals(matches(frame_quads(of, depths), few(index)), of, anchors, frames)
+        if scale is not None:
+            posed = posed.where((F.col("scale") * 3600).between(*scale))
+        if hints is not None:
+            h = hints.select("frame_id", F.col("ra").alias("ra_h"), F.col("dec").alias("dec_h"), "radius")
+            posed = posed.join(h, "frame_id", "left").where(F.col("radius").isNull() | (great_circle(F.col("ra"), F.col("dec"), F.col("ra_h"), F.col("dec_h")) <= F.col("radius"))).drop("ra_h", "dec_h", "radius")
+        return votes(settled(posed), least)
+
+    depths, left, chosen = sorted(depths), stars, None
+    for k in range(1, len(depths) + 1):
+        last = k == len(depths)
+        found = voted(left, depths[:k], least_votes if last else SURE * least_votes)
+        if not last:
+            found = settled(found)
+            left = settled(left.join(found.select("frame_id").distinct(), "frame_id", "left_anti"))
+        chosen = found if chosen is None else chosen.unionAll(found)
+        if not last and left.isEmpty():
+            break
     pair = F.explode(F.zip_with("ids", "sky", lambda a, b: F.struct(a.alias("star"), b.alias("star_id"))))
     pairs = chosen.select("frame_id", pair.alias("p")).select("frame_id", "p.*").groupBy("frame_id", "star", "star_id").agg(F.count(F.lit(1)).alias("n"))
     sized = lambda p: p.join(stars.drop("flux"), ["frame_id", "star"]).join(frames.select("frame_id", "width", "height"), "frame_id")
-    first = settled(fitted(sized(pairs.join(catalogue.drop("mag"), "star_id")), 1, tolerance))
-    # all bright stars against the whole catalogue, as far off as the largest tolerance of any frame
-    top = stars.withColumn("nth", F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc_nulls_last("flux"), "star"))).where(F.col("nth") <= most).drop("nth", "flux")
-    reach = F.col("scale") * tolerance * 2 / 3600
-    placed = settled(to_sky(top, first, frames).drop("width", "height").join(first.select("frame_id", reach.alias("reach"), F.col("scale").alias("scale_")), "frame_id"))
-    again = nearest_within_reach(placed, catalogue.drop("mag"), ["frame_id", "star"]).select("frame_id", "star", "star_id", F.lit(1).alias("n"), F.col("right_ra").alias("ra"), F.col("right_dec").alias("dec"))
-    return fitted(sized(again), order, tolerance)
+    first = settled(fitted(sized(pairs.join(anchors, "star_id")), 1, tolerance))
+    nth = F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc_nulls_last("flux"), "star"))
+    top = stars.withColumn("nth", nth).where(F.col("nth") <= max(most, *depths))
+
+    def again(by: DataFrame, count: int, sky: DataFrame) -> DataFrame:
+        """Pairs of so many bright stars with the sky where a solution puts them, as far off as twice the tolerance."""
+        reach = F.col("scale") * tolerance * 2 / 3600
+        placed = settled(to_sky(top.where(F.col("nth") <= count).drop("nth", "flux"), by, frames).drop("width", "height").join(by.select("frame_id", reach.alias("reach"), F.col("scale").alias("scale_")), "frame_id"))
+        return nearest_within_reach(placed, sky, ["frame_id", "star"]).select("frame_id", "star", "star_id", F.lit(1).alias("n"), F.col("right_ra").alias("ra"), F.col("right_dec").alias("dec"))
+
+    # quads of few stars can leave a wrong pair in the fit: once more against the few stars of the index, among which the nearest is hardly ever a wrong one
+    second = fitted(sized(again(first, max(depths), anchors)), 1, tolerance)
+    better = first.withColumn("of_", F.lit(0)).unionByName(second.withColumn("of_", F.lit(1))).withColumn("all_", F.struct(*first.columns))
+    first = settled(better.groupBy("frame_id").agg(F.max_by("all_", F.struct("pairs", "of_")).alias("s")).select("s.*"))
+    # then all bright stars against the whole catalogue
+    return fitted(sized(again(first, most, catalogue.drop("mag"))), order, tolerance)
 
 
 def transforms_to(solutions: DataFrame, frames: DataFrame, reference: str) -> DataFrame:
@@ -414,9 +475,9 @@ def transforms_to(solutions: DataFrame, frames: DataFrame, reference: str) -> Da
 def nearest_within_reach(placed: DataFrame, catalogue: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The nearest catalogue star (ties: the smallest star_id) of each row of placed (keys, ra, dec, reach in degrees) that has one within its own reach.
 
-    Cells come in powers of two of a degree, and a row's reach lies under its own power. The search begins as close as a
-    few stars are found in the catalogue's mean density; only rows without a star there look further, four times as far,
-    up to their reach. So candidates don't grow with the density.
+    Cells come in powers of two of a degree, and a row's reach lies under its own power. The search begins so close that in
+    the catalogue's mean density one row in ten meets a star by chance, in cells of about two stars; only rows without a star
+    there look further, four times as far, up to their reach. So candidates don't grow with the density.
     """
     nearest = F.row_number().over(W.partitionBy(*keys).orderBy("apart", "star_id"))
     first = lambda met: met.withColumn("nth_", nearest).where("nth_ = 1").drop("nth_")
@@ -426,15 +487,17 @@ def nearest_within_reach(placed: DataFrame, catalogue: DataFrame, keys: Sequence
     for p in used:
         widest = min(2.0**p, 60.0)
         side = 2 * math.sin(math.radians(widest) / 2)
-        n, cells = catalogue.select(_cells(unit_vector(F.col("ra"), F.col("dec")), side, False)[0].alias("c")).agg(F.count(F.lit(1)), F.approx_count_distinct("c")).first()
-        halvings = max(0, math.ceil(math.log2(max(1, n) / max(1, cells) / 4) / 2))
+        n, cells = catalogue.select(_cells(unit_vector(F.col("ra"), F.col("dec")), side).alias("c")).agg(F.count(F.lit(1)), F.approx_count_distinct("c")).first()
+        halvings = max(0, math.ceil(math.log2(max(1, n) / max(1, cells) / FIRST_FOUND) / 2))
         todo = placed.where(F.col("power_") == p)
         for k in [*range(halvings, 0, -2), 0]:
-            met = first(sky_pairs(todo, catalogue, widest / 2**k).where("apart <= reach"))
+            met = first(sky_pairs(todo, catalogue, widest / 2**k, wide=4.0 if k and k == halvings else 1.0).where("apart <= reach"))
             if k:
                 met = settled(met)
                 todo = settled(todo.join(met.select(*keys), keys, "left_anti"))
             out = met if out is None else out.unionAll(met)
+            if k and todo.isEmpty():
+                break
     if out is None:
         out = first(sky_pairs(placed, catalogue, 1.0).where("apart <= reach"))
     return out.drop("power_", "reach")

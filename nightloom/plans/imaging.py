@@ -40,14 +40,18 @@ def exposures(spark: SparkSession, sf: str, catalogue: DataFrame, most: int = 20
     """
     key = F.col("s_suppkey")
     pose = table(spark, sf, "supplier").select(key.cast("string").alias("frame_id"), (110 + key * 7919 % 1000 / 100.0).alias("ra"), (-5 + key * 104729 % 1000 / 100.0).alias("dec"), F.radians(key * 31337 % 36000 / 100.0 - 180).alias("turn"), (key % 2 == 1).alias("flip"))
-    xi, eta = astrometry.tangent_plane(F.col("right_ra"), F.col("right_dec"), F.col("ra"), F.col("dec"))
-    turned = F.when(F.col("flip"), -F.col("turn")).otherwise(F.col("turn"))
-    u, v = (F.cos(turned) * F.col("x_") + F.sin(turned) * F.col("eta")) * 3600 / ARCSEC, (F.cos(turned) * F.col("eta") - F.sin(turned) * F.col("x_")) * 3600 / ARCSEC
+    turned, mirrored = F.when(F.col("flip"), -F.col("turn")).otherwise(F.col("turn")), F.when(F.col("flip"), 1.0).otherwise(-1.0)
+    a, d = F.radians("ra"), F.radians("dec")
+    east, north = [-F.sin(a), F.cos(a), F.lit(0.0)], [-F.sin(d) * F.cos(a), -F.sin(d) * F.sin(a), F.cos(d)]
+    step = math.degrees(3600 / ARCSEC)  # pixels to a radian
+    along = {f"{n}_u_": (F.cos(turned) * mirrored * e + F.sin(turned) * up) * step for n, e, up in zip("xyz", east, north)}
+    along |= {f"{n}_v_": (F.cos(turned) * up - F.sin(turned) * mirrored * e) * step for n, e, up in zip("xyz", east, north)}
+    on = lambda side: sum((F.col(f"{n}_{side}_") * F.col(f"{n}_b_") for n in "xyz"), F.lit(0.0))  # noqa: E731  a star's vector along a frame's
     nth = F.row_number().over(W.partitionBy("frame_id").orderBy(F.desc("flux"), "star"))
 
     def listed(poses: DataFrame, bright: DataFrame) -> DataFrame:
-        seen = astrometry.sky_pairs(poses, bright, 4.3).withColumns({"x_": F.when(F.col("flip"), xi).otherwise(-xi), "eta": eta})
-        stars = seen.select("frame_id", F.col("star_id").alias("star"), (u + (SIZE - 1) / 2).alias("x"), (v + (SIZE - 1) / 2).alias("y"), "flux").where(f"x between 0 and {SIZE - 1} and y between 0 and {SIZE - 1}")
+        seen = astrometry.sky_neighbours(poses.withColumns(along), bright, 4.3)  # a corner is 4.24 degrees off
+        stars = seen.select("frame_id", F.col("star_id").alias("star"), (on("u") / on("a") + (SIZE - 1) / 2).alias("x"), (on("v") / on("a") + (SIZE - 1) / 2).alias("y"), "flux").where(f"x between 0 and {SIZE - 1} and y between 0 and {SIZE - 1}")
         return stars.withColumn("nth", nth).where(F.col("nth") <= most)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # said outright: small tables would else be one task's work

@@ -416,3 +416,25 @@ def test_nearest_star_within_each_rows_reach(spark):
         if least[0] <= reach:
             want[k] = least[1]
     assert {r.star: r.star_id for r in got.collect()} == want and 20 < len(want) < 60
+
+
+def test_only_frames_without_a_sure_pose_look_at_deeper_stars(spark, monkeypatch):
+    """A frame that its brightest stars place goes no further; of stars strewn at random all depths are tried."""
+    rng = np.random.default_rng(21)
+    ra, dec, mag = rng.uniform(40, 50, 400), rng.uniform(-5, 5, 400), rng.uniform(4, 12, 400)
+    catalogue = spark.createDataFrame([(i, float(a), float(d), float(m)) for i, (a, d, m) in enumerate(zip(ra, dec, mag))], "star_id long, ra double, dec double, mag double")
+    a, d = np.radians(ra - 45), np.radians(dec)
+    x, y = np.degrees(np.tan(a)) * 100 + 299.5, np.degrees(np.tan(d) / np.cos(a)) * 100 + 299.5  # 36 arcseconds a pixel
+    rows = [("placed", int(i), float(x[i]), float(y[i]), float(10 ** (-0.4 * mag[i]))) for i in np.flatnonzero((np.abs(x - 299.5) < 300) & (np.abs(y - 299.5) < 300))]
+    rows += [("strewn", j, float(rng.uniform(0, 600)), float(rng.uniform(0, 600)), float(rng.uniform(0, 1))) for j in range(70)]
+    asked, made = [], astro.frame_quads
+
+    def recorded(stars, depths):
+        asked.append((tuple(depths), {r.frame_id for r in stars.select("frame_id").distinct().collect()}))
+        return made(stars, depths)
+
+    monkeypatch.setattr(astro, "frame_quads", recorded)
+    sizes = spark.createDataFrame([("placed", 600, 600), ("strewn", 600, 600)], "frame_id string, width int, height int")
+    got = astro.solve(spark.createDataFrame(rows, "frame_id string, star long, x double, y double, flux double"), sizes, catalogue, levels=((1.2, 2), (2.0, 2))).collect()
+    assert [(r.frame_id, round(r.ra, 4), round(r.dec, 4), round(r.scale, 3)) for r in got] == [("placed", 45.0, 0.0, 36.0)]
+    assert asked == [((16,), {"placed", "strewn"}), ((16, 32), {"strewn"}), ((16, 32, 64), {"strewn"})]
